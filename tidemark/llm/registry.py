@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
