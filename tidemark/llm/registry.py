@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, near_dup
 
 QUERIES = {
+    "op2_near_dup": near_dup.op2_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op2_near_dup": near_dup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
