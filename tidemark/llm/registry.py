@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dup
+from . import decontaminate, line_dedup, mixing, near_dup
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op2_near_dup": near_dup.op2_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op2_near_dup": near_dup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
