@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dup
+from . import decontaminate, language, line_dedup, mixing, near_dup, quality
 
 QUERIES = {
+    "op1_language": language.op1_language,
+    "op3_quality": quality.op3_quality,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op2_near_dup": near_dup.op2_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
