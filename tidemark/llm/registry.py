@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, near_dup, quality
+from . import decontaminate, language, line_dedup, mixing, near_dup, pii, quality
 
 QUERIES = {
+    "op6_pii": pii.op6_pii,
     "op1_language": language.op1_language,
     "op3_quality": quality.op3_quality,
     "op4_line_dedup": line_dedup.op4_line_dedup,
