@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, line_dedup, lm, mixing, near_dup, pii, quality
+from . import ann, decontaminate, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts
 
 QUERIES = {
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_ann": ann.op10_ann,
     "op5_lm": lm.op5_lm,
     "op6_pii": pii.op6_pii,
