@@ -62,9 +62,9 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, ma
     before, after = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)
     everything = W.partitionBy(F.lit(0))
     level = (F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = capped.withColumn("level", level)
+    leveled = capped.withColumn("level", level).withColumn("rank", F.row_number().over(by_ratio))
     # the water level is that of the first source, by rising ratio, which stays under its cap
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(everything)["level"]
     return leveled.withColumn("target", F.least(F.col("cap"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "n_docs", "target")
 
 
@@ -127,9 +127,10 @@ WITH d AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM t
 ), l AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-      / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+      / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS nth FROM r
 ), g AS (
-  SELECT source, source_size, least(cap, w * (SELECT min(level) FROM l WHERE level <= cap / w)) AS target FROM l
+  SELECT source, source_size, least(cap, w * (SELECT arg_min(level, nth) FROM l WHERE level <= cap / w)) AS target FROM l
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g
 ), c AS (
