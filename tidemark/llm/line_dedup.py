@@ -1,6 +1,6 @@
 """Line dedup with a log-template tree, in built-in functions only.
 
-A line's words become tokens: A-Z lower-cased, and any token with a digit is the field
+A line's words become tokens: lower-cased, and any token with a digit is the field
 `<*>`. The tree has a fixed depth: token count, then the `LEAD` leading tokens; their hash
 is the leaf. Within a leaf the line found in most documents is the dominant one. A line that
 agrees with it on at least `ALIKE` of the non-empty eighths of its tokens has the same
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, table
+from .shared import stored, table
 
 LEAD = 3
 EIGHTHS = 8
@@ -33,7 +33,6 @@ ALIKE = 0.75
 LONG, SHORT, MANY = 8, 3, 10
 #: Hex digits kept of a md5: of a line or leaf, of an eighth.
 KEY, PART = 15, 5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
@@ -42,9 +41,9 @@ def _key(text: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    low = F.translate(line, UPPER, LOWER)
+    low = F.regexp_replace(F.lower(line), r"[\x09-\x0D]", " ")
     masked = F.when(low.rlike("[0-9]"), F.regexp_replace(low, FIELD, "<*>")).otherwise(low)
-    return F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def _eighth(words: Column, n: Column, k: int) -> Column:
@@ -59,9 +58,12 @@ def row_key(df: DataFrame) -> list[Column]:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row per line of at least SHORT tokens: __doc, __text, pos, n, leaf, line, parts."""
+    """A row per line: __doc, __text, pos, n, leaf, line, parts.
+
+    Without a filter, which would have the tokens made twice, and to be stored before any use.
+    """
     lines = docs.select(*row_key(docs), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    cut = lines.withColumn("words", tokens(F.col("raw"))).drop("raw").withColumn("n", F.size("words")).where(F.col("n") >= SHORT)
+    cut = lines.withColumn("words", tokens(F.col("raw"))).drop("raw").withColumn("n", F.size("words"))
     return cut.select(
         "__doc",
         "__text",
@@ -102,7 +104,7 @@ def recurring(lines: DataFrame) -> DataFrame:
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """docs with the recurring lines dropped, and n_lines and n_dropped beside their columns."""
-    lines = parsed_lines(docs)
+    lines = stored(parsed_lines(docs), "lines").where(F.col("n") >= SHORT)
     out = stored(recurring(lines), "line-recurring")
     places = lines.select("__doc", "__text", "pos", "leaf", "line").join(out, ["leaf", "line"]).where(F.col("__doc") != F.col("keeper"))
     drops = places.groupBy("__doc", "__text").agg(F.collect_set("pos").alias("__drop"))
@@ -138,7 +140,7 @@ def _sql() -> str:
 WITH raw AS (
   SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), low AS (
-  SELECT doc_id, pos, translate(line, '{UPPER}', '{LOWER}') AS line FROM raw
+  SELECT doc_id, pos, lower(line) AS line FROM raw
 ), tok AS (
   SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM low
 ), l AS (
