@@ -19,7 +19,7 @@ within the context's range, from the longest context down.
 
 What crosses the network grows with the corpus: its words once by block, and some four
 bytes for each distinct n-gram of a block. A frequent word or n-gram is one entry per block,
-so no key is hot. Hashes of n-grams above order 1 have log2(tokens) + 22 bits.
+so no key is hot. Hashes of n-grams above order 1 have log2(tokens) + 18 bits.
 
 Defined cases: a null text is as an empty one, which is the end token alone; without
 training texts every count is 0 and the base is log10(0.5 / 0.5) = 0 a token; repeated rows
@@ -47,7 +47,7 @@ BLOCK_DOCS = 2048
 BUCKET_GRAMS = 2_000_000
 #: Quantised log10 probabilities: steps of 1/2048 from 0 down to -31.99.
 QUANTUM, FLOOR = 2048.0, 65535
-EXTRA_BITS = 22
+EXTRA_BITS = 18
 _END = np.uint64(0xD1B54A32D192ED03)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -215,7 +215,8 @@ class Trie:
             _, place, at, _ = tokens.levels[k]
             upper = tokens.levels[k - 1][1]
             context, suffix, word = upper[at - 1], upper[at], words_of[at]
-            seen = np.flatnonzero(totals[k] > 0)
+            # a gram whose context is unseen shares its hash with another, and isn't taken for it
+            seen = np.flatnonzero((totals[k] > 0) & (self.nodes[k - 1][context] >= 0))
             c, h = totals[k].astype(np.float64), totals[k - 1][context].astype(np.float64)
             share, shorter = SHORTER[k - 1], probs[k - 1][suffix]
             p = np.where(h > 0, (1 - share) * c / np.maximum(h, 1) + share * shorter, shorter)
