@@ -1,0 +1 @@
+"""Event-log and incremental-discovery analytics on PySpark."""
