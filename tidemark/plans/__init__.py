@@ -1 +1,6 @@
-"""See the modules."""
+"""Queries over the driver's tables, with oracles."""
+
+from . import filing_queries, log_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "filing_queries", "log_queries"]
