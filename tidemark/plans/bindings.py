@@ -234,7 +234,7 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as press-list pages: two cards each, from the page's URL and first heading; some lack a headline or a time."""
     p = table(spark, sf_dir, "pages")
     head = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    href = F.concat(F.lit("/news/"), F.regexp_replace("url", r"^https?://|[?#].*$", ""), F.lit("-"), F.lpad(F.col("page_id").cast("string"), 9, "3"), F.lit(".html"))
+    href = F.concat(F.lit("/news/"), F.regexp_replace("url", r"^https?://|[?#].*$", ""), F.lit("-"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".html"))
     time = F.when(F.col("page_id") % 4 == 0, "May 3, 2026, 08:15 ET").when(F.col("page_id") % 4 == 1, "May 13, 2026, 3:04 PM ET").when(F.col("page_id") % 4 == 2, "January 2, 2026, 11:30 AM ET").otherwise("soon")
     card = lambda link, title: F.concat(F.lit('<a class="x newsreleaseconsolidatelink y" href="'), link, F.lit('"><h3>'), title, F.lit("</h3><p>"), time, F.lit('</p></a> <a class="color-inherit">Firm</a>'))
     second = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<b>"), head, F.lit("</b> again")))
@@ -243,13 +243,13 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGES = r"""heads AS (
   SELECT page_id, url, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS head,
-    '/news/' || regexp_replace(url, '^https?://|[?#].*$', '', 'g') || '-' || lpad(page_id::VARCHAR, 9, '3') || '.html' AS href,
+    '/news/' || regexp_replace(url, '^https?://|[?#].*$', '', 'g') || '-' || lpad(page_id::VARCHAR, 9, '0') || '.html' AS href,
     CASE page_id % 4 WHEN 0 THEN TIMESTAMP '2026-05-03 00:15:00' WHEN 1 THEN TIMESTAMP '2026-05-13 15:04:00' WHEN 2 THEN TIMESTAMP '2026-01-02 11:30:00' END AS published_at
   FROM pages
 ), texts AS (
   SELECT *, regexp_replace(regexp_replace(head, '(?is)<[^>]+>', '', 'g'), '^[\t-\r \x{85}\x{A0}]+|[\t-\r \x{85}\x{A0}]+$', '', 'g') AS plain FROM heads
 ), cards AS (
-  SELECT page_id, 0 AS pos, plain AS headline, 'https://press.example.com' || href AS release_url, lpad(page_id::VARCHAR, 9, '3') AS release_id, published_at FROM texts WHERE plain <> ''
+  SELECT page_id, 0 AS pos, plain AS headline, 'https://press.example.com' || href AS release_url, lpad(page_id::VARCHAR, 9, '0') AS release_id, published_at FROM texts WHERE plain <> ''
   UNION ALL
-  SELECT page_id, 1, plain || ' again', url, url, published_at FROM texts WHERE page_id % 3 <> 0
+  SELECT page_id, 1, ltrim(regexp_replace(head, '(?is)<[^>]+>', '', 'g')) || ' again', url, url, published_at FROM texts WHERE page_id % 3 <> 0
 )"""

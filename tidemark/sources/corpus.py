@@ -9,6 +9,8 @@ from ..functions.text import base_name, extension
 from .listings import METADATA
 
 ITEM = "ARRAY<STRUCT<name: STRING, type: STRING, size: STRING, `last-modified`: STRING>>"
+#: From where the last match ended: whole strings and whatever holds no number, then a number.
+BARE_NUMBER = r'\G((?:[^"0-9-]|"(?:[^"\\]|\\.)*+")*+)(-?[0-9][0-9.eE+-]*)'
 CANDIDATE_EXTENSIONS = (".htm", ".html", ".xml", ".txt")
 
 
@@ -52,6 +54,11 @@ def metadata(documents: DataFrame, column: str = "json") -> DataFrame:
     return documents.withColumn("m", F.from_json(column, METADATA)).select(*[c for c in documents.columns if c != column], "m.*")
 
 
+def with_quoted_numbers(json: Column) -> Column:
+    """JSON text with its numbers as strings, so that 1.50 stays 1.50."""
+    return F.regexp_replace(json, BARE_NUMBER, '$1"$2"')
+
+
 def index_documents(documents: DataFrame, column: str = "json") -> DataFrame:
     """Index documents parsed: `dir_name`, `parent_dir`, `items` and an `error` naming what is missing.
 
@@ -59,6 +66,7 @@ def index_documents(documents: DataFrame, column: str = "json") -> DataFrame:
     """
     one = f"directory STRUCT<name: STRING, `parent-dir`: STRING, item: {ITEM[6:-1]}>"
     many = f"directory STRUCT<name: STRING, `parent-dir`: STRING, item: {ITEM}>"
+    documents = documents.withColumn(column, with_quoted_numbers(F.col(column)))
     raw = F.get_json_object(column, "$.directory.item")
     single = raw.startswith("{")
     parsed_one, parsed_many = F.from_json(column, one)["directory"], F.from_json(column, many)["directory"]
