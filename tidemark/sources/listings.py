@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_cik, normalize_code, submissions_url, trim_unicode
+from ..operators.event_log import numbered
 
 WATCHLIST = "entries ARRAY<STRUCT<ticker: STRING, company_name: STRING, cik: STRING, allowed_forms: ARRAY<STRING>, enabled: BOOLEAN, poll_priority: INT, notes: STRING>>"
 SUBMISSIONS = "cik STRING, filings STRUCT<recent: STRUCT<accessionNumber: ARRAY<STRING>, form: ARRAY<STRING>, filingDate: ARRAY<STRING>, primaryDocument: ARRAY<STRING>, acceptanceDateTime: ARRAY<STRING>>>"
@@ -35,8 +35,8 @@ def watchlist(documents: DataFrame, column: str = "json") -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """The small watchlist dimension with its place in an order."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(*order)))
+    """Entries with their place in an order."""
+    return numbered(df, *order, name="place")
 
 
 def submissions(documents: DataFrame, column: str = "json", ticker: str = "ticker") -> DataFrame:
