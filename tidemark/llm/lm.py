@@ -141,8 +141,12 @@ class Tokens:
 
 def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each bucket's hash range begins among sorted keys of so many bits."""
-    top = keys >> np.uint64(bits - 32)
-    return np.searchsorted((top * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    return np.searchsorted(_bucket_of(keys, bits, buckets), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Each key's bucket: equal ranges of the hashes, of so many bits."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _bits(k: int, bits: int) -> int:
@@ -150,24 +154,26 @@ def _bits(k: int, bits: int) -> int:
 
 
 def listed(bits: int, buckets: int):
-    """For a block's documents: its n-gram lists, a row for each bucket."""
+    """For a block's documents: its n-gram lists, a row for each bucket in which it has any."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         tokens = Tokens(group.column("text"), group.column("held").to_numpy(zero_copy_only=False), bits)
-        cuts = [_cuts(keys, _bits(k, bits), buckets) for k, (keys, *_) in enumerate(tokens.levels)]
+        placed = [_bucket_of(keys, _bits(k, bits), buckets) for k, (keys, *_) in enumerate(tokens.levels)]
+        filled = np.unique(np.concatenate(placed))
+        cuts = [(np.searchsorted(p, filled), np.searchsorted(p, filled, "right")) for p in placed]
         rows = []
-        for b in range(buckets):
+        for i, b in enumerate(filled.tolist()):
             parts = []
             for k, (keys, _, _, counts) in enumerate(tokens.levels):
-                lo, hi = cuts[k][b], cuts[k][b + 1]
+                lo, hi = cuts[k][0][i], cuts[k][1][i]
                 # keys relative to the bucket's least
                 least = np.uint64(-((-b << 32) // buckets)) << np.uint64(_bits(k, bits) - 32)
                 parts.append(EliasFano.of(keys[lo:hi] - least, 1 + (1 << _bits(k, bits)) // buckets).to_bytes())
                 parts.append(_packed(counts[lo:hi]))
             rows.append(b"".join(parts))
         block = group.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(np.arange(buckets, dtype=np.int32)), "block": pa.array([block] * buckets, pa.int64()), "grams": pa.array(rows, pa.binary())})
+        return pa.table({"bucket": pa.array(filled.astype(np.int32)), "block": pa.array([block] * len(rows), pa.int64()), "grams": pa.array(rows, pa.binary())})
 
     return run
 
@@ -288,14 +294,14 @@ def block_scores(tokens: Tokens, totals: list[np.ndarray], n_train: int, n_words
     return base, log
 
 
-def scorer(bits: int, buckets: int, n_train: int, n_words: int):
+def scorer(bits: int, n_train: int, n_words: int):
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         held = docs.column("held").to_numpy(zero_copy_only=False)
         tokens = Tokens(docs.column("text"), held, bits)
         rows = dict(zip(counted.column("bucket").to_pylist(), counted.column("totals").to_pylist(), strict=True))
         parts: list[list[np.ndarray]] = [[] for _ in tokens.levels]
-        for b in range(buckets):
+        for b in sorted(rows):
             view, at = memoryview(rows[b]), 0
             for k in range(len(parts)):
                 counts, used = _unpacked(view[at:])
@@ -369,7 +375,7 @@ def score_documents(docs: DataFrame, *, block_docs: int = BLOCK_DOCS, bucket_gra
     lists = dealt.groupBy("block").applyInArrow(listed(bits, buckets), "bucket int, block bigint, grams binary")
     totals = lists.groupBy("bucket").applyInArrow(summed, "block bigint, bucket int, totals binary")
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scorer(bits, buckets, n_train, n_words), schema)
+    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scorer(bits, n_train, n_words), schema)
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
