@@ -1,23 +1,26 @@
 """Line dedup with a log-template tree, in built-in functions only.
 
-A line's words become tokens: lower-cased, and any token with a digit is the field
-`<*>`. The tree has a fixed depth: token count, then the `LEAD` leading tokens; their hash
-is the leaf. Within a leaf the line found in most documents is the dominant one. A line that
-agrees with it on at least `ALIKE` of the non-empty eighths of its tokens has the same
-template, its differing eighths being variable fields; every other line is its own template.
-A template is recurring if it has at least `LONG` tokens and is found in two documents, or
-has at least `SHORT` tokens and is found in `MANY`. Its lines are dropped, but for those of
-the document with the least id, so that no content is lost.
-
-Lines are counted as fixed-size hashes with partial sums, and neither line texts nor a
-line's documents are ever gathered; a very common line is one row after the partial sums,
-and its join with the documents' lines can be split by Spark where it is skewed.
+Lines, and the sentences that they hold, become tokens: lower-cased words, and any word with
+a digit is the field `<*>`. The tree has a fixed depth: token count, then the `LEAD` leading
+tokens; their hash is the leaf. Within a leaf the line found most often is the dominant one.
+A line that agrees with it on at least `ALIKE` of the non-empty quarters of its tokens has
+the same template, its differing quarter being a variable field; every other line is its own
+template, and so is every sentence. A template is recurring if it has at least `LONG` tokens
+and is found in two documents, or if it is a line, has at least `SHORT` tokens and is found
+in `MANY`. Its lines and sentences are dropped, but for those of the document with the least
+id, so that no content is lost. Sentences catch passages that stand amid other lines.
+
+Units are counted as fixed-size hashes with partial sums, and neither texts nor a line's
+documents are ever gathered; a very common line is one row after the partial sums. The
+recurring ones are broadcast if counted to be few enough, else joined by a shuffle which
+Spark can split where it is skewed.
 
 Defined cases: a null text stays null with 0 lines; an empty text is one empty line, which
-is kept; a line twice in a document counts once; repeated document rows count each; equal
-counts in a leaf prefer the lesser hash; a null doc_id comes after all others and is never
-first unless alone; an empty table gives an empty result. `drop_recurring` keeps the columns
-of its input, and updates n_chars where there is one.
+is kept; a unit twice in a document counts as found in one; repeated document rows count as
+one document; equal counts in a leaf prefer the lesser hash; a null doc_id comes after all
+others and is never first unless alone; where a sentence goes, its line's others are joined
+by one blank; an empty table gives an empty result. `drop_recurring` keeps the columns of
+its input, and updates n_chars where there is one.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 LEAD = 3
-EIGHTHS = 8
+QUARTERS = 4
 ALIKE = 0.75
 LONG, SHORT, MANY = 8, 3, 10
-#: Hex digits kept of a md5: of a line or leaf, of an eighth.
+#: Recurring units that are broadcast at most.
+BROADCAST_UNITS = 1_000_000
+#: A place is line number * PLACES + sentence number, or the last for the line itself.
+PLACES = 1 << 20
+SENTENCE_END, CUT = r"([.!?])\x20+", "\x1f"
+#: Hex digits kept of a md5: of a unit or leaf, of a quarter.
 KEY, PART = 15, 5
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
@@ -46,73 +54,88 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")
 
 
-def _eighth(words: Column, n: Column, k: int) -> Column:
-    begin, end = F.floor(n * k / EIGHTHS).cast("int"), F.floor(n * (k + 1) / EIGHTHS).cast("int")
+def _quarter(words: Column, n: Column, k: int) -> Column:
+    begin, end = F.floor(n * k / QUARTERS).cast("int"), F.floor(n * (k + 1) / QUARTERS).cast("int")
     text = F.array_join(F.slice(words, begin + 1, end - begin), " ")
     return F.substring(F.md5(text.cast("binary")), 1, PART)
 
 
-def row_key(df: DataFrame) -> list[Column]:
+def row_key() -> list[Column]:
     """What tells a document row from others: its id and a hash of its text."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__doc"), F.xxhash64("text").alias("__text")]
 
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """A row per line: __doc, __text, pos, n, leaf, line, parts.
+def _cut(line: Column) -> Column:
+    return F.split(F.regexp_replace(line, SENTENCE_END, f"$1{CUT}"), CUT)
+
+
+def parsed_units(docs: DataFrame) -> DataFrame:
+    """A row per line and per sentence of a line with several: __doc, __text, place, n, leaf, unit, parts (null for a sentence).
 
     Without a filter, which would have the tokens made twice, and to be stored before any use.
     """
-    lines = docs.select(*row_key(docs), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    cut = lines.withColumn("words", tokens(F.col("raw"))).drop("raw").withColumn("n", F.size("words"))
+    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("cut", _cut(F.col("raw")))
+    # the line itself stands first, its sentences follow
+    rows = lines.select("__doc", "__text", "pos", F.posexplode(F.when(F.size("cut") > 1, F.concat(F.array("raw"), "cut")).otherwise(F.array("raw"))).alias("at", "raw"))
+    cut = rows.withColumn("words", tokens(F.col("raw"))).drop("raw").withColumn("n", F.size("words"))
+    is_line = F.col("at") == 0
     return cut.select(
         "__doc",
         "__text",
-        "pos",
+        (F.col("pos").cast("long") * PLACES + F.when(is_line, PLACES - 1).otherwise(F.col("at") - 1)).alias("place"),
         "n",
         _key(F.concat_ws(" ", F.col("n").cast("string"), F.slice("words", 1, LEAD))).alias("leaf"),
-        _key(F.array_join("words", " ")).alias("line"),
-        F.concat(*[_eighth(F.col("words"), F.col("n"), k) for k in range(EIGHTHS)]).alias("parts"),
+        _key(F.array_join("words", " ")).alias("unit"),
+        F.when(is_line, F.concat(*[_quarter(F.col("words"), F.col("n"), k) for k in range(QUARTERS)])).alias("parts"),
     )
 
 
 def alike(parts: Column, other: Column, n: Column) -> Column:
-    filled = [(F.floor(n * (k + 1) / EIGHTHS) > F.floor(n * k / EIGHTHS)).cast("int") for k in range(EIGHTHS)]
-    same = [(F.substring(parts, k * PART + 1, PART) == F.substring(other, k * PART + 1, PART)).cast("int") * filled[k] for k in range(EIGHTHS)]
+    filled = [(F.floor(n * (k + 1) / QUARTERS) > F.floor(n * k / QUARTERS)).cast("int") for k in range(QUARTERS)]
+    same = [(F.substring(parts, k * PART + 1, PART) == F.substring(other, k * PART + 1, PART)).cast("int") * filled[k] for k in range(QUARTERS)]
     return sum(same[1:], same[0]) >= ALIKE * sum(filled[1:], filled[0])
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """(leaf, line, keeper) of the lines whose template recurs; keeper is the document that keeps its lines."""
-    counted = (
-        lines.groupBy("leaf", "line", "__doc", "__text")
-        .agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
-        .groupBy("leaf", "line")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("__doc").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    )
-    counted = stored(counted, "line-counts")
-    order = F.struct((-F.col("docs")).alias("o"), F.col("line"), F.col("parts"))
-    leaves = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.min(order).alias("main"))
-    leaves = leaves.where("kinds > 1").select("leaf", F.col("main.line").alias("main"), F.col("main.parts").alias("main_parts"))
-    leaves = stored(leaves, "line-leaves")
+def recurring(units: DataFrame) -> DataFrame:
+    """(leaf, unit, keeper) of the units whose template recurs; keeper is the document that keeps them."""
+    per_unit = [F.count(F.lit(1)).alias("found"), F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.first("n").alias("n"), F.max("parts").alias("parts")]
+    counted = stored(units.groupBy("leaf", "unit").agg(*per_unit), "line-counts")
+    as_lines = counted.where("parts is not null")
+    order = F.struct((-F.col("found")).alias("o"), F.col("unit"), F.col("parts"))
+    leaves = as_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.min(order).alias("main")).where("kinds > 1")
+    leaves = stored(leaves.select("leaf", F.col("main.unit").alias("main"), F.col("main.parts").alias("main_parts")), "line-leaves")
     placed = counted.join(leaves, "leaf", "left")
-    template = F.when(alike(F.col("parts"), F.col("main_parts"), F.col("n")), F.col("main")).otherwise(F.col("line"))
-    placed = placed.withColumn("template", F.coalesce(template, F.col("line")))
-    totals = placed.groupBy("leaf", "template").agg(F.sum("docs").alias("found"), F.min("first").alias("keeper"), F.first("n").alias("n"))
-    often = totals.where(((F.col("n") >= LONG) & (F.col("found") >= 2)) | ((F.col("n") >= SHORT) & (F.col("found") >= MANY)))
-    return placed.select("leaf", "line", "template").join(often.select("leaf", "template", "keeper"), ["leaf", "template"]).select("leaf", "line", "keeper")
+    template = F.when(F.col("parts").isNotNull() & alike(F.col("parts"), F.col("main_parts"), F.col("n")), F.col("main")).otherwise(F.col("unit"))
+    placed = placed.withColumn("template", F.coalesce(template, F.col("unit")))
+    totals = placed.groupBy("leaf", "template").agg(F.min("first").alias("keeper"), F.max("last").alias("last"), F.first("n").alias("n"))
+    often = totals.where((F.col("n") >= LONG) & (F.col("keeper") < F.col("last"))).select("leaf", "template", "keeper")
+    long = placed.select("leaf", "unit", "template").join(often, ["leaf", "template"]).select("leaf", "unit", "keeper")
+    # short lines count documents, each once
+    short = units.where((F.col("n") < LONG) & F.col("parts").isNotNull()).groupBy("leaf", "unit", "__doc").agg(F.lit(1).alias("one"))
+    short = short.groupBy("leaf", "unit").agg(F.sum("one").alias("docs"), F.min("__doc").alias("keeper")).where(F.col("docs") >= MANY)
+    return long.unionByName(short.select("leaf", "unit", "keeper"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
-    """docs with the recurring lines dropped, and n_lines and n_dropped beside their columns."""
-    lines = stored(parsed_lines(docs), "lines").where(F.col("n") >= SHORT)
-    out = stored(recurring(lines), "line-recurring")
-    places = lines.select("__doc", "__text", "pos", "leaf", "line").join(out, ["leaf", "line"]).where(F.col("__doc") != F.col("keeper"))
-    drops = places.groupBy("__doc", "__text").agg(F.collect_set("pos").alias("__drop"))
-    keyed = docs.select("*", *row_key(docs)).join(drops, ["__doc", "__text"], "left")
+    """docs with the recurring lines and sentences dropped, and n_lines and n_dropped (of both) beside their columns."""
+    units = stored(parsed_units(docs), "lines").where(F.col("n") >= SHORT)
+    out = stored(recurring(units), "line-recurring")
+    few = F.broadcast(out) if out.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else out
+    places = units.select("__doc", "__text", "place", "leaf", "unit").join(few, ["leaf", "unit"]).where(F.col("__doc") != F.col("keeper"))
+    drops = places.groupBy("__doc", "__text").agg(F.collect_set("place").alias("__drop"))
+    keyed = docs.select("*", *row_key()).join(drops, ["__doc", "__text"], "left")
+    gone = F.coalesce("__drop", F.array().cast("array<bigint>"))
     parts = F.split("text", "\n")
-    gone = F.coalesce("__drop", F.array().cast("array<int>"))
-    left = F.filter(parts, lambda x, i: ~F.array_contains(gone, i))
-    text = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    at = lambda i: i.cast("long") * PLACES
+
+    def kept(line: Column, i: Column) -> Column:
+        """The line without its dropped sentences; null if nothing is left."""
+        cut = _cut(line)
+        some = F.filter(cut, lambda _, j: ~F.array_contains(gone, at(i) + F.when(F.size(cut) > 1, j.cast("long")).otherwise(F.lit(PLACES - 1))))
+        left = F.when(F.size(some) == F.size(cut), line).when(F.size(some) > 0, F.array_join(some, " "))
+        return F.when(~F.array_contains(gone, at(i) + (PLACES - 1)), left)
+
+    text = F.when(F.size(gone) > 0, F.array_join(F.filter(F.transform(parts, kept), lambda x: x.isNotNull()), "\n")).otherwise(F.col("text"))
     names = {c.lower(): c for c in docs.columns}
     made = keyed.withColumn("__new", text).withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("__gone", F.size(gone).cast("long"))
     columns = []
@@ -132,40 +155,48 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    cut = [f"(n * {k} // 8)" for k in range(9)]
-    parts = " || ".join(f"substr(md5(array_to_string(w[{cut[k]} + 1:{cut[k + 1]}], ' ')), 1, 5)" for k in range(8))
-    same = " + ".join(f"(substr(c.parts, {5 * k + 1}, 5) = substr(m.parts, {5 * k + 1}, 5) AND (c.n * {k + 1} // 8) > (c.n * {k} // 8))::INT" for k in range(8))
-    filled = " + ".join(f"((c.n * {k + 1} // 8) > (c.n * {k} // 8))::INT" for k in range(8))
+    cut = [f"(n * {k} // 4)" for k in range(5)]
+    parts = " || ".join(f"substr(md5(array_to_string(w[{cut[k]} + 1:{cut[k + 1]}], ' ')), 1, 5)" for k in range(4))
+    same = " + ".join(f"(substr(c.parts, {5 * k + 1}, 5) = substr(m.parts, {5 * k + 1}, 5) AND (c.n * {k + 1} // 4) > (c.n * {k} // 4))::INT" for k in range(4))
+    filled = " + ".join(f"((c.n * {k + 1} // 4) > (c.n * {k} // 4))::INT" for k in range(4))
     return rf"""
 WITH raw AS (
   SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-), low AS (
-  SELECT doc_id, pos, lower(line) AS line FROM raw
+), cut AS (
+  SELECT doc_id, pos, line, string_split(regexp_replace(line, '([.!?])\x20+', '\1' || chr(31), 'g'), chr(31)) AS s FROM raw
+), piece AS (
+  SELECT doc_id, pos, unnest(range(0, len(s))) AS nth, unnest(s) AS line, len(s) AS pieces FROM cut
+), both_kinds AS (
+  SELECT doc_id, pos, -1 AS nth, line FROM cut UNION ALL SELECT doc_id, pos, nth, line FROM piece WHERE pieces > 1
 ), tok AS (
-  SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM low
+  SELECT doc_id, pos, nth, regexp_extract_all(regexp_replace(lower(line), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM both_kinds
 ), l AS (
-  SELECT doc_id, pos, n, ('0x' || substr(md5(concat_ws(' ', n::VARCHAR, array_to_string(w[1:3], ' '))), 1, 15))::BIGINT AS leaf,
-    ('0x' || substr(md5(array_to_string(w, ' ')), 1, 15))::BIGINT AS line, {parts} AS parts
+  SELECT doc_id, pos, nth, n, ('0x' || substr(md5(concat_ws(' ', n::VARCHAR, array_to_string(w[1:3], ' '))), 1, 15))::BIGINT AS leaf,
+    ('0x' || substr(md5(array_to_string(w, ' ')), 1, 15))::BIGINT AS unit, CASE WHEN nth = -1 THEN {parts} END AS parts
   FROM (SELECT *, len(w)::BIGINT AS n FROM tok) WHERE n >= 3
 ), c AS (
-  SELECT leaf, line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, min(n) AS n, min(parts) AS parts FROM l GROUP BY leaf, line
+  SELECT leaf, unit, count(*) AS found, min(doc_id) AS first, max(doc_id) AS last, min(n) AS n, max(parts) AS parts FROM l GROUP BY leaf, unit
 ), m AS (
-  SELECT leaf, line AS main, parts FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, line) AS r, count(*) OVER (PARTITION BY leaf) AS k FROM c) WHERE r = 1 AND k > 1
+  SELECT leaf, unit AS main, parts FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY found DESC, unit) AS r, count(*) OVER (PARTITION BY leaf) AS k FROM c WHERE parts IS NOT NULL) WHERE r = 1 AND k > 1
 ), p AS (
-  SELECT c.*, CASE WHEN m.leaf IS NOT NULL AND ({same}) >= 0.75 * ({filled}) THEN m.main ELSE c.line END AS template FROM c LEFT JOIN m USING (leaf)
+  SELECT c.*, CASE WHEN m.leaf IS NOT NULL AND c.parts IS NOT NULL AND ({same}) >= 0.75 * ({filled}) THEN m.main ELSE c.unit END AS template FROM c LEFT JOIN m USING (leaf)
 ), t AS (
-  SELECT leaf, template, min(first) AS keeper FROM p GROUP BY leaf, template HAVING (min(n) >= 8 AND sum(docs) >= 2) OR (min(n) >= 3 AND sum(docs) >= 10)
+  SELECT leaf, template, min(first) AS keeper FROM p GROUP BY leaf, template HAVING min(n) >= 8 AND min(first) < max(last)
 ), r AS (
-  SELECT p.leaf, p.line, t.keeper FROM p JOIN t USING (leaf, template)
+  SELECT p.leaf, p.unit, t.keeper FROM p JOIN t USING (leaf, template)
+  UNION ALL SELECT leaf, unit, min(doc_id) FROM l WHERE n < 8 AND nth = -1 GROUP BY leaf, unit HAVING count(DISTINCT doc_id) >= 10
 ), x AS (
-  SELECT l.doc_id, l.pos FROM l JOIN r USING (leaf, line) WHERE l.doc_id <> r.keeper
+  SELECT DISTINCT l.doc_id, l.pos, l.nth FROM l JOIN r USING (leaf, unit) WHERE l.doc_id <> r.keeper
+), gone AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+stay AS (
+  SELECT doc_id, pos, string_agg(line, ' ' ORDER BY nth) AS line, count(*) AS n FROM piece p
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = p.doc_id AND x.pos = p.pos AND (x.nth = -1 OR x.nth = p.nth)) GROUP BY doc_id, pos
 ), left_over AS (
-  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.pos) AS text, count(*) AS kept FROM raw ANTI JOIN x ON raw.doc_id = x.doc_id AND raw.pos = x.pos GROUP BY raw.doc_id
+  SELECT stay.doc_id, string_agg(CASE WHEN stay.n = len(cut.s) THEN cut.line ELSE stay.line END, chr(10) ORDER BY stay.pos) AS text FROM stay JOIN cut USING (doc_id, pos) GROUP BY stay.doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
-  (CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END - coalesce(o.kept, 0))::BIGINT AS n_dropped,
-  sha256(coalesce(o.text, '')) AS text_sha256
-FROM documents d LEFT JOIN left_over o USING (doc_id)
+  coalesce(g.n, 0)::BIGINT AS n_dropped, sha256(coalesce(o.text, '')) AS text_sha256
+FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN gone g USING (doc_id)
 """
 
 
