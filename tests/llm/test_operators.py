@@ -96,11 +96,11 @@ def brute_components(texts):
     return {i: root(i) for i in ids}, sets
 
 
-@pytest.mark.parametrize("left_chunk", [256, 3])
+@pytest.mark.parametrize("left_chunk", [128, 3])
 def test_near_duplicates(spark, monkeypatch, left_chunk):
     """Families of copies with more and more words changed; small chunks make large buckets meet in pieces."""
     monkeypatch.setattr(near_dup, "LEFT", left_chunk)
-    monkeypatch.setattr(near_dup, "RIGHT", 2 * left_chunk)
+    monkeypatch.setattr(near_dup, "RIGHT", 4 * left_chunk)
     rng = random.Random(left_chunk)
     texts, n = {}, 0
     for family in range(6):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import shipped, table
 from .words import NON_ALNUM, blocks
 
 WINDOW = 13
@@ -252,6 +252,7 @@ def _spans(hit: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans of hit words, and the ids of the items that occur, sorted as strings."""
     spark = docs.sparkSession
+    shipped(spark)
     taken = ("n_words", "spans", "items")
     out = docs.drop(*[c for c in docs.columns if c.lower() in taken])
     schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])

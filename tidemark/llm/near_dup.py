@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, stored, table
+from .shared import checkpointed, shipped, stored, table
 from .words import BLANKS, blocks, mix64
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ SKETCH_WORDS = 8
 THRESHOLD = (85, 100)
 #: How far an estimate may fall short of the threshold and still be confirmed on sets: over six standard deviations.
 SLACK = 0.17
-LEFT, RIGHT = 256, 1024
+LEFT, RIGHT = 128, 512
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(7919)
@@ -266,6 +266,7 @@ def bounded_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     num, den = threshold
+    shipped(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(text.mapInArrow(_signatures, SIGNATURE), "near-signatures")
     linkable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold, sampled, table
+from .shared import fold, sampled, shipped, table
 from .words import BLANKS, blocks
 
 SAMPLE_ROWS = 40_000
@@ -158,6 +158,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> BradleyTerry:
     """From docs (doc_id, text) and labels (doc_id, quality), on at most about `sample_rows` rows."""
+    shipped(docs.sparkSession)
     known = sampled(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")), sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(_vectors, "quality int, x array<double>").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
@@ -168,6 +169,7 @@ def learned(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROW
 
 def scored(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """docs with quality_score."""
+    shipped(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.drop(*[c for c in docs.columns if c.lower() == "quality_score"])
     schema = T.StructType([*out.schema.fields, T.StructField("quality_score", T.DoubleType())])
