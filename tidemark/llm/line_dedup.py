@@ -126,16 +126,17 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     keyed = docs.select("*", *row_key()).join(drops, ["__doc", "__text"], "left")
     gone = F.coalesce("__drop", F.array().cast("array<bigint>"))
     parts = F.split("text", "\n")
-    at = lambda i: i.cast("long") * PLACES
+    # a line with its sentences, cut once and then looked at by place
+    lines = F.transform(parts, lambda line: F.struct(line.alias("line"), _cut(line).alias("cut")))
+    own = lambda i: i.cast("long") * PLACES + (PLACES - 1)
 
-    def kept(line: Column, i: Column) -> Column:
+    def kept(x: Column, i: Column) -> Column:
         """The line without its dropped sentences; null if nothing is left."""
-        cut = _cut(line)
-        some = F.filter(cut, lambda _, j: ~F.array_contains(gone, at(i) + F.when(F.size(cut) > 1, j.cast("long")).otherwise(F.lit(PLACES - 1))))
-        left = F.when(F.size(some) == F.size(cut), line).when(F.size(some) > 0, F.array_join(some, " "))
-        return F.when(~F.array_contains(gone, at(i) + (PLACES - 1)), left)
+        some = F.filter(x["cut"], lambda _, j: ~F.array_contains(gone, i.cast("long") * PLACES + j))
+        left = F.when(F.size(some) == F.size(x["cut"]), x["line"]).when(F.size(some) > 0, F.array_join(some, " "))
+        return F.when(~F.array_contains(gone, own(i)), F.when(F.size(x["cut"]) == 1, x["line"]).otherwise(left))
 
-    text = F.when(F.size(gone) > 0, F.array_join(F.filter(F.transform(parts, kept), lambda x: x.isNotNull()), "\n")).otherwise(F.col("text"))
+    text = F.when(F.size(gone) > 0, F.array_join(F.filter(F.transform(lines, kept), lambda x: x.isNotNull()), "\n")).otherwise(F.col("text"))
     names = {c.lower(): c for c in docs.columns}
     made = keyed.withColumn("__new", text).withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("__gone", F.size(gone).cast("long"))
     columns = []
