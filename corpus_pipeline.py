@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dup, quality
 from tidemark.llm.shared import fold, stored, table
 
+#: Near copies of the near-dedup stage: 100 * intersection >= 80 * union.
+NEAR = (80, 100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose Bradley-Terry score is under the threshold; learns from the labelled ones."""
@@ -30,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return near_dup.one_of_each(docs).select(*docs.columns)
+    return near_dup.one_of_each(docs, threshold=NEAR).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

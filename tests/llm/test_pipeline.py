@@ -39,3 +39,17 @@ def test_run(spark):
         assert (r.doc_id in clean) == (not (hit and 20 * hit >= n))
     mixed = pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in mixed} <= clean and all(0 < r.taken <= 2 * r.size for r in mixed)
+
+
+def test_near_dup_stage_takes_copies_of_four_fifths(spark):
+    from tests.llm.test_operators import shingles
+
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for n, changed in enumerate(((), (20, 60, 100), (10, 40, 70, 100, 130))):
+        texts[n] = " ".join(f"e{i}" if i in changed else w for i, w in enumerate(base))
+    near = [len(shingles(texts[0]) & shingles(texts[i])) / len(shingles(texts[0]) | shingles(texts[i])) for i in (1, 2)]
+    assert 0.8 <= near[0] < 0.85 and near[1] < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(pipeline.STAGES)["near_dup"](spark, docs, SF)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]

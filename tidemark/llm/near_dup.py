@@ -339,9 +339,9 @@ def near_duplicates(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD)
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The documents that stay: one of each group, and the rows without a doc_id as they are."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    kept = near_duplicates(docs, threshold=threshold).where("kept").select(F.col("doc_id").alias("__kept"))
     stay = docs.join(kept.distinct(), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
