@@ -211,6 +211,14 @@ def test_line_templates_generalise_fields(spark):
     assert all(got[i].n_dropped == 2 and got[i].text.endswith("no other document has") for i in range(1, 5))
 
 
+def test_line_dedup_of_very_many_sentences(spark):
+    shared = "This sentence of ten words is found in both documents."
+    own = "A first sentence of its own. And then a second one."
+    rows = [(1, shared), (2, "b. " * (1 << 20) + shared + "\n" + own)]
+    got = by_id(line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[2].n_dropped == 1 and got[2].text == ("b. " * (1 << 20)).strip() + "\n" + own
+
+
 # 5 language model
 
 

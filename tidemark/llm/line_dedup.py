@@ -36,8 +36,6 @@ ALIKE = 0.75
 LONG, SHORT, MANY = 8, 3, 10
 #: Recurring units that are broadcast at most.
 BROADCAST_UNITS = 1_000_000
-#: A place is line number * PLACES + sentence number, or the last for the line itself.
-PLACES = 1 << 20
 SENTENCE_END, CUT = r"([.!?])\x20+", "\x1f"
 #: Hex digits kept of a md5: of a unit or leaf, of a quarter.
 KEY, PART = 15, 5
@@ -70,7 +68,7 @@ def _cut(line: Column) -> Column:
 
 
 def parsed_units(docs: DataFrame) -> DataFrame:
-    """A row per line and per sentence of a line with several: __doc, __text, place, n, leaf, unit, parts (null for a sentence).
+    """A row per line and per sentence of a line with several: __doc, __text, pos, at, n, leaf, unit, parts (null for a sentence).
 
     Without a filter, which would have the tokens made twice, and to be stored before any use.
     """
@@ -82,7 +80,8 @@ def parsed_units(docs: DataFrame) -> DataFrame:
     return cut.select(
         "__doc",
         "__text",
-        (F.col("pos").cast("long") * PLACES + F.when(is_line, PLACES - 1).otherwise(F.col("at") - 1)).alias("place"),
+        "pos",
+        "at",
         "n",
         _key(F.concat_ws(" ", F.col("n").cast("string"), F.slice("words", 1, LEAD))).alias("leaf"),
         _key(F.array_join("words", " ")).alias("unit"),
@@ -121,20 +120,21 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     units = stored(parsed_units(docs), "lines").where(F.col("n") >= SHORT)
     out = stored(recurring(units), "line-recurring")
     few = F.broadcast(out) if out.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else out
-    places = units.select("__doc", "__text", "place", "leaf", "unit").join(few, ["leaf", "unit"]).where(F.col("__doc") != F.col("keeper"))
+    places = units.select("__doc", "__text", F.struct("pos", "at").alias("place"), "leaf", "unit").join(few, ["leaf", "unit"]).where(F.col("__doc") != F.col("keeper"))
     drops = places.groupBy("__doc", "__text").agg(F.collect_set("place").alias("__drop"))
     keyed = docs.select("*", *row_key()).join(drops, ["__doc", "__text"], "left")
-    gone = F.coalesce("__drop", F.array().cast("array<bigint>"))
+    gone = F.coalesce("__drop", F.array().cast("array<struct<pos:int,at:int>>"))
     parts = F.split("text", "\n")
     # a line with its sentences, cut once and then looked at by place
     lines = F.transform(parts, lambda line: F.struct(line.alias("line"), _cut(line).alias("cut")))
-    own = lambda i: i.cast("long") * PLACES + (PLACES - 1)
+    # the line itself is at 0, its sentences from 1 on
+    place = lambda i, at: F.struct(i.alias("pos"), at.alias("at"))
 
     def kept(x: Column, i: Column) -> Column:
         """The line without its dropped sentences; null if nothing is left."""
-        some = F.filter(x["cut"], lambda _, j: ~F.array_contains(gone, i.cast("long") * PLACES + j))
+        some = F.filter(x["cut"], lambda _, j: ~F.array_contains(gone, place(i, j + 1)))
         left = F.when(F.size(some) == F.size(x["cut"]), x["line"]).when(F.size(some) > 0, F.array_join(some, " "))
-        return F.when(~F.array_contains(gone, own(i)), F.when(F.size(x["cut"]) == 1, x["line"]).otherwise(left))
+        return F.when(~F.array_contains(gone, place(i, F.lit(0))), F.when(F.size(x["cut"]) == 1, x["line"]).otherwise(left))
 
     text = F.when(F.size(gone) > 0, F.array_join(F.filter(F.transform(lines, kept), lambda x: x.isNotNull()), "\n")).otherwise(F.col("text"))
     names = {c.lower(): c for c in docs.columns}
