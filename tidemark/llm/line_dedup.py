@@ -95,8 +95,24 @@ def alike(parts: Column, other: Column, n: Column) -> Column:
     return sum(same[1:], same[0]) >= ALIKE * sum(filled[1:], filled[0])
 
 
-def recurring(units: DataFrame) -> DataFrame:
-    """(leaf, unit, keeper) of the units whose template recurs; keeper is the document that keeps them."""
+def family_members(as_lines: DataFrame) -> DataFrame:
+    """(leaf, unit, keeper) of the lines that agree on all quarters but one with a line of another document.
+
+    as_lines holds lines that share their leaf with others. Each has four keys, its leaf and
+    all quarters but one, so that any number of templates in a leaf is found without pairs.
+    """
+    without = [F.concat(F.lit(str(k)), F.substring("parts", 1, k * PART), F.substring(F.col("parts"), (k + 1) * PART + 1, QUARTERS * PART)) for k in range(QUARTERS)]
+    keyed = as_lines.where(F.col("n") >= LONG).select("leaf", "unit", "first", "last", F.explode(F.array(*[F.xxhash64("leaf", w) for w in without])).alias("family"))
+    keyed = stored(keyed, "line-families")
+    often = keyed.groupBy("family").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("family", "keeper")
+    return keyed.select("leaf", "unit", "family").join(often, "family").groupBy("leaf", "unit").agg(F.min("keeper").alias("keeper"))
+
+
+def recurring(units: DataFrame, *, families: bool = False) -> DataFrame:
+    """(leaf, unit, keeper) of the units whose template recurs; keeper is the document that keeps them.
+
+    With `families`, lines also recur by any line alike, not only by the dominant one of their leaf.
+    """
     per_unit = [F.count(F.lit(1)).alias("found"), F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.first("n").alias("n"), F.max("parts").alias("parts")]
     counted = stored(units.groupBy("leaf", "unit").agg(*per_unit), "line-counts")
     as_lines = counted.where("parts is not null")
@@ -109,16 +125,19 @@ def recurring(units: DataFrame) -> DataFrame:
     totals = placed.groupBy("leaf", "template").agg(F.min("first").alias("keeper"), F.max("last").alias("last"), F.first("n").alias("n"))
     often = totals.where((F.col("n") >= LONG) & (F.col("keeper") < F.col("last"))).select("leaf", "template", "keeper")
     long = placed.select("leaf", "unit", "template").join(often, ["leaf", "template"]).select("leaf", "unit", "keeper")
+    if families:
+        shared = as_lines.join(leaves.select("leaf"), "leaf", "left_semi")
+        long = long.unionByName(family_members(shared)).groupBy("leaf", "unit").agg(F.min("keeper").alias("keeper"))
     # short lines count documents, each once
     short = units.where((F.col("n") < LONG) & F.col("parts").isNotNull()).groupBy("leaf", "unit", "__doc").agg(F.lit(1).alias("one"))
     short = short.groupBy("leaf", "unit").agg(F.sum("one").alias("docs"), F.min("__doc").alias("keeper")).where(F.col("docs") >= MANY)
     return long.unionByName(short.select("leaf", "unit", "keeper"))
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
+def drop_recurring(docs: DataFrame, *, families: bool = False) -> DataFrame:
     """docs with the recurring lines and sentences dropped, and n_lines and n_dropped (of both) beside their columns."""
     units = stored(parsed_units(docs), "lines").where(F.col("n") >= SHORT)
-    out = stored(recurring(units), "line-recurring")
+    out = stored(recurring(units, families=families), "line-recurring")
     few = F.broadcast(out) if out.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else out
     places = units.select("__doc", "__text", F.struct("pos", "at").alias("place"), "leaf", "unit").join(few, ["leaf", "unit"]).where(F.col("__doc") != F.col("keeper"))
     drops = places.groupBy("__doc", "__text").agg(F.collect_set("place").alias("__drop"))
