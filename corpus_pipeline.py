@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dup, quality
-from tidemark.llm.shared import fold, stored, table
+from tidemark.llm.shared import fold, stored, stored_alone, table
 
 #: Near copies of the near-dedup stage: 100 * intersection >= 80 * union.
 NEAR = (80, 100)
@@ -27,8 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines whose template recurs across documents, but for the first document's."""
-    return line_dedup.drop_recurring(docs, families=True).select(*docs.columns)
+    """Cuts lines whose template recurs across documents, then passages wherever they begin and end, but for the first document's."""
+    whole = stored_alone(lambda: line_dedup.drop_recurring(docs, families=True).select(*docs.columns), "pipeline-whole-lines")
+    return line_dedup.drop_passages(whole)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,6 +229,24 @@ def test_line_families_behind_a_dominant_line(spark):
     assert {i for i, r in got.items() if r.n_dropped} == {1, 2, 11, 12, 13} and got[0].text.startswith(lines[0])
 
 
+def test_passages_amid_sentences(spark, odd_docs, no_docs):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeinrstuo") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    short = " ".join(f"{word()} {word()}." for _ in range(30))
+    own = {i: [" ".join(word() for _ in range(20)) for _ in range(2)] for i in range(5)}
+    texts = {i: f"{own[i][0]} {passage if i < 3 else short}\t{own[i][1]}" for i in own} | {5: " \n " + passage, 6: None, 7: ""}
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = by_id(line_dedup.drop_passages(docs))
+    assert all(got[i].text == texts[i] for i in (0, 3, 6, 7))
+    for i in (1, 2, 4):
+        assert got[i].text.startswith(own[i][0]) and got[i].text.endswith(own[i][1]) and got[i].n_chars == len(got[i].text)
+        assert len(got[i].text.split()) <= 40 + 20
+    assert len(got[5].text.split()) <= 15
+    odd = line_dedup.drop_passages(odd_docs)
+    assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count() and line_dedup.drop_passages(no_docs).count() == 0
+
+
 # 5 language model
 
 

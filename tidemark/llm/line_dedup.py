@@ -37,6 +37,9 @@ LONG, SHORT, MANY = 8, 3, 10
 #: Recurring units that are broadcast at most.
 BROADCAST_UNITS = 1_000_000
 SENTENCE_END, CUT = r"([.!?])\x20+", "\x1f"
+#: A piece ends with a word that ends in one of these letters, or after PASSAGE words; pieces with PASSAGE tokens together are the least that recurs.
+PASSAGE = 12
+PIECE = rf"(?s)\s*+(?:\S++\s++){{0,{PASSAGE - 1}}}?\S*[nrsNRS][.,;:!?\"')]*+\s++|\s*+(?:\S++\s++){{{PASSAGE}}}|.+"
 #: Hex digits kept of a md5: of a unit or leaf, of a quarter.
 KEY, PART = 15, 5
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -169,6 +172,55 @@ def drop_recurring(docs: DataFrame, *, families: bool = False) -> DataFrame:
     return made.select(*columns, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_dropped"))
 
 
+def pieces(text: Column) -> Column:
+    """text cut after the words that end in one of a few letters; end to end the pieces are the text."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(__doc, __text, at, n, key) of each piece with the fewest pieces after it that make `PASSAGE` tokens: n pieces from place at."""
+    cut = docs.select(*row_key(), F.filter(F.transform(pieces(F.col("text")), tokens), lambda w: F.size(w) > 0).alias("words"))
+    hashed = cut.select("__doc", "__text", F.transform("words", lambda w: F.size(w)).alias("sizes"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+    def needed(i: Column) -> Column:
+        held, n = F.lit(0), F.lit(None).cast("int")
+        sums = [held := held + F.get("sizes", i + k) for k in range(PASSAGE)]
+        for k in range(PASSAGE, 0, -1):
+            n = F.when(sums[k - 1] >= PASSAGE, k).otherwise(n)
+        return n
+
+    counted = hashed.select("__doc", "__text", "hashes", F.transform("sizes", lambda _, i: needed(i)).alias("ns"))
+    keys = F.transform("ns", lambda n, i: F.struct(n.alias("n"), F.xxhash64(F.slice("hashes", i + 1, n)).alias("key")))
+    rows = counted.select("__doc", "__text", F.posexplode(keys).alias("at", "window"))
+    return rows.select("__doc", "__text", "at", "window.n", "window.key").where("n is not null")
+
+
+def drop_passages(docs: DataFrame) -> DataFrame:
+    """docs without the passages that an earlier document holds, wherever in a line or sentence they begin and end.
+
+    The text is cut after words that end in certain letters, so that copies are cut alike
+    whatever surrounds them. Pieces in a row with `PASSAGE` tokens or more that are found in two
+    documents are dropped but for the document with the least id. Of a passage only parts of a
+    piece at its two ends may stay. Case, digits and white space don't tell pieces apart, as in lines.
+    """
+    found = windows(docs)
+    often = found.groupBy("key").agg(F.min("__doc").alias("keeper"), F.max("__doc").alias("last")).where("keeper < last").select("key", "keeper")
+    often = stored(often, "passage-recurring")
+    few = F.broadcast(often) if often.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else often
+    places = found.join(few, "key").where(F.col("__doc") != F.col("keeper"))
+    drops = stored(places.groupBy("__doc", "__text").agg(F.collect_set(F.struct("at", "n")).alias("__drop")), "passage-places")
+    marked = drops.agg(F.sum(F.size("__drop"))).first()[0] or 0
+    keyed = docs.select("*", *row_key()).join(F.broadcast(drops) if marked <= BROADCAST_UNITS else drops, ["__doc", "__text"], "left")
+    parts = pieces(F.col("text"))
+    gone = F.flatten(F.transform("__drop", lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    some = F.col("__drop").isNotNull()
+    made = keyed.withColumn("__new", F.when(some, F.array_join(F.transform(left, lambda i: parts[i]), "")).otherwise(F.col("text")))
+    names = {c.lower(): c for c in docs.columns}
+    swapped = {names.get("text"): F.col("__new"), names.get("n_chars"): F.when(some, F.length("__new").cast("long")).otherwise(F.col(names.get("n_chars", "text")))}
+    return made.select(*[swapped.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_recurring(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def stored_alone(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What make() gives, stored; the tables that were stored on the way are deleted."""
+    before = len(_written)
+    out = stored(make(), what)
+    for name in _written[before:-1]:
+        path = out.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def fold(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo `modulus` (a null id counts as empty text)."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
