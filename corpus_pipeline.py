@@ -45,10 +45,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how many words of each."""
-    row = F.xxhash64("doc_id", "source", "text").alias("__row")
-    mixed = mixing.mix(docs.select("doc_id", "source", "text", row), keep=("__row",))
-    taken = mixed.where("taken > 0").dropDuplicates(["__row"]).drop("doc_id")
-    return docs.select("*", row).join(taken, "__row").select(*docs.columns, "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs, keep=[c for c in docs.columns if c != "doc_id"])
+    return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -53,3 +53,15 @@ def test_near_dup_stage_takes_copies_of_four_fifths(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     out = dict(pipeline.STAGES)["near_dup"](spark, docs, SF)
     assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
+def test_mixing_stage_takes_each_row_without_id_by_itself(spark):
+    """Equal rows without an id: the taken words are those of the mix, row by row."""
+    from tidemark.llm import mixing
+
+    rows = [(None, f"{'one two three ' * 4}", "en", "a", 56)] * 6 + [(None, "x y", "en", None, 3), (None, None, "en", "x y", None)]
+    rows += [(i, "some words of another source here", "en", "b", 33) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs).where("taken > 0").collect())
+    out = dict(pipeline.STAGES)["mixing"](spark, docs, SF).collect()
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in out) == wanted
