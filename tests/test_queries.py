@@ -49,3 +49,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     row = __spark_entry__.entry(spark).first()
     assert row.watched == row.ok + row.failed
+
+
+def test_press_cards_of_a_very_long_page(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.press import press_cards
+
+    card = '<a class="newsreleaseconsolidatelink" href="/news/a-{0}.html"><h3>Headline {0}</h3></a>'
+    pages = spark.createDataFrame([(1, card.format(1) + " " * (3 << 20) + card.format(2)), (2, None)], "page_id long, html string")
+    got = press_cards(pages, F.lit("https://www.prnewswire.com")).select("headline").collect()
+    assert sorted(r.headline for r in got) == ["Headline 1", "Headline 2"]

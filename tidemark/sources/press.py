@@ -12,7 +12,6 @@ CARD = r'(?is)<a[^>]*class="[^"]*newsreleaseconsolidatelink[^"]*"[^>]*href="([^"
 HEADLINE = r"(?is)<h3[^>]*>(.*?)</h3>"
 COMPANY = r'(?is)<a[^>]*class="[^"]*color-inherit[^"]*"[^>]*>(.*?)</a>'
 PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
-LIST_BYTES = 3 << 20
 DOCUMENT_BYTES = 4 << 20
 
 ANCHOR = r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
@@ -27,7 +26,7 @@ def matches(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
 
 def press_cards(pages: DataFrame, base: Column, *, html: str = "html", company: str = COMPANY, mode: str = "reference") -> DataFrame:
     """Releases of list pages; those without a headline or a URL are dropped."""
-    rows = matches(pages.where(F.octet_length(html) <= LIST_BYTES), CARD, html)
+    rows = matches(pages, CARD, html)
     out = rows.select(
         "*",
         first_text(F.col("block"), HEADLINE).alias("headline"),
