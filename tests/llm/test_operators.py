@@ -96,12 +96,11 @@ def brute_components(texts):
     return {i: root(i) for i in ids}, sets
 
 
-@pytest.mark.parametrize("left_chunk", [128, 3])
-def test_near_duplicates(spark, monkeypatch, left_chunk):
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_near_duplicates(spark, monkeypatch, chunk):
     """Families of copies with more and more words changed; small chunks make large buckets meet in pieces."""
-    monkeypatch.setattr(near_dup, "LEFT", left_chunk)
-    monkeypatch.setattr(near_dup, "RIGHT", 4 * left_chunk)
-    rng = random.Random(left_chunk)
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    rng = random.Random(chunk)
     texts, n = {}, 0
     for family in range(6):
         base = [f"w{family}{rng.randrange(10**6)}" for _ in range(150)]
@@ -118,6 +117,48 @@ def test_near_duplicates(spark, monkeypatch, left_chunk):
     assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (wanted[i] == i) for i in texts)
 
 
+@pytest.mark.parametrize("own", [25, 14])
+def test_unlike_members_of_one_bucket(spark, own):
+    """2,000 texts that share most of their words and link with none: the keys that are left grow with their number, not its square."""
+    rng = random.Random(own)
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(base + [f"o{i}x{rng.randrange(10**6)}" for _ in range(own)]) for i in range(2000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = docs.mapInArrow(near_dup._sets, "node bigint, shingles array<bigint>").withColumn("label", F.col("node"))
+    assert near_dup.rare_shingles(rows, (85, 100)).count() == 0
+    got = near_dup.near_duplicates(docs)
+    assert got.where("kept").count() == 2000
+
+
+def test_rare_shingles_lose_no_link(spark):
+    """Every link of random families shares a key whose sizes allow it."""
+    rng = random.Random(4)
+    sets = {}
+    for n in range(240):
+        size = rng.choice((5, 20, 60))
+        s = set(range(1000 * (n % 6), 1000 * (n % 6) + size))
+        for _ in range(rng.randrange(5)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.randrange(10**6, 10**9))
+        sets[n] = s
+    rows = spark.createDataFrame([(n, n, sorted(s)) for n, s in sets.items()], "node long, label long, shingles array<long>")
+    keys = collections.defaultdict(dict)
+    for r in near_dup.rare_shingles(rows, (85, 100)).collect():
+        keys[r.key][r.node] = (r.size, r.most)
+    met = {(u, v) for k in keys.values() for u in k for v in k if u < v and k[u][0] <= k[v][1] and k[v][0] <= k[u][1]}
+    links = {(u, v) for u in sets for v in sets if u < v and 100 * len(sets[u] & sets[v]) >= 85 * len(sets[u] | sets[v])}
+    assert links and links <= met
+
+
+def test_one_of_each_keeps_different_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(1, text("a"), "x"), (1, text("b"), "y"), (1, text("b"), "z"), (2, text("c"), "x"), (3, text("b"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = near_dup.one_of_each(docs).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in got) == [(1, "a"), (1, "b"), (2, "c")]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, near_dup.one_of_each(docs.repartition(3)).collect()))
+
+
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     got = near_dup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()

@@ -12,16 +12,25 @@ Links are found without making all pairs of a bucket:
 1. each member of a bucket is paired with two leaders (those of least id and of least
    hashed id, the same over bands); the sketch and the set sizes drop what can't reach the
    threshold; the rest is confirmed on full sets, and components are labelled;
-2. buckets of one label are done. In the others, members whose label isn't the first
-   leader's are compared with all members of another label, in chunks of bounded size
-   inside tasks, which emit only links that join two labels.
-
-So every pair that shares a band is either tested or already in one component.
+2. buckets of one label are done. The members of the others get keys of an exact prefix
+   filter: with a document's shingles in order of rising frequency among those members, the
+   first common shingle of two documents that link stands so early in both that what
+   follows still suffices. Each of the early shingles is a key, together with the largest
+   partner that its place allows. A passage that many documents share stands last and makes
+   no key, unless little else is in a document. Keys of one label, and members larger than
+   the others of a key allow, fall out;
+3. the few members that are left meet by key inside tasks, in chunks of bounded size, where
+   places, sizes, sketches and full sets are compared; only links between labels come out.
+
+So every pair that shares a band is either tested, or excluded by a bound, or already in one
+component.
 
 Defined cases: a null, empty or wordless text has no shingles and is linked with nothing; a
 null doc_id has a null component of its own and isn't kept; rows that share a doc_id count
 as one document with the links of all its texts; an empty table gives an empty result.
-`near_duplicates` returns only its own columns, so extra ones can't clash.
+`near_duplicates` returns only its own columns, so extra ones can't clash. `one_of_each`
+keeps all different texts of a kept doc_id, and one row (that of the least hash) of those
+that have both in common.
 """
 
 from __future__ import annotations
@@ -45,7 +54,8 @@ SKETCH_WORDS = 8
 THRESHOLD = (85, 100)
 #: How far an estimate may fall short of the threshold and still be confirmed on sets: over six standard deviations.
 SLACK = 0.17
-LEFT, RIGHT = 128, 512
+#: Members of a key that meet in one chunk.
+CHUNK = 512
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(7919)
@@ -186,15 +196,39 @@ def _ones(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def rare_shingles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """members(node, label, shingles) -> (key, node, label, size, most), the keys of the prefix filter that could link two labels.
+
+    A shingle at place p of a set of n leaves n - p at most in common with a set in which it is the first common one
+    too, which suffices for sets of up to `most` shingles.
+    """
+    num, den = threshold
+    rows = members.select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("found")).where("found > 1")
+    placed = rows.join(often, "key", "left").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("found", F.lit(1)).alias("found"), "key"))).alias("in_order"))
+    early = F.slice("in_order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * num / den) + 1).cast("int"))
+    keyed = placed.select("node", "label", "size", F.posexplode(early).alias("p", "at")).where("at.found > 1")
+    most = F.floor((F.col("size") - F.col("p")) * (num + den) / num) - F.col("size")
+    keyed = stored(keyed.select(F.col("at.key").alias("key"), "node", "label", "size", most.cast("int").alias("most")), "near-rare")
+    return _open_keys(_open_keys(keyed).where("most >= least").drop("least")).drop("least")
+
+
+def _open_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that are found with several labels, and the size of the smallest set there."""
+    labels = keyed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("size").alias("least")).where("a <> b")
+    return keyed.join(labels.select("key", "least"), "key")
+
+
 def _links(threshold: tuple[int, int]):
-    """A function over rows sorted by group (key, i, j): links that join two labels."""
+    """A function over rows sorted by cell (key, i, j), of the chunks i and j of a key's members: links that join two labels."""
     num, den = threshold
-    most = most_ones(threshold)
+    most_differing = most_ones(threshold)
 
     def linked(rows: dict) -> list[tuple[int, int]]:
-        label, side, node = rows["label"], rows["side"], rows["node"]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
+        label, node, most, chunk = rows["label"], rows["node"], rows["most"], rows["chunk"]
+        first, second = np.flatnonzero(chunk == rows["i"][0]), np.flatnonzero(chunk == rows["j"][0])
+        alone = rows["i"][0] == rows["j"][0]
+        if not len(first) or not len(second):
             return []
         flat, offsets = rows["flat"], rows["offsets"]
         sizes = np.diff(offsets)
@@ -202,14 +236,11 @@ def _links(threshold: tuple[int, int]):
         mark = np.zeros(len(universe), np.int32)
         group = np.unique(label, return_inverse=True)[1]  # labels as small numbers, merged below
         found = []
-        for x in left:
-            other = right[group[right] != group[x]]
-            if len(other):
-                small, large = np.minimum(sizes[other], sizes[x]), np.maximum(sizes[other], sizes[x])
-                other = other[den * small >= num * large]
+        for x in first:
+            other = second[(group[second] != group[x]) & (sizes[second] <= most[x]) & (sizes[x] <= most[second]) & ((second > x) | (not alone))]
             if len(other):
                 ones = np.bitwise_count(rows["sketch"][other] ^ rows["sketch"][x]).sum(1)
-                other, ones = other[ones <= most], ones[ones <= most]
+                other, ones = other[ones <= most_differing], ones[ones <= most_differing]
                 other = other[np.argsort(ones, kind="stable")]
             if not len(other):
                 continue
@@ -234,7 +265,7 @@ def _links(threshold: tuple[int, int]):
             sets, sketch = t.column("shingles").combine_chunks(), t.column("sketch").combine_chunks()
             values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
             sketches = sketch.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-            cols = {c: t.column(c).to_numpy() for c in ("label", "side", "node")}
+            cols = {c: t.column(c).to_numpy() for c in ("label", "chunk", "node", "most", "i", "j")}
             found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 found += linked({c: v[a:b] for c, v in cols.items()} | {"sketch": sketches[a:b], "flat": values[at[a] : at[b]], "offsets": at[a : b + 1] - at[a]})
@@ -310,23 +341,17 @@ def near_duplicates(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD)
     labels = checkpointed(components(confirmed))
 
     # what the leaders didn't join
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first_label = labels.select(F.col("node").alias("first"), F.col("label").alias("main"))
-    labelled = stored(labelled.join(first_label, "first", "left").withColumn("main", F.coalesce("main", "first")), "near-labelled")
-    rest = labelled.groupBy("key").agg(F.sum((F.col("label") != F.col("main")).cast("long")).alias("apart"), F.first("members").alias("n")).where("apart > 0 and n > 2")
-    rest = rest.select("key", F.ceil(F.col("apart") / LEFT).cast("int").alias("is"), F.ceil(F.col("n") / RIGHT).cast("int").alias("js"))
-    open_members = labelled.select("key", "node", "label", "main").join(rest, "key")
-    draw = F.xxhash64("node")
-    left = open_members.where("label <> main").select(
-        "key", "node", "label", F.lit(0).alias("side"), F.pmod(draw, F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j")
-    )
-    right = open_members.select(
-        "key", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(draw, F.col("js")).cast("int").alias("j")
-    )
-    met = left.unionByName(right).join(sets, "node").join(sketches.select("node", "sketch"), "node")
+    labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b and n > 2")
+    apart = labelled.join(several.select("key"), "key", "left_semi").select("node", "label").distinct()
+    rare = stored(rare_shingles(apart.join(sets, "node"), threshold), "near-open")
+    chunks = rare.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = rare.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    met = dealt.join(sets, "node").join(sketches.select("node", "sketch"), "node")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = met.select("key", "i", "j", "side", "node", "label", "sketch", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = dealt.mapInArrow(_links(threshold), "u bigint, v bigint")
+    met = met.select("key", "i", "j", "chunk", "node", "label", "most", "sketch", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = met.mapInArrow(_links(threshold), "u bigint, v bigint")
 
     stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
     final = checkpointed(components(stars.unionByName(more)))
@@ -341,9 +366,13 @@ def near_duplicates(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD)
 
 def one_of_each(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The documents that stay: one of each group, and the rows without a doc_id as they are."""
-    kept = near_duplicates(docs, threshold=threshold).where("kept").select(F.col("doc_id").alias("__kept"))
-    stay = docs.join(kept.distinct(), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, threshold=threshold).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"))
+    once = stay.where("__rows = 1").select(*docs.columns)
+    # rows equal in id and text are one
+    often = stay.where("__rows > 1").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"))
+    often = often.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
