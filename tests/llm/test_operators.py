@@ -260,13 +260,20 @@ def test_line_dedup_of_very_many_sentences(spark):
     assert got[2].n_dropped == 1 and got[2].text == ("b. " * (1 << 20)).strip() + "\n" + own
 
 
+def test_line_with_unit_separators_keeps_them(spark):
+    shared = "This sentence of ten words is found in both documents."
+    rows = [(1, shared), (2, f"own\x1fwords here. {shared} more\x1fwords there.")]
+    got = by_id(line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[2].text == "own\x1fwords here. more\x1fwords there."
+
+
 def test_line_families_behind_a_dominant_line(spark):
     """Two templates of equal length and opening, of which the other one is found more often."""
     main = "please see our terms of use for what is allowed here today"
     lines = {i: f"please see our {w} and tell all your friends about this site" for i, w in enumerate(("cat", "dog", "owl"))}
     rows = [(i, f"{main}\n{chr(97 + i) * 3} is only here") for i in range(10, 14)] + [(i, f"{x}\n{chr(97 + i) * 3} is only here") for i, x in lines.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = by_id(line_dedup.drop_recurring(docs, families=True))
+    got = by_id(line_dedup.drop_recurring(docs))
     assert {i for i, r in got.items() if r.n_dropped} == {1, 2, 11, 12, 13} and got[0].text.startswith(lines[0])
 
 

@@ -2,51 +2,49 @@
 
 Lines, and the sentences that they hold, become tokens: lower-cased words, and any word with
 a digit is the field `<*>`. The tree has a fixed depth: token count, then the `LEAD` leading
-tokens; their hash is the leaf. Within a leaf the line found most often is the dominant one.
-A line that agrees with it on at least `ALIKE` of the non-empty quarters of its tokens has
-the same template, its differing quarter being a variable field; every other line is its own
-template, and so is every sentence. A template is recurring if it has at least `LONG` tokens
-and is found in two documents, or if it is a line, has at least `SHORT` tokens and is found
-in `MANY`. Its lines and sentences are dropped, but for those of the document with the least
-id, so that no content is lost. Sentences catch passages that stand amid other lines.
-
-Units are counted as fixed-size hashes with partial sums, and neither texts nor a line's
-documents are ever gathered; a very common line is one row after the partial sums. The
-recurring ones are broadcast if counted to be few enough, else joined by a shuffle which
-Spark can split where it is skewed.
+tokens; their hash is the leaf. Within a leaf, lines of `LONG` tokens or more that agree on
+all quarters of their tokens but one have a template in common, the differing quarter being
+a variable field: each line has four keys, one for each quarter left out, so a leaf may hold
+any number of templates and no two lines are ever compared. A line or sentence of `LONG`
+tokens or more recurs if it, or for a line one of its templates, is found in two documents;
+a line of `SHORT` tokens or more also if it is found in `MANY`. What recurs is dropped but
+for the document with the least id, so that no content is lost. Sentences catch passages
+that stand amid other lines; they don't generalise, and those under `LONG` tokens stay. A
+line with several templates is kept by the least document of any of them, so of a chain of
+lines, each like the next, the first stays.
+
+Units are counted as fixed-size hashes (64 bits, and the token count) with partial sums, and
+neither texts nor a line's documents are ever gathered; a very common line is one row after
+the partial sums. The recurring ones are broadcast if counted to be few enough, else joined
+by a shuffle which Spark can split where it is skewed.
 
 Defined cases: a null text stays null with 0 lines; an empty text is one empty line, which
 is kept; a unit twice in a document counts as found in one; repeated document rows count as
-one document; equal counts in a leaf prefer the lesser hash; a null doc_id comes after all
-others and is never first unless alone; where a sentence goes, its line's others are joined
-by one blank; an empty table gives an empty result. `drop_recurring` keeps the columns of
-its input, and updates n_chars where there is one.
+one document; a null doc_id comes after all others and is never first unless alone; where a
+sentence goes, its line's others are joined by one blank; an empty table gives an empty
+result. `drop_recurring` keeps the columns of its input, and updates n_chars where there is
+one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import stored, table
 
 LEAD = 3
 QUARTERS = 4
-ALIKE = 0.75
 LONG, SHORT, MANY = 8, 3, 10
 #: Recurring units that are broadcast at most.
 BROADCAST_UNITS = 1_000_000
-SENTENCE_END, CUT = r"([.!?])\x20+", "\x1f"
-#: A piece ends with a word that ends in one of these letters, or after PASSAGE words; pieces with PASSAGE tokens together are the least that recurs.
-PASSAGE = 12
-PIECE = rf"(?s)\s*+(?:\S++\s++){{0,{PASSAGE - 1}}}?\S*[nrsNRS][.,;:!?\"')]*+\s++|\s*+(?:\S++\s++){{{PASSAGE}}}|.+"
-#: Hex digits kept of a md5: of a unit or leaf, of a quarter.
-KEY, PART = 15, 5
+SENTENCE_END = r"(?<=[.!?])\x20+"
+#: A piece ends with a word that ends in one of these letters, or after 12 words; up to MOST_PIECES with PASSAGE characters together are the least that recurs.
+PASSAGE, MOST_PIECES = 60, 4
+PIECE = r"(?s)\s*+(?:\S++\s++){0,11}?\S*[nrsNRS][.,;:!?\"')]*+\s++|\s*+(?:\S++\s++){12}|.+"
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-
-
-def _key(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY), 16, 10).cast("long")
+QUARTER = [f"q{k}" for k in range(QUARTERS)]
 
 
 def tokens(line: Column) -> Column:
@@ -55,10 +53,9 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")
 
 
-def _quarter(words: Column, n: Column, k: int) -> Column:
-    begin, end = F.floor(n * k / QUARTERS).cast("int"), F.floor(n * (k + 1) / QUARTERS).cast("int")
-    text = F.array_join(F.slice(words, begin + 1, end - begin), " ")
-    return F.substring(F.md5(text.cast("binary")), 1, PART)
+def at_least(text: Column, n: int) -> Column:
+    """Whether text has n tokens or more; looks no farther."""
+    return text.rlike(rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{{n}}}")
 
 
 def row_key() -> list[Column]:
@@ -67,82 +64,64 @@ def row_key() -> list[Column]:
 
 
 def _cut(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, SENTENCE_END, f"$1{CUT}"), CUT)
+    return F.split(line, SENTENCE_END)
 
 
 def parsed_units(docs: DataFrame) -> DataFrame:
-    """A row per line and per sentence of a line with several: __doc, __text, pos, at, n, leaf, unit, parts (null for a sentence).
-
-    Without a filter, which would have the tokens made twice, and to be stored before any use.
-    """
+    """A row per line, and per sentence of a line with several, of enough tokens: __doc, __text, pos, at, n, unit; leaf and quarters of long lines."""
     lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("cut", _cut(F.col("raw")))
     # the line itself stands first, its sentences follow
     rows = lines.select("__doc", "__text", "pos", F.posexplode(F.when(F.size("cut") > 1, F.concat(F.array("raw"), "cut")).otherwise(F.array("raw"))).alias("at", "raw"))
+    # on the text, since a filter on tokens would have them made twice
+    rows = rows.where(at_least(F.col("raw"), LONG) | ((F.col("at") == 0) & at_least(F.col("raw"), SHORT)))
     cut = rows.withColumn("words", tokens(F.col("raw"))).drop("raw").withColumn("n", F.size("words"))
-    is_line = F.col("at") == 0
+    tree = (F.col("at") == 0) & (F.col("n") >= LONG)
+    ends = [F.floor(F.col("n") * k / QUARTERS).cast("int") for k in range(QUARTERS + 1)]
     return cut.select(
         "__doc",
         "__text",
         "pos",
         "at",
         "n",
-        _key(F.concat_ws(" ", F.col("n").cast("string"), F.slice("words", 1, LEAD))).alias("leaf"),
-        _key(F.array_join("words", " ")).alias("unit"),
-        F.when(is_line, F.concat(*[_quarter(F.col("words"), F.col("n"), k) for k in range(QUARTERS)])).alias("parts"),
+        F.xxhash64("words").alias("unit"),
+        F.when(tree, F.xxhash64("n", F.slice("words", 1, LEAD))).alias("leaf"),
+        *[F.when(tree, F.xxhash64(F.slice("words", ends[k] + 1, ends[k + 1] - ends[k]))).alias(q) for k, q in enumerate(QUARTER)],
     )
 
 
-def alike(parts: Column, other: Column, n: Column) -> Column:
-    filled = [(F.floor(n * (k + 1) / QUARTERS) > F.floor(n * k / QUARTERS)).cast("int") for k in range(QUARTERS)]
-    same = [(F.substring(parts, k * PART + 1, PART) == F.substring(other, k * PART + 1, PART)).cast("int") * filled[k] for k in range(QUARTERS)]
-    return sum(same[1:], same[0]) >= ALIKE * sum(filled[1:], filled[0])
-
-
-def family_members(as_lines: DataFrame) -> DataFrame:
-    """(leaf, unit, keeper) of the lines that agree on all quarters but one with a line of another document.
+def family_members(lines: DataFrame) -> DataFrame:
+    """(unit, n, keeper) of the lines with a template that is found in several documents.
 
-    as_lines holds lines that share their leaf with others. Each has four keys, its leaf and
-    all quarters but one, so that any number of templates in a leaf is found without pairs.
+    lines(unit, n, leaf, q0 to q3, first, last): those alone in their leaf have no such template.
     """
-    without = [F.concat(F.lit(str(k)), F.substring("parts", 1, k * PART), F.substring(F.col("parts"), (k + 1) * PART + 1, QUARTERS * PART)) for k in range(QUARTERS)]
-    keyed = as_lines.where(F.col("n") >= LONG).select("leaf", "unit", "first", "last", F.explode(F.array(*[F.xxhash64("leaf", w) for w in without])).alias("family"))
+    shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("leaf")
+    without = [F.xxhash64("leaf", F.lit(k), *[q for j, q in enumerate(QUARTER) if j != k]) for k in range(QUARTERS)]
+    keyed = lines.join(shared, "leaf", "left_semi").select("unit", "n", "first", "last", F.explode(F.array(*without)).alias("family"))
     keyed = stored(keyed, "line-families")
     often = keyed.groupBy("family").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("family", "keeper")
-    return keyed.select("leaf", "unit", "family").join(often, "family").groupBy("leaf", "unit").agg(F.min("keeper").alias("keeper"))
+    return keyed.select("unit", "n", "family").join(often, "family").groupBy("unit", "n").agg(F.min("keeper").alias("keeper"))
 
 
-def recurring(units: DataFrame, *, families: bool = False) -> DataFrame:
-    """(leaf, unit, keeper) of the units whose template recurs; keeper is the document that keeps them.
-
-    With `families`, lines also recur by any line alike, not only by the dominant one of their leaf.
-    """
-    per_unit = [F.count(F.lit(1)).alias("found"), F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.first("n").alias("n"), F.max("parts").alias("parts")]
-    counted = stored(units.groupBy("leaf", "unit").agg(*per_unit), "line-counts")
-    as_lines = counted.where("parts is not null")
-    order = F.struct((-F.col("found")).alias("o"), F.col("unit"), F.col("parts"))
-    leaves = as_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.min(order).alias("main")).where("kinds > 1")
-    leaves = stored(leaves.select("leaf", F.col("main.unit").alias("main"), F.col("main.parts").alias("main_parts")), "line-leaves")
-    placed = counted.join(leaves, "leaf", "left")
-    template = F.when(F.col("parts").isNotNull() & alike(F.col("parts"), F.col("main_parts"), F.col("n")), F.col("main")).otherwise(F.col("unit"))
-    placed = placed.withColumn("template", F.coalesce(template, F.col("unit")))
-    totals = placed.groupBy("leaf", "template").agg(F.min("first").alias("keeper"), F.max("last").alias("last"), F.first("n").alias("n"))
-    often = totals.where((F.col("n") >= LONG) & (F.col("keeper") < F.col("last"))).select("leaf", "template", "keeper")
-    long = placed.select("leaf", "unit", "template").join(often, ["leaf", "template"]).select("leaf", "unit", "keeper")
-    if families:
-        shared = as_lines.join(leaves.select("leaf"), "leaf", "left_semi")
-        long = long.unionByName(family_members(shared)).groupBy("leaf", "unit").agg(F.min("keeper").alias("keeper"))
+def recurring(units: DataFrame) -> DataFrame:
+    """(unit, n, keeper) of the units that recur, or whose template does; keeper is the document that keeps them."""
+    long = units.where(F.col("n") >= LONG)
+    # a line's leaf and quarters are the same wherever it stands, and null for a sentence
+    per_unit = [F.min("__doc").alias("first"), F.max("__doc").alias("last"), *[F.max(c).alias(c) for c in ("leaf", *QUARTER)]]
+    counted = stored(long.groupBy("unit", "n").agg(*per_unit).where("first < last or leaf is not null"), "line-counts")
+    same = counted.where("first < last").select("unit", "n", F.col("first").alias("keeper"))
+    alike = family_members(counted.where("leaf is not null"))
     # short lines count documents, each once
-    short = units.where((F.col("n") < LONG) & F.col("parts").isNotNull()).groupBy("leaf", "unit", "__doc").agg(F.lit(1).alias("one"))
-    short = short.groupBy("leaf", "unit").agg(F.sum("one").alias("docs"), F.min("__doc").alias("keeper")).where(F.col("docs") >= MANY)
-    return long.unionByName(short.select("leaf", "unit", "keeper"))
+    short = units.where(F.col("n") < LONG).groupBy("unit", "n", "__doc").agg(F.lit(1).alias("one"))
+    short = short.groupBy("unit", "n").agg(F.sum("one").alias("docs"), F.min("__doc").alias("keeper")).where(F.col("docs") >= MANY)
+    return same.unionByName(alike).groupBy("unit", "n").agg(F.min("keeper").alias("keeper")).unionByName(short.select("unit", "n", "keeper"))
 
 
-def drop_recurring(docs: DataFrame, *, families: bool = False) -> DataFrame:
+def drop_recurring(docs: DataFrame) -> DataFrame:
     """docs with the recurring lines and sentences dropped, and n_lines and n_dropped (of both) beside their columns."""
-    units = stored(parsed_units(docs), "lines").where(F.col("n") >= SHORT)
-    out = stored(recurring(units, families=families), "line-recurring")
+    units = stored(parsed_units(docs), "lines")
+    out = stored(recurring(units), "line-recurring")
     few = F.broadcast(out) if out.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else out
-    places = units.select("__doc", "__text", F.struct("pos", "at").alias("place"), "leaf", "unit").join(few, ["leaf", "unit"]).where(F.col("__doc") != F.col("keeper"))
+    places = units.select("__doc", "__text", F.struct("pos", "at").alias("place"), "unit", "n").join(few, ["unit", "n"]).where(F.col("__doc") != F.col("keeper"))
     drops = places.groupBy("__doc", "__text").agg(F.collect_set("place").alias("__drop"))
     keyed = docs.select("*", *row_key()).join(drops, ["__doc", "__text"], "left")
     gone = F.coalesce("__drop", F.array().cast("array<struct<pos:int,at:int>>"))
@@ -172,50 +151,65 @@ def drop_recurring(docs: DataFrame, *, families: bool = False) -> DataFrame:
     return made.select(*columns, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_dropped"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once for a row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pieces(text: Column) -> Column:
-    """text cut after the words that end in one of a few letters; end to end the pieces are the text."""
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    """text and a blank, cut after the words that end in one of a few letters; end to end the pieces are both."""
+    return F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(PIECE), F.lit(0))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(__doc, __text, at, n, key) of each piece with the fewest pieces after it that make `PASSAGE` tokens: n pieces from place at."""
-    cut = docs.select(*row_key(), F.filter(F.transform(pieces(F.col("text")), tokens), lambda w: F.size(w) > 0).alias("words"))
-    hashed = cut.select("__doc", "__text", F.transform("words", lambda w: F.size(w)).alias("sizes"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    """(__doc, __text, at, n, key): from each piece the fewest pieces, `MOST_PIECES` at most, with `PASSAGE` characters."""
+
+    def keys(q: Column) -> Column:
+        def window(x: Column, i: Column) -> Column:
+            some, found = [x] + [F.get(q, i + k) for k in range(1, MOST_PIECES)], F.lit(None)
+            for k in range(MOST_PIECES, 0, -1):
+                key = F.xxhash64(*[y["h"] for y in some[:k]])
+                enough = sum((y["n"] for y in some[1:k]), x["n"]) >= PASSAGE
+                found = F.when(enough, F.struct(i.alias("at"), F.lit(k).alias("n"), key.alias("key"))).otherwise(found)
+            return found
 
-    def needed(i: Column) -> Column:
-        held, n = F.lit(0), F.lit(None).cast("int")
-        sums = [held := held + F.get("sizes", i + k) for k in range(PASSAGE)]
-        for k in range(PASSAGE, 0, -1):
-            n = F.when(sums[k - 1] >= PASSAGE, k).otherwise(n)
-        return n
+        return F.filter(F.transform(q, window), lambda x: x.isNotNull())
 
-    counted = hashed.select("__doc", "__text", "hashes", F.transform("sizes", lambda _, i: needed(i)).alias("ns"))
-    keys = F.transform("ns", lambda n, i: F.struct(n.alias("n"), F.xxhash64(F.slice("hashes", i + 1, n)).alias("key")))
-    rows = counted.select("__doc", "__text", F.posexplode(keys).alias("at", "window"))
-    return rows.select("__doc", "__text", "at", "window.n", "window.key").where("n is not null")
+    # neither change moves a cut
+    plain = F.lower(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    hashed = F.transform(pieces(plain), lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(F.ltrim(x)).alias("h")))
+    rows = docs.where("text is not null").select(*row_key(), F.explode(let(hashed, keys)).alias("w"))
+    return rows.select("__doc", "__text", "w.at", "w.n", "w.key")
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
-    """docs without the passages that an earlier document holds, wherever in a line or sentence they begin and end.
+    """docs without the passages that an earlier document holds, wherever in a line they begin and end.
 
     The text is cut after words that end in certain letters, so that copies are cut alike
-    whatever surrounds them. Pieces in a row with `PASSAGE` tokens or more that are found in two
-    documents are dropped but for the document with the least id. Of a passage only parts of a
-    piece at its two ends may stay. Case, digits and white space don't tell pieces apart, as in lines.
+    whatever surrounds them. Pieces in a row with `PASSAGE` characters or more that are found in
+    two documents are dropped but for the document with the least id. Of a passage only parts of
+    a piece at its two ends may stay. Case and line breaks don't tell pieces apart; texts of
+    which a passage goes lose the blanks at their end.
     """
-    found = windows(docs)
+    found = stored(windows(docs), "passages")
     often = found.groupBy("key").agg(F.min("__doc").alias("keeper"), F.max("__doc").alias("last")).where("keeper < last").select("key", "keeper")
     often = stored(often, "passage-recurring")
     few = F.broadcast(often) if often.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else often
-    places = found.join(few, "key").where(F.col("__doc") != F.col("keeper"))
-    drops = stored(places.groupBy("__doc", "__text").agg(F.collect_set(F.struct("at", "n")).alias("__drop")), "passage-places")
-    marked = drops.agg(F.sum(F.size("__drop"))).first()[0] or 0
-    keyed = docs.select("*", *row_key()).join(F.broadcast(drops) if marked <= BROADCAST_UNITS else drops, ["__doc", "__text"], "left")
-    parts = pieces(F.col("text"))
-    gone = F.flatten(F.transform("__drop", lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    some = F.col("__drop").isNotNull()
-    made = keyed.withColumn("__new", F.when(some, F.array_join(F.transform(left, lambda i: parts[i]), "")).otherwise(F.col("text")))
+    gone = found.join(few, "key").where(F.col("__doc") != F.col("keeper")).select("__doc", "__text", "at", (F.col("at") + F.col("n")).alias("end")).distinct()
+    # what stays: from where all before has ended to the next passage, and after the last
+    before = W.partitionBy("__doc", "__text").orderBy("at", "end").rowsBetween(W.unboundedPreceding, -1)
+    stays = gone.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    piece = F.when(F.col("at") > F.col("from"), F.struct("from", F.col("at").alias("to")))
+    kept = stays.groupBy("__doc", "__text").agg(F.array_sort(F.collect_list(piece)).alias("__stay"), F.max("end").alias("__end"))
+    kept = stored(kept, "passage-places")
+    keyed = docs.select("*", *row_key()).join(kept, ["__doc", "__text"], "left")
+
+    def rest(p: Column) -> Column:
+        parts = F.transform("__stay", lambda k: F.array_join(F.slice(p, k["from"] + 1, k["to"] - k["from"]), ""))
+        return F.rtrim(F.concat(F.array_join(parts, ""), F.array_join(F.slice(p, F.col("__end") + 1, F.size(p)), "")))
+
+    some = F.col("__end").isNotNull()
+    made = keyed.withColumn("__new", F.when(some, let(pieces(F.col("text")), rest)).otherwise(F.col("text")))
     names = {c.lower(): c for c in docs.columns}
     swapped = {names.get("text"): F.col("__new"), names.get("n_chars"): F.when(some, F.length("__new").cast("long")).otherwise(F.col(names.get("n_chars", "text")))}
     return made.select(*[swapped.get(c, F.col(c)).alias(c) for c in docs.columns])
@@ -227,10 +221,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    cut = [f"(n * {k} // 4)" for k in range(5)]
-    parts = " || ".join(f"substr(md5(array_to_string(w[{cut[k]} + 1:{cut[k + 1]}], ' ')), 1, 5)" for k in range(4))
-    same = " + ".join(f"(substr(c.parts, {5 * k + 1}, 5) = substr(m.parts, {5 * k + 1}, 5) AND (c.n * {k + 1} // 4) > (c.n * {k} // 4))::INT" for k in range(4))
-    filled = " + ".join(f"((c.n * {k + 1} // 4) > (c.n * {k} // 4))::INT" for k in range(4))
+    quarter = [f"array_to_string(w[(n * {k} // 4) + 1:(n * {k + 1} // 4)], ' ')" for k in range(4)]
+    keys = ", ".join("[n::VARCHAR, array_to_string(w[1:3], ' '), '{}', {}]".format(k, ", ".join(q for j, q in enumerate(quarter) if j != k)) for k in range(4))
     return rf"""
 WITH raw AS (
   SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
@@ -243,22 +235,20 @@ WITH raw AS (
 ), tok AS (
   SELECT doc_id, pos, nth, regexp_extract_all(regexp_replace(lower(line), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM both_kinds
 ), l AS (
-  SELECT doc_id, pos, nth, n, ('0x' || substr(md5(concat_ws(' ', n::VARCHAR, array_to_string(w[1:3], ' '))), 1, 15))::BIGINT AS leaf,
-    ('0x' || substr(md5(array_to_string(w, ' ')), 1, 15))::BIGINT AS unit, CASE WHEN nth = -1 THEN {parts} END AS parts
-  FROM (SELECT *, len(w)::BIGINT AS n FROM tok) WHERE n >= 3
+  SELECT doc_id, pos, nth, len(w) AS n, w, array_to_string(w, ' ') AS unit FROM tok WHERE len(w) >= 8 OR (nth = -1 AND len(w) >= 3)
 ), c AS (
-  SELECT leaf, unit, count(*) AS found, min(doc_id) AS first, max(doc_id) AS last, min(n) AS n, max(parts) AS parts FROM l GROUP BY leaf, unit
-), m AS (
-  SELECT leaf, unit AS main, parts FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY found DESC, unit) AS r, count(*) OVER (PARTITION BY leaf) AS k FROM c WHERE parts IS NOT NULL) WHERE r = 1 AND k > 1
-), p AS (
-  SELECT c.*, CASE WHEN m.leaf IS NOT NULL AND c.parts IS NOT NULL AND ({same}) >= 0.75 * ({filled}) THEN m.main ELSE c.unit END AS template FROM c LEFT JOIN m USING (leaf)
-), t AS (
-  SELECT leaf, template, min(first) AS keeper FROM p GROUP BY leaf, template HAVING min(n) >= 8 AND min(first) < max(last)
+  SELECT unit, min(doc_id) AS first, max(doc_id) AS last FROM l WHERE n >= 8 GROUP BY unit
+), f AS (
+  SELECT DISTINCT unit, doc_id, unnest([{keys}]) AS family FROM l WHERE n >= 8 AND nth = -1
+), g AS (
+  SELECT family, min(c.first) AS keeper FROM f JOIN c USING (unit) GROUP BY family HAVING min(c.first) < max(c.last)
 ), r AS (
-  SELECT p.leaf, p.unit, t.keeper FROM p JOIN t USING (leaf, template)
-  UNION ALL SELECT leaf, unit, min(doc_id) FROM l WHERE n < 8 AND nth = -1 GROUP BY leaf, unit HAVING count(DISTINCT doc_id) >= 10
+  SELECT unit, min(keeper) AS keeper FROM (
+    SELECT unit, first AS keeper FROM c WHERE first < last UNION ALL SELECT unit, keeper FROM f JOIN g USING (family)
+  ) GROUP BY unit
+  UNION ALL SELECT unit, min(doc_id) FROM l WHERE n < 8 GROUP BY unit HAVING count(DISTINCT doc_id) >= 10
 ), x AS (
-  SELECT DISTINCT l.doc_id, l.pos, l.nth FROM l JOIN r USING (leaf, unit) WHERE l.doc_id <> r.keeper
+  SELECT DISTINCT l.doc_id, l.pos, l.nth FROM l JOIN r USING (unit) WHERE l.doc_id <> r.keeper
 ), gone AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
 stay AS (
   SELECT doc_id, pos, string_agg(line, ' ' ORDER BY nth) AS line, count(*) AS n FROM piece p
