@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines whose template recurs across documents, then passages wherever they begin and end, but for the first document's."""
-    whole = stored_alone(lambda: line_dedup.drop_recurring(docs, families=True).select(*docs.columns), "pipeline-whole-lines")
+    whole = stored_alone(lambda: line_dedup.drop_recurring(docs).select(*docs.columns), "pipeline-whole-lines")
     return line_dedup.drop_passages(whole)
 
 
