@@ -570,7 +570,7 @@ def test_nearest(spark, n, scaled, chunk):
     ids = np.arange(n)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, chunk=chunk, query_chunk=chunk).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, cell=chunk, query_cell=chunk).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hit = total = 0
     for q in range(0, n, 100):
@@ -583,18 +583,53 @@ def test_nearest(spark, n, scaled, chunk):
     assert [v for v, _ in got[0][:2]] == [5, 6]
 
 
-def test_nearest_with_two_rotations(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BUCKET", 20)
-    assert ann.plan_for(3000)[0] == 2
+@pytest.mark.parametrize("n", [1, 2, 4, 8, 11, 12])
+def test_few_vectors_are_all_found(spark, n):
+    """Fewer than ten candidates, one of them opposite to the query: all are due."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16))
+    x[-1] = -x[0] if n > 1 else x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(v, pytest.approx(s, rel=1e-12)) for v, s in brute_nearest(x, np.arange(n), 0)]
+
+
+def test_nearest_of_clusters_and_copies(spark, monkeypatch):
+    """Small cells, shards and blocks; a third of all vectors equal, of which the least ids are due."""
+    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "NEAR", 1000)
+    monkeypatch.setattr(ann, "BLOCK", 3)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 32))
     x = centres[rng.integers(0, 60, 3000)] + 0.15 * rng.normal(size=(3000, 32))
+    x[:1000] = x[0]
+    x[2900] = 100 * rng.normal(size=32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = collections.defaultdict(set)
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
-        got[r.query_id].add(r.vec_id)
-    hit = sum(len(got[q] & {v for v, _ in brute_nearest(x, np.arange(3000), q)}) for q in range(0, 3000, 100))
-    assert hit >= 0.9 * 10 * 30
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {q: [v for v, _ in brute_nearest(x, np.arange(3000), q)] for q in range(0, 3000, 100)}
+    assert all(got[q] == want[q] for q in range(0, 1000, 100)) and all(len(v) == 10 for v in got.values())
+    assert sum(len({*got[q]} & {*want[q]}) for q in want) >= 0.9 * 300
+
+
+def test_probes_order_codes_by_what_they_lose():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5, 6))
+    h = ann.CrossPolytope(6, 2, 2, float(np.linalg.norm(x, axis=1).max()))
+    for t in range(2):
+        codes = h.probes(x, t, 40)
+        assert (codes[:, 0] == h.codes(x, t)).all()
+        y = h.lifted(x)
+        lost = []
+        for r in range(2):
+            a = h.rotated(y, t, r)
+            a = np.concatenate([a, -a], 1)
+            lost.append((a.max(1, keepdims=True) - a) ** 2)
+        total = lost[0][:, :, None] + lost[1][:, None, :]
+        for i in range(5):
+            mine = total[i][codes[i, :, 0], codes[i, :, 1]]
+            assert (np.diff(mine) >= -1e-6).all() and mine[-1] <= np.sort(total[i].ravel())[39] + 1e-6
 
 
 def test_nearest_odd(spark):

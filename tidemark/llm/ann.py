@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector, scaled to length one, goes through pseudo-rotations (three rounds of random signs
-and a fast Hadamard transform, padded to a power of two); each table has its own, and the
-code is the signed axis nearest to the outcome. With many vectors a code joins the axes of
-two rotations or more, so that buckets stay small. A query probes in each table its best
-`probes` codes, and every candidate is ranked by its exact Euclidean distance.
-
-Vectors and queries meet by (table, code) in a cogrouped step; a bucket larger than `CHUNK`
-vectors or `QUERY_CHUNK` queries is split into chunks that meet each other, so no bucket is
-held whole and none is capped. Each meeting keeps the nearest `k` for each of its queries,
-which is exact for the chunk; the lists are merged per query.
+and a fast Hadamard transform, padded to a power of two); the nearest signed axis of each of
+`ROTATIONS` of them makes its code in a table. A query probes in each table its best codes
+(multiprobe), and every candidate found is ranked by its exact Euclidean distance.
+
+How many codes a query probes is measured, not set by size: `SAMPLE_QUERIES` rows are
+answered exactly in one pass over the vectors, and the probes are the fewest with which their
+true neighbours are found with a share of `TARGET`. A query that finds fewer than `k`
+candidates, because there are few vectors or all lie far off, is answered by an exact pass
+over all vectors with such queries in blocks.
+
+Only ids travel with codes. Ids and queries meet by cell (table, hash of the code); what comes
+out are, for each query, the ids of its candidates, by the shard in which their vectors are.
+Each shard then meets its candidates once. Cells of more than `CELL` ids, and shards of more
+than `NEAR` candidates, are dealt into chunks. Of equal vectors only the `k` + 1 of least id
+are indexed, since no other can be among the nearest `k`: copies, however many, fill no cell.
 
 Where norms differ, a further coordinate sqrt(M^2 - |x|^2), with M the greatest norm, is
 hashed along, so that directions order as Euclidean distances do.
@@ -28,64 +34,98 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import shipped, stored, table
+from .words import mix64
 
 K = 10
-TABLES = 16
-#: Vectors for a bucket to hold on average before codes take a further rotation.
-BUCKET = 50_000
-CHUNK, QUERY_CHUNK = 4096, 2048
+TABLES, ROTATIONS = 32, 2
+#: Probes of a query in a table at most, and the share of true neighbours that they are to find.
+MOST_PROBES, TARGET = 4096, 0.96
+SAMPLE_QUERIES = 64
+#: Vectors of a shard, and of a cell's chunk; queries of a cell's chunk, and of a block of the exact pass.
+SHARD, CELL, QUERY_CELL, BLOCK = 20_000, 65_536, 4096, 1024
+#: Candidates of a shard that are ranked at once; vectors in a file of the index; cells of a table at least.
+NEAR, FILE, MOST_FILES, LEAST_CELLS = 2_000_000, 4096, 100_000, 8
 SEED = 97
+OUT = "query_id bigint, vec_id bigint, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row, scaled to keep lengths."""
+    """The fast Walsh-Hadamard transform of each row, not scaled, in place."""
     rows, width = x.shape
     h = 1
     while h < width:
         y = x.reshape(rows, -1, 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(rows, width)
+        a = y[:, :, 0] + y[:, :, 1]
+        np.subtract(y[:, :, 0], y[:, :, 1], out=y[:, :, 1])
+        y[:, :, 0] = a
         h *= 2
-    return x / np.sqrt(width)
+    return x
 
 
 class CrossPolytope:
     """Codes of `tables` tables, each of `rotations` pseudo-rotations."""
 
     def __init__(self, dimension: int, tables: int, rotations: int, greatest: float, seed: int = SEED):
-        self.width = 1 << max(1, int(dimension).bit_length())
-        self.dimension, self.greatest = dimension, greatest
-        self.signs = np.random.default_rng(seed).integers(0, 2, (tables, rotations, 3, self.width)) * 2.0 - 1.0
-
-    def axes(self, x: np.ndarray, t: int, r: int) -> np.ndarray:
-        """Agreement with each signed axis after a rotation."""
-        y = np.zeros((len(x), self.width))
-        y[:, : self.dimension] = x
-        y[:, self.dimension] = np.sqrt(np.maximum(0, self.greatest**2 - (x * x).sum(1)))
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        for s in self.signs[t, r]:
-            y = hadamard(y * s)
-        return np.concatenate([y, -y], 1)
+        self.width = 1 << int(dimension).bit_length()
+        self.axes_of = 2 * self.width
+        self.dimension, self.greatest, self.tables, self.rotations = dimension, greatest, tables, rotations
+        self.signs = (np.random.default_rng(seed).integers(0, 2, (tables, rotations, 3, self.width)) * 2 - 1).astype(np.float32)
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        y = np.zeros((len(x), self.width), np.float32)
+        norm = np.sqrt((x * x).sum(1))
+        y[:, : self.dimension] = x / self.greatest
+        y[:, self.dimension] = np.sqrt(np.maximum(0, 1 - (norm / self.greatest) ** 2))
+        return y
+
+    def rotated(self, y: np.ndarray, t: int, r: int) -> np.ndarray:
+        """Agreement with each axis after a rotation; that with the opposite axis is its negative."""
+        out = y * self.signs[t, r, 0]
+        hadamard(out)
+        for s in self.signs[t, r, 1:]:
+            out *= s / self.width**0.5
+            hadamard(out)
+        return out
 
     def codes(self, x: np.ndarray, t: int) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        for r in range(self.signs.shape[1]):
-            out = out * 2 * self.width + self.axes(x, t, r).argmax(1)
+        """A row per vector: the axis of each rotation."""
+        y = self.lifted(x)
+        out = np.empty((len(x), self.rotations), np.int64)
+        for r in range(self.rotations):
+            a = self.rotated(y, t, r)
+            best = np.abs(a).argmax(1)
+            out[:, r] = best + self.width * (a[np.arange(len(a)), best] < 0)
         return out
 
-    def probes(self, x: np.ndarray, t: int, count: int) -> np.ndarray:
-        """The best codes of each row: a row of at most `count`."""
-        codes, short = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-        for r in range(self.signs.shape[1]):
-            a = self.axes(x, t, r)
+    def packed(self, axes: np.ndarray) -> np.ndarray:
+        """Codes as single numbers."""
+        code = np.zeros(axes.shape[:-1], np.int64)
+        for r in range(self.rotations):
+            code = code * self.axes_of + axes[..., r]
+        return code
+
+    def probes(self, x: np.ndarray, t: int, count: int, rows: int = 64) -> np.ndarray:
+        """The best codes of each row, best first: rows x (at most count) x rotations."""
+        return np.concatenate([self._probes(x[i : i + rows], t, count) for i in range(0, len(x), rows)]) if len(x) else np.zeros((0, 0, self.rotations), np.int64)
+
+    def _probes(self, x: np.ndarray, t: int, count: int) -> np.ndarray:
+        y, rows = self.lifted(x), np.arange(len(x))[:, None]
+        codes, short = np.zeros((len(x), 1, 0), np.int64), np.zeros((len(x), 1))
+        for r in range(self.rotations):
+            a = self.rotated(y, t, r)
+            a = np.concatenate([a, -a], 1).astype(np.float64)
             best = np.argsort(-a, axis=1, kind="stable")[:, :count]
-            lost = (np.take_along_axis(a, best[:, :1], 1) - np.take_along_axis(a, best, 1)) ** 2
-            codes = (codes[:, :, None] * 2 * self.width + best[:, None, :]).reshape(len(x), -1)
+            lost = (a[rows, best[:, :1]] - a[rows, best]) ** 2
+            m = best.shape[1]
             short = (short[:, :, None] + lost[:, None, :]).reshape(len(x), -1)
-            keep = np.argsort(short, axis=1, kind="stable")[:, :count]
-            codes, short = np.take_along_axis(codes, keep, 1), np.take_along_axis(short, keep, 1)
+            keep = np.argpartition(short, count, axis=1)[:, :count] if short.shape[1] > count else np.arange(short.shape[1])[None].repeat(len(x), 0)
+            keep = keep[rows, np.argsort(short[rows, keep], axis=1, kind="stable")]
+            codes = np.concatenate([codes[rows, keep // m], best[rows, keep % m][:, :, None]], 2)
+            short = short[rows, keep]
         return codes
 
 
@@ -102,81 +142,184 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def plan_for(rows: int) -> tuple[int, int]:
-    """Rotations of a code and probes of a query in each table, for so many vectors.
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each vector from one query, in doubles."""
+    return np.sqrt(((x - q) ** 2).sum(1))
+
+
+def least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, ties by id."""
+    some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) else np.zeros(0, np.int64)
+    some = some[np.isfinite(d[some])]
+    return some[np.lexsort((ids[some], d[some]))][:k]
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest in all lists."""
+    best = lists.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    Measured on uniform random unit vectors of 64 dimensions, the hardest case, with 16 tables: recall of the ten
-    nearest 0.98 and more from 500 to 50,000 vectors. Few vectors lie farther apart, and take more probes.
-    """
-    rotations = 1
-    width = 128
-    while rows / width**rotations > BUCKET:
-        rotations += 1
-    probes = 32 if rows < 2_000 else 16 if rows < 20_000 else 10
-    return rotations, probes * (1 if rotations == 1 else 16 ** (rotations - 1))
 
+def exact(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """The k nearest of a block of queries within each batch of all vectors."""
+    held = base.sparkSession.sparkContext.broadcast((ids, vectors))
 
-def nearest(df: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, chunk: int = CHUNK, query_chunk: int = QUERY_CHUNK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, mine = vectors_of(batch.column(1)), batch.column(0).to_numpy()
+            rows: list[list[np.ndarray]] = [[], [], []]
+            for one, at in zip(held.value[1], held.value[0], strict=True):
+                d = distances(x, one)
+                d[mine == at] = np.inf
+                best = least(d, mine, k)
+                for out, found in zip(rows, (np.full(len(best), at), mine[best], d[best]), strict=True):
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["query_id", "vec_id", "score"])
+
+    return base.mapInArrow(run, OUT)
+
+
+def probes_for(base: DataFrame, hashing: CrossPolytope, k: int) -> tuple[int, float]:
+    """The fewest probes that find a share TARGET of a sample's true neighbours, and the share that they find."""
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
+    ids, q = np.array([r.vec_id for r in sample]), np.array([r.v for r in sample])
+    true = merged(exact(base, ids, q, k), k).join(base.groupBy("vec_id").agg(F.min("v").alias("v")), "vec_id").collect()
+    if not true:
+        return 1, 1.0
+    row = {int(i): n for n, i in enumerate(ids)}
+    of, near = np.array([row[r.query_id] for r in true]), np.array([r.v for r in true])
+    first = np.full(len(true), MOST_PROBES)
+    for t in range(hashing.tables):
+        codes, theirs = hashing.probes(q, t, MOST_PROBES), hashing.codes(near, t)
+        same = (codes[of] == theirs[:, None, :]).all(2)
+        first = np.minimum(first, np.where(same.any(1), same.argmax(1), MOST_PROBES))
+    count = min(MOST_PROBES, int(np.sort(first)[min(len(first) - 1, int(np.ceil(TARGET * len(first))) - 1)]) + 1)
+    return count, float((first < count).mean())
+
+
+def nearest(df: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, cell: int = CELL, query_cell: int = QUERY_CELL) -> DataFrame:
     """For each row for which `queries` holds: query_id, rank, vec_id, score of its k nearest found."""
     spark = df.sparkSession
-    base = usable(df, id_col, vector_col)
-    sizes = base.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
-    out = "query_id bigint, rank int, vec_id bigint, score double"
+    shipped(spark)
+    some = usable(df, id_col, vector_col)
+    sizes = some.groupBy(F.size("v").alias("d")).agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
-        return spark.createDataFrame([], out)
-    base = base.where(F.size("v") == sizes.d)
-    rotations, probes = plan_for(sizes.n)
-    hashing = spark.sparkContext.broadcast(CrossPolytope(sizes.d, tables, rotations, float(np.sqrt(sizes.m))))
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    asked = stored(usable(df.where(queries), id_col, vector_col).where(F.size("v") == sizes.d), "ann-queries")
+    copy = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    base = stored(some.where(F.size("v") == sizes.d).distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "v").repartition(min(MOST_FILES, -(-sizes.n // FILE))), "ann-vectors")
+    hashing = CrossPolytope(sizes.d, tables, ROTATIONS, float(np.sqrt(sizes.m)))
+    probes, _ = probes_for(base, hashing, k)
+    held = spark.sparkContext.broadcast(hashing)
+    rows = base.count()
+    shards, groups = max(1, -(-rows // SHARD)), max(LEAST_CELLS, -(-2 * rows // CELL))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each cell that a batch's vectors fall into: their ids and codes."""
         for batch in batches:
-            x = vectors_of(batch.column(1))
-            for t in range(len(hashing.value.signs)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hashing.value.codes(x, t)), batch.column(0), batch.column(1)], ["t", "code", "vec_id", "v"])
+            x, ids = vectors_of(batch.column(1)), batch.column(0).to_numpy()
+            for t in range(held.value.tables):
+                yield cells(t, ids, held.value.packed(held.value.codes(x, t)))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each cell that a batch's queries probe: the queries and codes."""
         for batch in batches:
-            x = vectors_of(batch.column(1))
-            for t in range(len(hashing.value.signs)):
-                codes = hashing.value.probes(x, t, probes)
-                who = pa.array(np.repeat(np.arange(len(x)), codes.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(codes.size, t, np.int32)), pa.array(codes.ravel()), batch.column(0).take(who), batch.column(1).take(who)], ["t", "code", "query_id", "q"])
-
-    found = stored(base.mapInArrow(coded, "t int, code bigint, vec_id bigint, v array<double>"), "ann-codes")
-    asked = usable(df.where(queries), id_col, vector_col).where(F.size("v") == sizes.d)
-    asked = stored(asked.mapInArrow(probed, "t int, code bigint, query_id bigint, q array<double>"), "ann-probes")
-    # large buckets are cut into chunks; the others are one
-    large = found.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("t", "code", F.ceil(F.col("n") / chunk).cast("int").alias("is"))
-    often = asked.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > query_chunk).select("t", "code", F.ceil(F.col("n") / query_chunk).cast("int").alias("js"))
-    cut = stored(large.join(often, ["t", "code"], "full"), "ann-large").select("t", "code", F.coalesce("is", F.lit(1)).alias("is"), F.coalesce("js", F.lit(1)).alias("js"))
-
-    def dealt(rows: DataFrame, own: str, i: str, j: str, mine: str) -> DataFrame:
-        wide = rows.join(cut, ["t", "code"], "left").withColumn(i, F.coalesce(i, F.lit(1))).withColumn(j, F.coalesce(j, F.lit(1)))
-        side, other = F.pmod(F.xxhash64(own), F.col(i)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(j) - 1))
-        return wide.select("t", "code", own, mine, side.alias("i" if i == "is" else "j"), other.alias("j" if i == "is" else "i"))
-
-    left, right = dealt(found, "vec_id", "is", "js", "v"), dealt(asked, "query_id", "js", "is", "q")
+            x, ids = vectors_of(batch.column(1)), batch.column(0).to_numpy()
+            for t in range(held.value.tables):
+                codes = held.value.packed(held.value.probes(x, t, probes))
+                yield cells(t, np.repeat(ids, codes.shape[1]), codes.ravel())
+
+    def cells(t: int, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        group = (mix64(codes.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, begins = np.unique(group[order], return_index=True)
+        cuts = np.append(begins, len(order))
+        lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v[order], pa.int64())) for v in (ids, codes)]
+        return pa.RecordBatch.from_arrays([pa.array(t * groups + group, pa.int64()), pa.array(np.diff(cuts), pa.int64()), *lists], ["cell", "n", "ids", "codes"])
+
+    schema = "cell bigint, n bigint, ids array<bigint>, codes array<bigint>"
+    found = stored(base.mapInArrow(coded, schema), "ann-codes")
+    wanted = stored(asked.mapInArrow(probed, schema), "ann-probes")
+    # a cell of many vectors or queries is dealt into chunks by the rows that it came in; the others are one
+    counts = [rows.groupBy("cell").agg(F.ceil(F.sum("n") / most).cast("int").alias(name)) for rows, most, name in ((found, cell, "is"), (wanted, query_cell, "js"))]
+    cut = stored(counts[0].join(counts[1], "cell"), "ann-cells")
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        wide = rows.join(cut, "cell")
+        own, others = F.pmod(F.xxhash64("ids"), F.col(mine + "s")).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))
+        return wide.select("cell", "ids", "codes", own.alias(mine), others.alias(other))
 
     def met(vectors: pa.Table, wanted: pa.Table) -> pa.Table:
-        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """The ids of the vectors in the cell that each query probes, by shard."""
+        out: list[list] = [[], [], []]
         if vectors.num_rows and wanted.num_rows:
-            x, q = vectors_of(vectors.column("v").combine_chunks()), vectors_of(wanted.column("q").combine_chunks())
-            ids, who = vectors.column("vec_id").to_numpy(), wanted.column("query_id").to_numpy()
-            for one, at in zip(q, who, strict=True):
-                d = np.sqrt(((x - one) ** 2).sum(1))
-                d[ids == at] = np.inf
-                some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                some = some[np.isfinite(d[some])]
-                best = some[np.lexsort((ids[some], d[some]))][:k]
-                rows.append((np.full(len(best), at), ids[best], d[best]))
+            ids, codes = (np.concatenate([x.values.to_numpy() for x in vectors.column(c)]) for c in ("ids", "codes"))
+            who, probe = (np.concatenate([x.values.to_numpy() for x in wanted.column(c)]) for c in ("ids", "codes"))
+            order = np.argsort(codes, kind="stable")
+            ids, codes = ids[order], codes[order]
+            a, b = np.searchsorted(codes, probe), np.searchsorted(codes, probe, "right")
+            times = b - a
+            query, near = np.repeat(who, times), ids[np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            shard = shard_of(near)
+            order = np.lexsort((shard, query))
+            query, near, shard = query[order], near[order], shard[order]
+            begins = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (shard[1:] != shard[:-1]))) if len(query) else np.zeros(0, np.int64)
+            out = [query[begins], shard[begins], np.split(near, begins[1:]) if len(query) else []]
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "shard": pa.array(out[1], pa.int64()), "ids": pa.array(out[2], pa.list_(pa.int64()))})
+
+    def shard_of(ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(batch.column(0).to_numpy())), *batch.columns], ["shard", "vec_id", "v"])
+
+    def ranked(vectors: pa.Table, lists: pa.Table) -> pa.Table:
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if vectors.num_rows and lists.num_rows:
+            vectors, lists = vectors.sort_by("vec_id").combine_chunks(), lists.combine_chunks()
+            x, ids = vectors_of(vectors.column("v").chunk(0)), vectors.column("vec_id").to_numpy()
+            q = vectors_of(lists.column("q").chunk(0))
+            for n, (at, near) in enumerate(zip(lists.column("query_id").to_numpy(), lists.column("ids"), strict=True)):
+                wanted = np.unique(near.values.to_numpy())
+                a, b = np.searchsorted(ids, wanted), np.searchsorted(ids, wanted, "right")
+                here = a if (b - a == 1).all() else np.concatenate([np.arange(s, e) for s, e in zip(a, b, strict=True)])
+                here = here[ids[here] != at]
+                d = distances(x[here], q[n])
+                best = least(d, ids[here], k)
+                rows.append((np.full(len(best), at), ids[here][best], d[best]))
         cat = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
 
-    keys = ["t", "code", "i", "j"]
-    lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, "query_id bigint, vec_id bigint, score double")
-    best = lists.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
-    return merged.select("query_id", F.posexplode("near").alias("at", "near")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("near.vec_id").alias("vec_id"), F.col("near.score").alias("score"))
+    pairs = dealt(found, "i", "j").groupBy("cell", "i", "j").cogroup(dealt(wanted, "j", "i").groupBy("cell", "i", "j")).applyInArrow(met, "query_id bigint, shard bigint, ids array<bigint>")
+    lists = stored(pairs.groupBy("query_id", "shard").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "ann-candidates")
+    chunks = max(1, -(-(lists.agg(F.sum(F.size("ids"))).first()[0] or 0) // (shards * NEAR)))
+    lists = lists.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    spread = base.mapInArrow(placed, "shard bigint, vec_id bigint, v array<double>").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    near = spread.groupBy("shard", "chunk").cogroup(lists.groupBy("shard", "chunk")).applyInArrow(ranked, OUT)
+    near = stored(near, "ann-near")
+    # queries with too few candidates are compared with all vectors
+    few = near.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short = asked.join(few, F.col("vec_id") == F.col("query_id"), "left_anti")
+    out = near.join(few.select("query_id"), "query_id", "left_semi")
+    for block in query_blocks(short):
+        out = out.unionByName(exact(base, *block, k))
+    return merged(out, k)
+
+
+def query_blocks(rows: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of rows, so many at a time; the driver holds one block."""
+    ids: list[int] = []
+    vectors: list[list[float]] = []
+    for r in rows.toLocalIterator():
+        ids.append(r.vec_id)
+        vectors.append(r.v)
+        if len(ids) == size:
+            yield np.array(ids), np.array(vectors)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), np.array(vectors)
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
