@@ -223,6 +223,34 @@ def test_quality(spark, odd_docs, no_docs):
     assert {r.quality_score for r in quality.scored(docs, none).collect()} == {0.7}
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Repeated labels and documents don't swell what is learned from, and a label given twice counts once."""
+    docs = spark.createDataFrame([(i % 10, f"text number {i} of this table" + "!" * (5 * (i % 2))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "BradleyTerry", lambda x, good: seen.append((len(x), int(good.sum()))))
+    quality.learned(docs, labels, sample_rows=30)
+    quality.learned(docs, labels)
+    assert seen[0][0] <= 30 and seen[1] == (400, 200)
+
+
+def test_quality_features_against_plain_python():
+    texts = ["Hello WORLD, 12 it's | a a a!", "", None, "ÀÉ xx\nline two " + "y" * 25, "one"]
+    got = quality.features(pa.array(texts))
+    for row, t in zip(got, texts, strict=True):
+        b, w = (t or "").encode(), (t or "").split()
+        n, some = max(len(b), 1), max(len(w), 1)
+        low = [x.translate(LOW) for x in w]
+        marks = sum(chr(c) in ".,;:'\"?-()" for c in b)
+        other = sum(33 <= c < 127 and not chr(c).isalnum() for c in b) - marks
+        wanted = [
+            sum(c.isupper() for c in t or "") / n, sum(97 <= c < 123 for c in b) / n, sum(48 <= c < 58 for c in b) / n, marks / n, other / n, sum(c > 127 for c in b) / n,
+            b.count(b"!") / some, b.count(b"|") / some, min(len(b) / some, 50), sum(len(x.encode()) > 20 for x in w) / some, len(set(low)) / some,
+            len(set(zip(low, low[1:], strict=False))) / max(len(w) - 1, 1), math.log1p(len(w)), math.log1p(len(w) / (b.count(b"\n") + 1)),
+        ]
+        assert row == pytest.approx(wanted)
+
+
 def test_quality_holds_out(spark):
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.op3_quality(spark, "/root/testdata/sf0.01").join(lab, "doc_id").where("held_out").collect()
@@ -481,6 +509,32 @@ def test_rollup(spark, tmp_path):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 13)]
 
 
+def test_rollup_of_lost_writes_and_compaction(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    rows = lambda *r: spark.createDataFrame(list(r), "source string, lang string, tokenizer_version string, docs long, tokens long")
+    assert rollup.totals().count() == 0
+    rollup.commit("a/b", rows(("a", "en", "v", 1, 10)))
+    with monkeypatch.context() as m:  # the writer is lost between its sums and the manifest
+        m.setattr(token_counts.Rollup, "_swap", lambda *a: (_ for _ in ()).throw(OSError))
+        with pytest.raises(OSError):
+            rollup.commit("a/b", rows(("a", "en", "v", 1, 99)))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 10)]
+    rollup.commit("empty", rows())
+    rollup.compact()
+    rollup.commit("a/b", rows(("a", "en", "v", 1, 10)))
+    rollup.commit("more", rows(("a", "en", "v", 1, 1)))
+    rollup.compact()
+    assert [tuple(r) for r in token_counts.Rollup(spark, str(tmp_path / "r")).totals().collect()] == [("a", "en", "v", 2, 11)]
+
+
+def test_token_counts_of_odd_rows(spark, no_docs):
+    assert token_counts.kept_up(no_docs).totals().count() == 0
+    rows = [(1, "a", "en", "a !!! b"), (None, "a", "en", "a !!! b"), (None, "a", "en", "c"), (None, "a", "en", "c"), (2, None, None, None), (3, "a", "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.kept_up(docs).totals().where("tokenizer_version = 'words'").collect()}
+    assert got == {("a", "en"): (4, 4), (None, None): (1, 0)}
+
+
 def test_token_counts(spark, odd_docs, no_docs):
     got = by_id(token_counts.with_token_counts(odd_docs.drop("n_tokens").withColumn("n_tokens", F.lit("clash"))))
     assert got[1].n_tokens == got[2].n_tokens == 0 and got[7].n_tokens == got[8].n_tokens > 0
@@ -501,7 +555,7 @@ def test_token_counts_query(spark):
         if first.setdefault(r.text, r.doc_id) != r.doc_id:
             continue
         bpe = len(encoder.encode_ordinary(re.sub(token_counts.RUNS, "", r.text)))
-        for version, n in (("byte_bpe_50k", bpe), ("words", len(WORD.findall(r.text)))):
+        for version, n in (("byte_bpe_50k", bpe), ("words", len(WORD.findall(re.sub(token_counts.RUNS, "", r.text))))):
             wanted[r.source, r.lang, version][0] += 1
             wanted[r.source, r.lang, version][1] += n
     got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in token_counts.op8_token_counts(spark, sf).collect()}

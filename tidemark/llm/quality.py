@@ -8,12 +8,13 @@ tells the labels apart best. The score is the logistic of the strength less the
 scaled so that the threshold scores 0.7.
 
 Features of all rows are made in Arrow batches of whole texts. Learning takes a bounded,
-repeatable sample of the labelled rows (`SAMPLE_ROWS`, by hashed id), of which only the
-feature vectors reach the driver; each of its bad documents meets `PAIRS` good ones.
+repeatable sample of the labelled rows (`SAMPLE_ROWS`, by hashed id, then by hashed features),
+of which only the feature vectors reach the driver; each of its bad documents meets `PAIRS`
+good ones.
 
 Defined cases: a null text is as an empty one, and both get the score of an empty text;
-rows without a label aren't learned from; a doc_id labelled more than once counts each
-time; without labels of both kinds every score is 0.7; an empty table gives an empty
+rows without a label aren't learned from; a doc_id with the same label more
+than once counts once, with both labels as each; rows that share an id count each; without labels of both kinds every score is 0.7; an empty table gives an empty
 result. `scored` keeps all columns; its own, `quality_score`, replaces one of that name.
 """
 
@@ -159,8 +160,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learned(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> BradleyTerry:
     """From docs (doc_id, text) and labels (doc_id, quality), on at most about `sample_rows` rows."""
     shipped(docs.sparkSession)
-    known = sampled(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")), sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(_vectors, "quality int, x array<double>").collect()
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    known = sampled(known, sample_rows)
+    few = F.broadcast(known) if known.limit(2 * sample_rows + 1).count() <= 2 * sample_rows else known
+    rows = docs.select("doc_id", "text").join(few, "doc_id").select("quality", "text").mapInArrow(_vectors, "quality int, x array<double>")
+    # ids may repeat in docs, so that the sample is bounded here once more
+    rows = rows.orderBy(F.xxhash64("x"), "quality").limit(sample_rows).collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     good = np.array([r.quality == 1 for r in rows], bool)
     order = np.lexsort([*x.T, good])

@@ -2,18 +2,24 @@
 
 A batch of changes holds signed rows: an insert adds a document and its tokens, a delete
 takes both away, a revision adds the new count and takes away the old. A commit sums the
-batch per group, before and after the shuffle, and writes the sums under its batch id,
-replacing what that id held: committing a batch again, whole or after a failure, changes
-nothing. Totals are the sums over batches; groups left without documents or tokens go.
+batch per group, before and after the shuffle, writes the sums to a folder of their own, and
+then names that folder in the manifest, a small file that is replaced as a whole. Until then
+nothing has changed, so a writer lost half-way leaves the totals as they were; committing a
+batch id again replaces its sums. Totals are the sums over the folders named; groups left
+without documents or tokens go. `compact` folds the open batches into one folder; their ids
+are closed then, and committing one again changes nothing. There is one writer at a time.
 
 Defined cases: a null source or language is a group of its own; a null text has no tokens;
 a document inserted twice counts twice, so callers give each change once per batch id; an
-empty batch commits nothing; extra columns of a batch are ignored.
+empty batch commits nothing; extra columns of a batch are ignored; any text is a batch id.
+In the query a text's copies are withdrawn but for that of the least doc_id, those without an
+id only if another has one.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import n_words
-from .shared import fold, shared_dir, stored, table
+from .shared import fold, shared_dir, shipped, stored, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's file is broadcast; larger ones are refused.
@@ -49,6 +55,7 @@ def _encoder(name: str, file: bytes):
 
 def with_token_counts(docs: DataFrame, column: str = "text", *, tokenizer: str = TOKENIZER) -> DataFrame:
     """docs with n_tokens in place of the text column."""
+    shipped(docs.sparkSession)
     path = Path(tokenizer)
     if path.stat().st_size > MAX_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer} is larger than {MAX_TOKENIZER_BYTES} bytes")
@@ -76,23 +83,67 @@ def revised(old: Column, new: Column) -> list[Column]:
 
 
 class Rollup:
-    """Totals kept as one folder of sums per committed batch, in the shared folder or at `path`."""
+    """Totals kept as folders of sums and a manifest of those that count, in the shared folder or at `path`."""
+
+    SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
+        self._fs, self._conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        return self._fs.Path(f"{self.path}/{name}")
+
+    def manifest(self) -> dict:
+        """base: a folder or null; closed: ids in the base; open: folders by id."""
+        where = self._at("manifest")
+        if not where.getFileSystem(self._conf).exists(where):
+            return {"base": None, "closed": [], "open": {}}
+        return json.loads(self.spark.read.text(where.toString(), wholetext=True).first()[0])
+
+    def _swap(self, manifest: dict) -> None:
+        new, where = self._at(f"manifest-{uuid.uuid4().hex}"), self._at("manifest")
+        out = new.getFileSystem(self._conf).create(new, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        rename = getattr(self._fs, "Options$Rename")
+        options = self.spark._sc._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._fs.FileContext.getFileContext(where.getFileSystem(self._conf).getUri(), self._conf).rename(new, where, options)
+
+    def _written(self, sums: DataFrame) -> str:
+        name = f"sums-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{name}")
+        return name
 
     def commit(self, batch_id: str, changes: DataFrame) -> None:
         """Write the batch's sums by group; the same batch_id again replaces them."""
-        sums = changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        if batch_id in self.manifest()["closed"]:
+            return
+        name = self._written(changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+        now = self.manifest()
+        self._swap(now | {"open": now["open"] | {batch_id: name}})
+
+    def _sums(self) -> DataFrame:
+        now = self.manifest()
+        names = [*([now["base"]] if now["base"] else []), *now["open"].values()]
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def compact(self) -> None:
+        now = self.manifest()
+        sums = self._sums().groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        self._swap({"base": self._written(sums), "closed": [*now["closed"], *now["open"]], "open": {}})
 
     def totals(self) -> DataFrame:
-        sums = self.spark.read.schema("source string, lang string, tokenizer_version string, docs long, tokens long, batch string").parquet(self.path)
-        return (
-            sums.groupBy(*GROUP)
-            .agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-            .where("n_docs <> 0 or n_tokens <> 0")
-        )
+        sums = self._sums().groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        return sums.where("n_docs <> 0 or n_tokens <> 0")
+
+
+def copies(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows whose text (by `print`) has a first document that they aren't."""
+    return rows.join(firsts, "print").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,26 +151,35 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Counts stand by two tokenizer versions: the byte-level one and plain words.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return kept_up(table(spark, sf_dir, "documents")).totals()
+
+
+def kept_up(docs: DataFrame) -> Rollup:
+    """The rollup of docs after the query's batches."""
+    docs = docs.select("doc_id", "source", "lang", "text")
     plain = F.regexp_replace("text", RUNS, "")
     whole = docs.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("print"), fold(BATCHES).alias("part"), n_words(F.col("text")).alias("words"), "text")
     counts = stored(with_token_counts(whole), "token-counts")
-    again = docs.where(F.col("text").rlike(RUNS)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("print"), plain.alias("text")).distinct()
-    renewed = stored(with_token_counts(again), "token-counts-renewed").select("doc_id", "print", F.col("n_tokens").alias("new"))
-
-    version = Path(TOKENIZER).stem
-    bpe = counts.withColumn("tokenizer_version", F.lit(version))
-    words = counts.withColumn("tokenizer_version", F.lit("words")).withColumn("n_tokens", F.col("words"))
-    current = bpe.join(renewed, ["doc_id", "print"], "left").withColumn("now", F.coalesce("new", "n_tokens"))
+    # by text: copies have one revision
+    again = docs.where(F.col("text").rlike(RUNS)).select(F.md5(F.col("text").cast("binary")).alias("print"), plain.alias("text")).distinct()
+    renewed = stored(with_token_counts(again.withColumn("words", n_words(F.col("text")))), "token-counts-renewed")
+    renewed = renewed.select("print", F.col("n_tokens").alias("new_tokens"), F.col("words").alias("new_words"))
+    both = F.explode(
+        F.array(
+            F.struct(F.lit(Path(TOKENIZER).stem).alias("tokenizer_version"), F.col("n_tokens").alias("n"), F.col("new_tokens").alias("new")),
+            F.struct(F.lit("words").alias("tokenizer_version"), F.col("words").alias("n"), F.col("new_words").alias("new")),
+        )
+    )
+    rows = counts.join(renewed, "print", "left").select("doc_id", "source", "lang", "print", "part", both.alias("v")).select("*", "v.*").drop("v").withColumnRenamed("n", "n_tokens")
     firsts = counts.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("first"))
 
-    rollup = Rollup(spark)
+    rollup = Rollup(docs.sparkSession)
     for k in range(BATCHES):
-        rollup.commit(f"load-{k}", inserted(bpe.where(F.col("part") == k)).unionByName(inserted(words.where(F.col("part") == k))))
-    rollup.commit("revise", current.where(F.col("new").isNotNull()).select(*GROUP, *revised(F.col("n_tokens"), F.col("now"))))
+        rollup.commit(f"load/{k}", inserted(rows.where(F.col("part") == k)))
+    rollup.commit("revise", rows.where(F.col("new").isNotNull()).select(*GROUP, *revised(F.col("n_tokens"), F.col("new"))))
     firsts = stored(firsts, "token-firsts")
-    copies = lambda rows: rows.join(firsts, "print").where(F.col("doc_id") != F.col("first"))
+    gone = inserted(copies(rows.withColumn("n_tokens", F.coalesce("new", "n_tokens")), firsts), -1)
     for _ in range(2):  # the second changes nothing
-        gone = inserted(copies(current.withColumn("n_tokens", F.col("now"))), -1).unionByName(inserted(copies(words), -1))
         rollup.commit("withdraw", gone)
-    return rollup.totals()
+    rollup.compact()
+    return rollup
