@@ -62,6 +62,53 @@ def test_language(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, names, vectors).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """Bundles and cosines trigram by trigram in plain Python."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1200 and lang is not null").orderBy("doc_id").limit(60)
+    docs = [(r.doc_id, r.text, r.lang) for r in rows.collect()] + [(-1, "日本語の文と ünï", "xx"), (-2, "12 !", "xx")]
+
+    def bundle(text):
+        letters = [((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " ") for c in f"  {text}  "]
+        runs = [c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " "]
+        grams = collections.Counter(zip(runs, runs[1:], runs[2:], strict=False))
+        out = np.zeros(language.DIMENSIONS)
+        for (a, b, c), n in grams.items():
+            if b != " ":
+                v = [language.letter_vector(ord(x)).astype(float) for x in (a, b, c)]
+                out += math.sqrt(n) * np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out / (np.linalg.norm(out) or 1)
+
+    vectors = {i: bundle(t) for i, t, _ in docs}
+    langs = sorted({g for i, _, g in docs if i % 3})
+    shapes = {g: sum(vectors[i] for i, _, x in docs if i % 3 and x == g) for g in langs}
+    shapes = {g: v / np.linalg.norm(v) for g, v in shapes.items()}
+    middle = sum(shapes.values()) / len(shapes)
+    near = {g: (v - middle) / np.linalg.norm(v - middle) for g, v in shapes.items()}
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = by_id(language.identify(table, *language.profiles(table.where("doc_id % 3 <> 0"))))
+    for i, v in vectors.items():
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        mine = (v - middle) / np.linalg.norm(v - middle)
+        cos = {g: float(mine @ x) for g, x in near.items()}
+        assert got[i].score == pytest.approx((1 + max(cos.values())) / 2, abs=1e-4)
+        assert cos[got[i].lang_pred] >= max(cos.values()) - 1e-4
+
+
+def test_language_of_a_very_long_text_of_many_letters():
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_000_000))
+    language._trigrams(["a"])
+    tracemalloc.start()
+    found = language.text_vectors([text, "short one"], language.Codebook())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.any(1).all() and peak < 500e6
+
+
 def test_language_holds_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.op1_language(spark, "/root/testdata/sf0.001").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()

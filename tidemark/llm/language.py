@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import fold, shipped, table
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 10_000
-#: Characters worked on at once.
-CHUNK = 1 << 20
+#: Characters worked on at once, distinct trigrams whose vectors are held at once, letters whose vectors are kept.
+CHUNK, WIDE, MAX_LETTERS = 1 << 20, 8192, 20_000
 BLANK = 32
 #: Bits of a code point in a trigram's key.
 CODE = 21
@@ -50,20 +50,24 @@ _vectors: dict[int, np.ndarray] = {}
 
 
 def letter_vector(code: int) -> np.ndarray:
+    """The same for a letter wherever it is made; a bounded number is kept."""
     if code not in _vectors:
-        _vectors[code] = (np.random.default_rng([11, code]).integers(0, 2, DIMENSIONS) * 2 - 1).astype(np.float32)
+        if len(_vectors) >= MAX_LETTERS:
+            _vectors.clear()
+        _vectors[code] = (np.random.default_rng([11, code]).integers(0, 2, DIMENSIONS) * 2 - 1).astype(np.int8)
     return _vectors[code]
 
 
 def bound(keys: np.ndarray) -> np.ndarray:
     """The vectors of trigram keys, a row each."""
     mask = (1 << CODE) - 1
-    out = np.empty((len(keys), DIMENSIONS), np.float32)
-    for row, key in zip(out, keys.tolist(), strict=True):
-        a, b, c = key >> (2 * CODE), (key >> CODE) & mask, key & mask
-        np.multiply(np.roll(letter_vector(a), 2), np.roll(letter_vector(b), 1), out=row)
-        row *= letter_vector(c)
-    return out
+    letters, at = np.unique(np.stack([keys >> (2 * CODE), (keys >> CODE) & mask, keys & mask]), return_inverse=True)
+    vectors = np.stack([letter_vector(c) for c in letters.tolist()]) if len(letters) else np.zeros((0, DIMENSIONS), np.int8)
+    a, b, c = at.reshape(3, -1)
+    out = np.roll(vectors, 2, axis=1)[a]
+    out *= np.roll(vectors, 1, axis=1)[b]
+    out *= vectors[c]
+    return out.astype(np.float32)
 
 
 class Codebook:
@@ -99,7 +103,8 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = _table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     of = np.repeat(np.arange(len(texts)), np.array([len(t) + 4 for t in texts], np.int64))
     keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != BLANK) | (codes[:-1] != BLANK)
+    # each text keeps a blank before and after it, whatever its neighbours
+    keep[1:] = (codes[1:] != BLANK) | (codes[:-1] != BLANK) | (of[1:] != of[:-1])
     codes, of = codes[keep], of[keep]
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -114,17 +119,24 @@ def text_vectors(texts: list[str], book: Codebook) -> np.ndarray:
     keys, of = _trigrams(texts)
     if not len(keys):
         return out
+    # counts by (text, trigram), in blocks of trigrams, and within a block of texts
     distinct, ids = np.unique(keys, return_inverse=True)
-    width = len(distinct)
-    step = max(1, (4 << 20) // width)
-    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-    vectors = [book(distinct[i : i + 8192]) for i in range(0, width, 8192)]
-    for a in range(0, len(texts), step):
-        b = min(len(texts), a + step)
-        flat = (of[cuts[a] : cuts[b]] - a) * width + ids[cuts[a] : cuts[b]]
-        counts = np.sqrt(np.bincount(flat, minlength=(b - a) * width).reshape(b - a, width).astype(np.float32))
-        for i, v in enumerate(vectors):
-            out[a:b] += counts[:, i * 8192 : i * 8192 + len(v)] @ v
+    order = np.lexsort((ids, of, ids // WIDE))
+    ids, of = ids[order], of[order]
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])))
+    weights = np.sqrt(np.diff(np.append(first, len(ids)))).astype(np.float32)
+    ids, of = ids[first], of[first]
+    cuts = np.searchsorted(ids // WIDE, np.arange(-(-len(distinct) // WIDE) + 1))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        vectors = book(distinct[k * WIDE : (k + 1) * WIDE])
+        step = max(1, (4 << 20) // len(vectors))
+        texts_at, where = np.unique(of[a:b], return_inverse=True)
+        steps = np.searchsorted(where, np.arange(0, len(texts_at) + step, step))
+        for n, (c, d) in enumerate(zip(steps[:-1], steps[1:], strict=True)):
+            mine = texts_at[n * step : (n + 1) * step]
+            counts = np.zeros((len(mine), len(vectors)), np.float32)
+            counts[where[c:d] - n * step, ids[a + c : a + d] - k * WIDE] = weights[a + c : a + d]
+            out[mine] += counts @ vectors
     return out
 
 
@@ -149,6 +161,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def profiles(training: DataFrame) -> tuple[list[str], np.ndarray]:
     """From rows (text, lang) without null langs: the languages by name and a vector for each."""
+    shipped(training.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, sums = Codebook(), {}
@@ -179,6 +192,7 @@ def profiles(training: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame:
     """A row per document: doc_id, lang_pred, score."""
+    shipped(docs.sparkSession)
     shapes = unit(vectors) if len(names) else vectors
     centre = shapes.mean(0, keepdims=True) if len(names) else np.zeros((1, DIMENSIONS))
     held = docs.sparkSession.sparkContext.broadcast((names, unit(shapes - centre).astype(np.float32) if len(names) > 1 else shapes.astype(np.float32), centre.astype(np.float32)))

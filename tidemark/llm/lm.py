@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import fold, shipped, table
 from .words import BLANKS, blocks, mix64
 
 ORDER = 3
@@ -364,6 +364,7 @@ def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
 def score_documents(docs: DataFrame, *, block_docs: int = BLOCK_DOCS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """docs(doc_id, text, held) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    shipped(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_train, n_words = training_size(docs, least)

@@ -16,12 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         there = held.get() if held.isDefined() else None
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(there)
     return there
