@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import event_log, filings
-from tidemark.sources import journal, listings
+from tidemark.sources import corpus, journal, listings
 from tidemark.streaming import streams
 
 EVENT = "id string, type string, occurred_at timestamp, aggregate_key string, source string, data string"
@@ -34,14 +34,17 @@ def test_journal_torn_and_damaged(spark, tmp_path):
         journal.strict_journal(spark, str(tmp_path)).collect()
 
 
-def test_append_read_reopen(spark, tmp_path):
-    log = event_log.EventLog(spark, str(tmp_path / "log"))
+@pytest.mark.parametrize("store", [event_log.EventLog, event_log.JournalLog])
+def test_append_read_reopen(spark, tmp_path, store):
+    log = store(spark, str(tmp_path / "log"))
     assert log.latest() == 0
     rows = [(f"e{i}", "t", None, "k", "s", "{}") for i in range(50)]
     log.append(spark.createDataFrame(rows, EVENT), "id", now=now())
     log.append(spark.createDataFrame([("x", "t", datetime(2024, 1, 1), "k", "s", "null")], EVENT), "id", now=now())
-    again = event_log.EventLog(spark, str(tmp_path / "log"))
+    again = store(spark, str(tmp_path / "log"))
     assert again.latest() == 51
+    last = again.read(51, 1).first()
+    assert (last.id, last.type, last.occurred_at, last.data, last.appended_at) == ("x", "t", datetime(2024, 1, 1), "null", datetime(2024, 2, 1))
     assert [r.sequence for r in again.read(50, 10).collect()] == [50, 51]
     assert again.read(1, 0).count() == 0
     with pytest.raises(ValueError, match="limit"):
@@ -103,3 +106,57 @@ def test_stage_replays_nothing(spark, tmp_path):
         streams.stage(stream, target, str(tmp_path / attempt), lambda df: df, "key").awaitTermination()
         got = spark.read.parquet(target)
         assert sorted(r.key for r in got.collect()) == [f"k{i}" for i in range(7)]
+
+
+def test_two_logs_are_numbered_by_themselves(spark, tmp_path):
+    filings_log, bodies = event_log.JournalLog(spark, str(tmp_path / "a")), event_log.EventLog(spark, str(tmp_path / "b"))
+    rows = spark.createDataFrame([(f"e{i}", "t", None, "k", "s", "{}") for i in range(3)], EVENT)
+    filings_log.append(rows, "id", now=now())
+    bodies.append(rows.limit(1), "id", now=now())
+    assert (filings_log.latest(), bodies.latest()) == (3, 1)
+
+
+def test_later_batches_read_their_own_buckets(spark, tmp_path, monkeypatch):
+    """Two rounds over a growing source; the second sees what the first wrote."""
+    src, target = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = lambda ks: spark.createDataFrame([(i, k) for i, k in enumerate(ks)], "sequence long, key string")
+    rows("abc").coalesce(1).write.parquet(src)
+    asked = []
+    earlier = streams.earlier
+    monkeypatch.setattr(streams, "earlier", lambda *a: asked.append(len(a[-1])) or earlier(*a))
+    start = lambda: streams.stage(streams.source(spark, src, rows("").schema), target, str(tmp_path / "c"), lambda df: df, "key")
+    streams.rounds(start, 2, lambda n: rows("cdd").coalesce(1).write.mode("append").parquet(src))
+    assert sorted(r.key for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "d"]
+    assert max(asked) <= 3
+    with pytest.raises(ValueError, match="round"):
+        streams.rounds(start, 0)
+
+
+def test_feed_streams_cards(spark, tmp_path):
+    log = event_log.EventLog(spark, str(tmp_path / "log"))
+    rows = [(f"e{i}", "filing_discovered", datetime(2024, 1, 31, 23, 59), "k", "sec", '{"form": "8-K", "cik": "1"}') for i in range(4)]
+    log.append(spark.createDataFrame(rows, EVENT), "id", now=now())
+    stream = streams.source(spark, log.path, log.records().schema)
+    streams.feed(stream, str(tmp_path / "cards"), str(tmp_path / "c"), now()).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "cards")).collect()
+    assert sorted(r.sequence for r in got) == [1, 2, 3, 4] and {(r.headline, r.ago, r["class"]) for r in got} == {("8-K (1)", "1m ago", "sec")}
+
+
+def test_tree_of_a_corpus(spark, tmp_path):
+    root = tmp_path / "corpus"
+    for name, text in {"A_1/f_1/metadata.json": "{}", "A_1/f_1/doc.htm": "<html>", "A_1/f_1/sub/x.xml": "y", "B_2/f_2/index.json": "{}", "readme.txt": "x"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    files = corpus.tree(spark, str(root))
+    assert {r.path: r.length for r in files.collect()} == {"A_1/f_1/metadata.json": 2, "A_1/f_1/doc.htm": 6, "A_1/f_1/sub/x.xml": 1, "B_2/f_2/index.json": 2, "readme.txt": 1}
+    units = {(r.issuer, r.filing): r for r in corpus.units(corpus.path_parts(files)).collect()}
+    assert units["A_1", "f_1"].files == ["doc.htm", "metadata.json", "sub/x.xml"] and units["A_1", "f_1"].candidates == ["doc.htm", "sub/x.xml"]
+    assert units["B_2", "f_2"]["index"] == "index.json" and len(units) == 2
+
+
+def test_discovery_of_a_corpus_is_deterministic(spark):
+    """Units, their files and their order don't depend on how the files are dealt out."""
+    paths = [(f"I{i % 3}/f{i % 7}/{n}", i) for i in range(200) for n in ("metadata.json", "index.json", f"d{i}.htm", f"r{i}.jpg")]
+    files = spark.createDataFrame(paths, "path string, length int")
+    found = [[tuple(r) for r in corpus.units(corpus.path_parts(f)).orderBy("issuer", "filing").collect()] for f in (files, files.repartition(13), files.orderBy(F.rand(3)).repartition(5, "length"))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 21

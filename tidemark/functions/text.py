@@ -131,20 +131,28 @@ def base_name(path: Column) -> Column:
 
 
 def document_kind(name: Column, content: Column) -> Column:
-    ext, low = extension(name), trim_unicode(F.lower(content))
+    return kind_of_lowered(name, F.lower(content))
+
+
+def kind_of_lowered(name: Column, low: Column) -> Column:
+    """As document_kind, for content in lower case."""
+    ext = extension(name)
     return (
         F.when(ext.isin(".htm", ".html"), "html")
         .when(ext.isin(".xml", ".xsd"), "xml")
         .when(ext == ".txt", "text")
         .when(low.contains("<html"), "html")
-        .when(low.startswith("<?xml") | low.startswith("<xbrl"), "xml")
+        .when(low.rlike(rf"^[{BLANKS}]*(?:<\?xml|<xbrl)"), "xml")
         .when(low.contains("accession number"), "text")
         .otherwise("unknown")
     )
 
 
 def contains_any(content: Column, markers: Sequence[str]) -> Column:
-    low = F.lower(content)
+    return lowered_contains_any(F.lower(content), markers)
+
+
+def lowered_contains_any(low: Column, markers: Sequence[str]) -> Column:
     found = F.lit(False)
     for m in markers:
         found = found | low.contains(m)

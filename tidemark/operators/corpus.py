@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FILING_MARKERS, INLINE_MARKERS, base_name, contains_any, document_kind, strip_zeros, trim_unicode, without_dashes
+from ..functions.text import FILING_MARKERS, INLINE_MARKERS, base_name, kind_of_lowered, lowered_contains_any, strip_zeros, trim_unicode, without_dashes
 
 # fixed values: the companions of interest, and the metadata fields that must be filled
 COMPANIONS = ("filingsummary.xml", "metalink.json", "metallinks.json")
@@ -29,25 +29,19 @@ def by_issuer(units: DataFrame) -> DataFrame:
     return units.groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def document_classes(name: Column, content: Column) -> Column:
-    """All classes of a document: its kind, its flags, and whether it is a companion of interest."""
-    return F.array_compact(
+def by_class(documents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """Documents by class; one has several: its kind, its flags, and whether it is a companion of interest."""
+    # lowered in a projection of its own, once for all that looks at it
+    low = documents.select(F.col(name).alias("name"), F.lower(content).alias("low"))
+    classes = F.array_compact(
         F.array(
-            document_kind(name, content),
-            F.when(contains_any(content, INLINE_MARKERS), "likely_inline_xbrl"),
-            F.when(contains_any(content, FILING_MARKERS), "likely_filing_document"),
-            F.when(F.lower(base_name(name)).isin(*COMPANIONS), "interesting_companion_primary_candidate"),
+            kind_of_lowered(F.col("name"), F.col("low")),
+            F.when(lowered_contains_any(F.col("low"), INLINE_MARKERS), "likely_inline_xbrl"),
+            F.when(lowered_contains_any(F.col("low"), FILING_MARKERS), "likely_filing_document"),
+            F.when(F.lower(base_name(F.col("name"))).isin(*COMPANIONS), "interesting_companion_primary_candidate"),
         )
     )
-
-
-def by_class(documents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    return documents.select(F.explode(document_classes(F.col(name), F.col(content))).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-
-
-def histogram_map(counts: DataFrame, key: str) -> DataFrame:
-    """A histogram of few keys as one map."""
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
+    return low.select(F.explode(classes).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_fields(metadata: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from ..sources import journal
+from .storage import settled
 
 PAGE = 512
 RECORD_COLUMNS = ("sequence", "id", "type", "occurred_at", "aggregate_key", "source", "data", "appended_at")
@@ -28,12 +30,12 @@ def with_occurred_at(events: DataFrame, now: Column) -> DataFrame:
 def numbered(df: DataFrame, *order: str, start: int = 0, name: str = "sequence", partitions: int | None = None) -> DataFrame:
     """df with a dense number from start + 1 in the given order, without one task seeing all rows.
 
-    Rows are range-partitioned and held, each partition is counted, and its rows are numbered from the
+    Rows are range-partitioned and written to the shared folder, so that a lost executor changes no number; each partition is counted, and its rows are numbered from the
     sum of those before; only the counts, one per partition, meet in a window.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    placed = placed.persist()
+    placed = settled(placed)
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
@@ -87,20 +89,25 @@ def first_in_batch(rows: DataFrame, keys: list[str], *arrival: str) -> DataFrame
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*arrival)))
 
 
-class EventLog:
-    """A log as a day-partitioned Parquet table; one writer at a time."""
+class Store:
+    """A log that is appended to and read in order; one writer at a time. Subclasses say how records are kept."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def records(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path).select(*RECORD_COLUMNS)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                schema = "sequence long, id string, type string, occurred_at timestamp, aggregate_key string, source string, data string, appended_at timestamp"
-                return self.spark.createDataFrame([], schema)
-            raise
+        raise NotImplementedError
+
+    def write(self, records: DataFrame) -> None:
+        raise NotImplementedError
+
+    def exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def nothing(self) -> DataFrame:
+        schema = "sequence long, id string, type string, occurred_at timestamp, aggregate_key string, source string, data string, appended_at timestamp"
+        return self.spark.createDataFrame([], schema)
 
     def latest(self) -> int:
         return int(latest_sequence(self.records()).first()[0])
@@ -113,8 +120,28 @@ class EventLog:
         if events.isEmpty():
             raise ValueError("no events")
         records = numbered(with_occurred_at(events, now), *order, start=self.latest()).withColumn("appended_at", now).select(*RECORD_COLUMNS)
-        records.withColumn("day", F.to_date("appended_at")).write.mode("append").partitionBy("day").parquet(self.path)
+        self.write(records)
         return records
 
     def read(self, first: int, limit: int) -> DataFrame:
         return read_from(self.records(), first, limit)
+
+
+class EventLog(Store):
+    """A log as a day-partitioned Parquet table."""
+
+    def records(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).select(*RECORD_COLUMNS) if self.exists() else self.nothing()
+
+    def write(self, records: DataFrame) -> None:
+        records.withColumn("day", F.to_date("appended_at")).write.mode("append").partitionBy("day").parquet(self.path)
+
+
+class JournalLog(Store):
+    """A log as journals of JSON lines, a folder per day; a malformed line other than a torn last one fails reads."""
+
+    def records(self) -> DataFrame:
+        return journal.strict_journal(self.spark, self.path).select(*RECORD_COLUMNS) if self.exists() else self.nothing()
+
+    def write(self, records: DataFrame) -> None:
+        journal.write_journal(records, self.path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_zeros, without_dashes
 from ..operators import corpus as ops
+from ..operators.storage import scratch
 from ..sources import corpus as src
 from . import bindings as b
 from .bindings import FILES, ITEMS, META
@@ -51,6 +52,16 @@ def _(spark, sf_dir):
     return _parts(spark, sf_dir).where(src.is_candidate(F.col("ext"))).select("path")
 
 
+@query("corpus_tree", "SELECT 'issuer=' || (page_id % 7) AS issuer, count(DISTINCT page_id % 21)::BIGINT AS filings, sum(octet_length(encode(html)) + 1)::BIGINT AS n_bytes FROM pages GROUP BY 1")
+def _(spark, sf_dir):
+    """Pages written as a tree of folders, which is then scanned."""
+    root = scratch(spark)
+    rows = b.table(spark, sf_dir, "pages").select(F.col("html").alias("value"), (F.col("page_id") % 7).alias("issuer"), (F.col("page_id") % 21).alias("filing"))
+    rows.write.partitionBy("issuer", "filing").option("compression", "none").text(root)
+    files = src.path_parts(src.tree(spark, root))
+    return files.groupBy("issuer").agg(F.count_distinct("filing").alias("filings"), F.sum("length").alias("n_bytes"))
+
+
 @query("corpus_units", f"WITH {UNITS} SELECT issuer, filing, metadata, index, files, candidates, companions, row_number() OVER (PARTITION BY issuer ORDER BY filing)::BIGINT AS place FROM units")
 def _(spark, sf_dir):
     from pyspark.sql import Window as W

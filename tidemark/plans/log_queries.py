@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_time, rfc3339
 from ..operators import event_log, feed
+from ..operators.storage import scratch
 from ..sources import journal
 from .bindings import LOG, NOW, log, now, table
 from .registry import query
@@ -24,56 +23,63 @@ def _sql(body: str) -> str:
     return f"WITH {LOG} {body}"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/tidemark-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tidemark-") + "/data"
-
-
-def _written(spark: SparkSession, lines: DataFrame) -> str:
-    """Journals, a file per day folder, as files named *.ndjson would be: text with the suffix given by the writer."""
+def _journal(spark: SparkSession, sf_dir: str, damaged: bool) -> str:
     path = scratch(spark)
-    lines.write.partitionBy("day").option("compression", "none").text(path)
+    rows = log(spark, sf_dir)
+    if not damaged:
+        journal.write_journal(rows, path)
+        return path
+    whole = F.to_json(F.struct("sequence", F.struct(*journal.EVENT_COLUMNS).alias("event"), "appended_at"))
+    text = F.when(F.col("sequence") % 101 == 0, F.substring(whole, 1, 40)).when(F.col("sequence") % 103 == 0, "  ").otherwise(whole)
+    rows.select(text.alias("value"), F.to_date("appended_at").alias("day")).write.partitionBy("day").option("compression", "none").text(path)
     return path
 
 
-def _journal(spark: SparkSession, sf_dir: str, damaged: bool) -> str:
-    rows = log(spark, sf_dir)
-    event = F.struct("id", "type", "occurred_at", "aggregate_key", "source", "data")
-    text = F.to_json(F.struct("sequence", event.alias("event"), "appended_at"))
-    if damaged:
-        text = F.when(F.col("sequence") % 101 == 0, F.substring(text, 1, 40)).when(F.col("sequence") % 103 == 0, "  ").otherwise(text)
-    return _written(spark, rows.select(text.alias("value"), F.to_date("appended_at").alias("day")))
+@query("journal_scan", _sql("SELECT sequence, id, type, aggregate_key, source, data, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM log"))
+def _(spark, sf_dir):
+    """Written as journals and read back."""
+    records = journal.scan_journal(spark, _journal(spark, sf_dir, False))
+    return records.select("sequence", "id", "type", "aggregate_key", "source", "data", _text("occurred_at"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.option("lineSep", "\n").text(f"{path}/*/*.txt")
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block")).withColumn("pos", F.monotonically_increasing_id())
+@query("journal_quarantine", _sql("SELECT 'error' AS verdict, count(*)::BIGINT AS n FROM log WHERE sequence % 101 = 0"))
+def _(spark, sf_dir):
+    return journal.quarantined(spark, _journal(spark, sf_dir, True)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("journal_scan", _sql("SELECT sequence, id, type, aggregate_key, source, data FROM log"))
+@query("journal_last_lines", _sql("SELECT count(DISTINCT appended_at::DATE)::BIGINT AS days, true AS ended FROM log"))
 def _(spark, sf_dir):
-    parsed = journal.parsed(_lines(spark, _journal(spark, sf_dir, False)))
-    return journal.records_of(parsed.where("record is not null")).select("sequence", "id", "type", "aggregate_key", "source", "data")
+    """Every day has a last line, and no journal of ours ends amid one."""
+    lines = journal.journal_lines(spark, _journal(spark, sf_dir, False))
+    ends = journal.last_per_file(lines).join(journal.open_files(lines), "file").where(journal.parsed_record(F.col("value")).isNotNull())
+    return ends.agg(F.count_distinct(F.regexp_extract("file", "day=([0-9-]+)", 1)).alias("days"), F.bool_and(~F.col("open")).alias("ended"))
 
 
-@query("journal_quarantine", _sql("SELECT 'error' AS verdict, count(*)::BIGINT AS n FROM log WHERE sequence % 101 = 0"))
+@query("append_records", _sql("SELECT sequence + 1 AS sequence, id, type, source FROM log WHERE data IS NOT NULL UNION ALL SELECT 1, 'first', 'begin', ''"))
+def _(spark, sf_dir):
+    """Appended to a log that has a record, then read from the log opened anew."""
+    path = scratch(spark)
+    first = spark.createDataFrame([("first", "begin", None, "", "", "{}")], "id string, type string, occurred_at timestamp, aggregate_key string, source string, data string")
+    event_log.EventLog(spark, path).append(first, "id", now=now())
+    event_log.EventLog(spark, path).append(log(spark, sf_dir).drop("sequence", "appended_at"), "occurred_at", "id", now=now())
+    return event_log.EventLog(spark, path).records().select("sequence", "id", "type", "source")
+
+
+@query("journal_append", _sql("SELECT row_number() OVER (ORDER BY occurred_at, id)::BIGINT AS sequence, id, data FROM log"))
 def _(spark, sf_dir):
-    parsed = journal.parsed(_lines(spark, _journal(spark, sf_dir, True)))
-    bad = parsed.where("record is null and text <> ''")
-    sizes = parsed.groupBy("file").agg((F.sum(F.octet_length("value") + 1) == F.max("size") + 1).alias("open"), F.max(F.struct("block", "pos")).alias("last"))
-    torn = F.col("open") & (F.struct("block", "pos") == F.col("last"))
-    return bad.join(sizes, "file").groupBy(F.when(torn, "dropped").otherwise("error").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """The same in the other store, a log of journals."""
+    path = scratch(spark)
+    event_log.JournalLog(spark, path).append(log(spark, sf_dir).drop("sequence", "appended_at"), "occurred_at", "id", now=now())
+    return event_log.JournalLog(spark, path).records().select("sequence", "id", "data")
 
 
-@query("append_records", _sql("SELECT sequence + 1000 AS sequence, id, type, source FROM log WHERE data IS NOT NULL"))
+@query("second_log", _sql("SELECT aggregate_key, count(*)::BIGINT AS n, max(k)::BIGINT AS latest FROM (SELECT *, row_number() OVER (ORDER BY occurred_at, id) AS k FROM log WHERE type IN ('pr_body_fetched', 'pr_body_failed')) GROUP BY 1"))
 def _(spark, sf_dir):
-    events = event_log.validated(log(spark, sf_dir)).where("violation is null").drop("sequence", "violation")
-    return event_log.numbered(events, "occurred_at", "id", start=1000).select("sequence", "id", "type", "source")
+    """Bodies in a log of their own, numbered by itself."""
+    bodies = event_log.EventLog(spark, scratch(spark))
+    rows = event_log.of_type(log(spark, sf_dir), "pr_body_fetched", "pr_body_failed").drop("sequence", "appended_at")
+    bodies.append(rows, "occurred_at", "id", now=now())
+    return bodies.records().groupBy("aggregate_key").agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("latest"))
 
 
 @query(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feed, press, signals
+from ..operators import press, signals
+from ..operators.storage import scratch
 from ..sources import press as cards
 from ..streaming import streams
 from . import bindings as b
 from .bindings import LOG, PAGES, now
-from .log_queries import CARDS, scratch
+from .log_queries import CARDS
 from .registry import query
 from .text_queries import ANALYSED, CAP, _analysed, _clean, _releases
 
@@ -49,13 +50,13 @@ def _(spark, sf_dir):
 @query(
     "stream_body",
     f"""WITH {PAGES} SELECT CASE WHEN ok THEN 'pr_body_fetched:' ELSE 'pr_body_failed:' END || release_id AS id, CASE WHEN ok THEN {_clean('html')} END AS body
-    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok FROM cards JOIN pages USING (page_id) WHERE pos = 0)""",
+    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok FROM cards JOIN pages USING (page_id))""",
 )
 def _(spark, sf_dir):
     """Releases to fetched or failed bodies; contents come from the page table."""
     target = scratch(spark)
     contents = b.table(spark, sf_dir, "pages").where("page_id % 3 <> 1").select("page_id", "html")
-    releases = _releases(spark, sf_dir).where("pos = 0").drop("html", "url", "href", "block")
+    releases = _releases(spark, sf_dir).drop("html", "url", "href", "block")
     step = lambda df: press.body_events(cards.guarded(press.fetched(df, contents, "page_id"), max_bytes=CAP), now())
     started = streams.stage(_stream(spark, releases), target, scratch(spark), step, "aggregate_key")
     return _finished(spark, started, target).select("id", F.get_json_object("data", "$.body").alias("body"))
@@ -74,9 +75,19 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     target = scratch(spark)
     rows = b.log(spark, sf_dir)
-    started = streams.tail(_stream(spark, rows), target, scratch(spark))
-    shown = feed.cards(_finished(spark, started, target, rows.schema), now())
+    shown = _finished(spark, streams.feed(_stream(spark, rows), target, scratch(spark), now()), target)
     return shown.withColumn("shown_at", F.date_format("shown_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 
+
+
+@query("stream_rounds", f"WITH {LOG} SELECT sequence, id FROM log")
+def _(spark, sf_dir):
+    """Two rounds; half of the log comes after the first."""
+    rows = b.log(spark, sf_dir)
+    path, target, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    half = lambda k: rows.where(F.col("sequence") % 2 == k).write.mode("append").parquet(path)
+    half(0)
+    streams.rounds(lambda: streams.stage(streams.source(spark, path, rows.schema), target, checkpoint, lambda df: df, "sequence"), 2, lambda n: half(1))
+    return spark.read.parquet(target).select("sequence", "id")

@@ -162,8 +162,8 @@ def _(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    """Releases of own pages with those pages' contents, a third of them missing."""
-    releases = _releases(spark, sf_dir).where("pos = 0").drop("html")
+    """Releases with their pages' contents, a third of them missing."""
+    releases = _releases(spark, sf_dir).drop("html")
     contents = _pages(spark, sf_dir).where("page_id % 3 <> 1").select("page_id", "html")
     return cards.guarded(press.fetched(releases, contents, "page_id"), max_bytes=CAP)
 
@@ -172,7 +172,7 @@ def _outcomes(spark, sf_dir):
     "body_events",
     f"""{RELEASES} SELECT CASE WHEN ok THEN 'pr_body_fetched:' ELSE 'pr_body_failed:' END || release_id AS id, CASE WHEN ok THEN {_clean('html')} END AS body,
     CASE WHEN page_id % 3 = 1 THEN 'document missing' WHEN NOT ok THEN 'document too large: ' || octet_length(encode(html)) || ' bytes > {CAP}' END AS error
-    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok FROM cards JOIN pages USING (page_id) WHERE pos = 0)""",
+    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok FROM cards JOIN pages USING (page_id))""",
 )
 def _(spark, sf_dir):
     events = press.body_events(_outcomes(spark, sf_dir), now())

@@ -15,7 +15,7 @@ CANDIDATE_EXTENSIONS = (".htm", ".html", ".xml", ".txt")
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below root and file sizes."""
+    """Paths below root and file sizes; empty files, which Spark's file sources pass over, aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(F.regexp_replace("path", r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), "length")
 
@@ -40,14 +40,13 @@ def units(parts: DataFrame) -> DataFrame:
     """A row per unit: its metadata and index paths (the last wins) and sorted arrays of its files."""
     role = file_role(F.col("name"), F.col("ext"))
     rows = parts.withColumn("role", role)
-    these = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("relative"))))
-    return rows.groupBy("issuer", "filing").agg(
+    found = rows.groupBy("issuer", "filing").agg(
         F.max(F.when(F.col("role") == "metadata", F.col("relative"))).alias("metadata"),
         F.max(F.when(F.col("role") == "index", F.col("relative"))).alias("index"),
-        F.array_sort(F.collect_list("relative")).alias("files"),
-        these("candidate").alias("candidates"),
-        these("companion").alias("companions"),
+        F.array_sort(F.collect_list(F.struct("relative", "role"))).alias("all"),
     )
+    these = lambda r: F.transform(F.filter("all", lambda f: f["role"] == r), lambda f: f["relative"])
+    return found.select("issuer", "filing", "metadata", "index", F.col("all.relative").alias("files"), these("candidate").alias("candidates"), these("companion").alias("companions"))
 
 
 def metadata(documents: DataFrame, column: str = "json") -> DataFrame:

@@ -1,26 +1,33 @@
-"""Journals of JSON event records, one file per day, one record per line."""
+"""Journals of JSON event records, a file or a folder of files per day, one record per line."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "sequence BIGINT, event STRUCT<id: STRING, type: STRING, occurred_at: TIMESTAMP, aggregate_key: STRING, source: STRING, data: STRING>, appended_at TIMESTAMP"
+#: Day files, and the files that `write_journal` leaves in day folders.
+FILES = "{*.ndjson,part-*.txt}"
+STAMP = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 EVENT_COLUMNS = ("id", "type", "occurred_at", "aggregate_key", "source", "data")
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the *.ndjson files directly in path: file, size, block, pos, value. Blank lines count as lines."""
-    lines = spark.read.option("lineSep", "\n").text(f"{path}/*.ndjson")
+    """Lines of the journals in path and its day folders: file, size, block, pos, value. Blank lines count as lines."""
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).text(path)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block")).withColumn("pos", F.monotonically_increasing_id())
 
 
+def parsed_record(text: Column) -> Column:
+    """The record in a line's trimmed text, or null."""
+    record = F.from_json(text, RECORD)
+    return F.when(record["sequence"].isNotNull() & record["event"].isNotNull(), record)
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with `record` (null where the text isn't a record) and `text`, trimmed."""
     text = F.trim(F.regexp_replace("value", r"^[\t-\r ]+|[\t-\r ]+$", ""))
-    record = F.from_json(text, RECORD)
-    return lines.withColumn("text", text).withColumn("record", F.when(record["sequence"].isNotNull() & record["event"].isNotNull(), record))
+    return lines.withColumn("text", text).withColumn("record", parsed_record(text))
 
 
 def records_of(df: DataFrame) -> DataFrame:
@@ -35,10 +42,10 @@ def scan_journal(spark: SparkSession, path: str) -> DataFrame:
 def quarantined(spark: SparkSession, path: str) -> DataFrame:
     """Malformed lines with a verdict: `dropped` for a file's last line without a newline, else `error`."""
     lines = parsed(journal_lines(spark, path))
-    sizes = lines.groupBy("file").agg((F.sum(F.octet_length("value") + 1) == F.max("size") + 1).alias("open"), F.max(F.struct("block", "pos")).alias("last"))
-    bad = lines.where(F.col("record").isNull() & (F.col("text") != "")).join(sizes, "file")
-    torn = F.col("open") & (F.struct("block", "pos") == F.col("last"))
-    return bad.select("file", "text", F.when(torn, "dropped").otherwise("error").alias("verdict"))
+    ends = last_per_file(lines).select("file", F.col("block").alias("last_block"), F.col("pos").alias("last_pos"))
+    bad = lines.where(F.col("record").isNull() & (F.col("text") != "")).join(ends, "file")
+    torn = F.col("open") & (F.col("block") == F.col("last_block")) & (F.col("pos") == F.col("last_pos"))
+    return bad.join(open_files(lines), "file").select("file", "text", F.when(torn, "dropped").otherwise("error").alias("verdict"))
 
 
 def strict_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +57,16 @@ def strict_journal(spark: SparkSession, path: str) -> DataFrame:
 
 def write_journal(records: DataFrame, path: str) -> None:
     """One folder of JSON lines per ingest day."""
-    event = F.struct(*EVENT_COLUMNS)
-    records.select("sequence", event.alias("event"), "appended_at", F.to_date("appended_at").alias("day")).write.mode("append").partitionBy("day").json(path)
+    line = F.to_json(F.struct("sequence", F.struct(*EVENT_COLUMNS).alias("event"), "appended_at"), STAMP)
+    records.select(line.alias("value"), F.to_date("appended_at").alias("day")).write.mode("append").partitionBy("day").option("compression", "none").text(path)
 
 
 def last_per_file(lines: DataFrame) -> DataFrame:
-    latest = W.partitionBy("file").orderBy(F.desc("block"), F.desc("pos"))
-    return lines.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")
+    """The last line of each journal; by a maximum, so that no task holds a file."""
+    last = F.max(F.struct("block", "pos", "value")).alias("last")
+    return lines.groupBy("file").agg(last).select("file", "last.block", "last.pos", "last.value")
+
+
+def open_files(lines: DataFrame) -> DataFrame:
+    """(file, open): whether a journal ends without a newline."""
+    return lines.groupBy("file").agg((F.sum(F.octet_length("value") + 1) == F.max("size") + 1).alias("open"))

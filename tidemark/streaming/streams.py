@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.event_log import first_in_batch
+from ..operators.feed import cards
+
+BUCKETS = 64
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -32,28 +35,47 @@ def tail(stream: DataFrame, target: str, checkpoint: str, *, once: bool = True,
     return _started(stream.writeStream.format("parquet").option("path", target), checkpoint, once, interval)
 
 
-def earlier(spark: SparkSession, target: str, schema, batch: int) -> DataFrame:
-    """What batches before this one wrote."""
+def feed(stream: DataFrame, target: str, checkpoint: str, now: Column, *, once: bool = True, interval: str = "1 second") -> StreamingQuery:
+    """The feed's cards of each record as it comes, appended to a table."""
+    return tail(cards(stream, now), target, checkpoint, once=once, interval=interval)
+
+
+def earlier(spark: SparkSession, target: str, schema, batch: int, buckets: list[int]) -> DataFrame:
+    """What batches before this one wrote into these buckets; other buckets' files aren't opened."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(target)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", target).parquet(target).where(F.col("batch_id") < batch)
+    return spark.read.schema(schema).option("basePath", target).parquet(target).where((F.col("batch_id") < batch) & F.col("bucket").isin(buckets))
 
 
 def stage(stream: DataFrame, target: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], key: str, *, once: bool = True, interval: str = "15 seconds") -> StreamingQuery:
-    """A step over each micro-batch; of rows with a key that is already written, or twice in the batch, the first stays."""
+    """A step over each micro-batch; of rows with a key that is already written, or twice in the batch, the first stays.
+
+    What is written lies in `BUCKETS` buckets by a hash of the key, and a batch reads only the
+    keys in its own.
+    """
 
     def run(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         out = step(rows)
-        seen = earlier(spark, target, out.withColumn("batch_id", F.lit(0)).schema, batch).select(key).distinct()
         order = [c for c in ("sequence", "occurred_at", "id") if c in out.columns] or [key]
-        fresh = first_in_batch(out, [key], *order).where("nth = 1").drop("nth").join(seen, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")
+        first = first_in_batch(out, [key], *order).where("nth = 1").drop("nth")
+        first = first.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
+        try:
+            buckets = [r.bucket for r in first.select("bucket").distinct().collect()]
+            seen = earlier(spark, target, first.withColumn("batch_id", F.lit(0)).schema, batch, buckets).select(key)
+            first.join(seen, key, "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch}")
+        finally:
+            first.unpersist()
 
     return _started(stream.writeStream.foreachBatch(run), checkpoint, once, interval)
 
 
-def bounded_dedupe(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Dedupe with bounded state: copies farther apart than the delay may both pass."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def rounds(start: Callable[[], StreamingQuery], count: int, between: Callable[[int], None] = lambda n: None) -> None:
+    """A fixed number of rounds: each takes what there is and ends; `between` is called after each but the last."""
+    if count < 1:
+        raise ValueError("there must be a round")
+    for n in range(count):
+        start().awaitTermination()
+        if n + 1 < count:
+            between(n)
