@@ -714,6 +714,13 @@ def test_nearest_of_clusters_and_copies(spark, monkeypatch):
     assert sum(len({*got[q]} & {*want[q]}) for q in want) >= 0.9 * 300
 
 
+def test_hadamard():
+    for width in (2, 8, 16, 64):
+        h = [[(-1) ** bin(i & j).count("1") for j in range(width)] for i in range(width)]
+        x = np.random.default_rng(width).normal(size=(5, width)).astype(np.float32)
+        assert np.allclose(ann.hadamard(x.copy()), x @ np.array(h), atol=1e-4)
+
+
 def test_probes_order_codes_by_what_they_lose():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(5, 6))
