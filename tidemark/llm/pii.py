@@ -1,39 +1,53 @@
 """Personal data: exact patterns, and a linear-chain CRF over word shapes that adds to them.
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The CRF
-tags each word with a kind or none. A word is described by its shape (runs of capitals,
-small letters, digits and marks), how many digits and characters it has, and the coarse
-class of its neighbours. It learns from a small table of labelled word windows by maximum
-likelihood with a ridge (forward-backward in numpy), and decodes whole texts by Viterbi in
-numpy batches. Words whose own evidence for "none" outweighs anything that transitions
-could add are settled beforehand, which is exact, so that only what lies between them is
-decoded. Neighbouring words of a kind make a span; it counts if the path beats the path of
-no data by `MARGIN` and it meets no pattern's span.
+finds what they miss: spelled-out e-mail addresses, addresses and numbers with blanks or dots
+between their parts, phone numbers without a plus, numbers that a pattern joined to others. It
+tags each word with a kind or none. A word is described by its shape (runs of capitals, small
+letters, digits and marks), how many digits and characters it has, the coarse class of its
+neighbours, and whether it or a neighbour is one of a few cue words. It learns from a small
+labelled table, `SENTENCES` sentences made by rule, by maximum likelihood with a ridge
+(forward-backward in numpy), and decodes whole texts by Viterbi in numpy batches. Words whose
+own evidence for "none" outweighs anything that transitions could add are settled beforehand,
+which is exact, so that only what lies between them is decoded. Neighbouring words of a kind
+make spans, if the path beats the path of no data by `MARGIN`; of each run the longest parts
+count that could be of the kind (four numbers up to 255, a checksum, enough digits, an at and
+a dot) and meet no pattern's span.
 
 Defined cases: a null text is as an empty one, without spans; overlapping spans of different
-kinds all count; repeated rows each get a row; with no labelled windows only the patterns
+kinds all count; repeated rows each get a row; with no labelled sentences only the patterns
 apply; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .shared import sampled, table
+from .shared import shipped, table
 from .words import BLANKS, Block, blocks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents looked at for the labelled table, windows that it has at most, words on each side of a find.
-SAMPLE_DOCS, MAX_WINDOWS, AROUND = 20_000, 4_000, 6
+#: Sentences of the labelled table.
+SENTENCES = 900
 MARGIN = 3.0
-RIDGE, STEPS, RATE = 1e-3, 150, 0.15
+RIDGE, STEPS, RATE = 1e-3, 120, 0.15
+#: Words that tell of data near them, by class.
+CUES = (
+    ("at", "[at]", "(at)", "{at}"),
+    ("dot", "[dot]", "(dot)", "{dot}"),
+    ("phone", "phone:", "tel", "tel:", "tel.", "call", "fax", "fax:", "mobile", "mobile:", "ring", "dial"),
+    ("card", "card:", "visa", "visa:", "mastercard", "credit", "debit"),
+    ("mail", "mail:", "email", "email:", "e-mail", "e-mail:", "write", "contact"),
+    ("ip", "ip:", "host", "host:", "server", "server:", "ping", "address"),
+)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -123,10 +137,29 @@ class Words:
             before[1:], after[:-1] = coarse[:-1], coarse[1:]
         before[edge[:-1]] = 0
         after[edge[1:]] = 0
-        self.columns = (self.digits, self.length, coarse, before, after)
+        hashes, classes = _cues()
+        h = block.hashes(self.starts, self.ends)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        cue = np.where(hashes[at] == h, classes[at], 0)
+        earlier, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n > 1:
+            earlier[1:], later[:-1] = cue[:-1], cue[1:]
+        earlier[edge[:-1]] = 0
+        later[edge[1:]] = 0
+        self.columns = (self.digits, self.length, coarse, before, after, cue, earlier, later)
+
+
+@cache
+def _cues() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the cue words, and the class of each, from 1."""
+    words = [w for group in CUES for w in group]
+    block = next(blocks(pa.array([" ".join(words)])))
+    h = block.hashes(*block.words(BLANKS)[:2])
+    order = np.argsort(h)
+    return h[order], np.array([k + 1 for k, group in enumerate(CUES) for _ in group])[order]
 
 
-WIDTHS = (len(_DIGITS) + 1, len(_LENGTHS) + 1, COARSE, COARSE, COARSE)
+WIDTHS = (len(_DIGITS) + 1, len(_LENGTHS) + 1, COARSE, COARSE, COARSE, *[len(CUES) + 1] * 3)
 
 
 class CRF:
@@ -170,39 +203,34 @@ class CRF:
         params = [*self.tables, self.moves]
         mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         onehot = np.eye(tags)
+        truth = onehot[gold] * inside[:, :, None]
+        before = np.concatenate([np.repeat(onehot[None, :1], count, 0), onehot[gold[:, :-1]]], 1)
+        gold_moves = np.einsum("nta,ntb->ab", before, truth)
+        gold_moves[:, 0] += onehot[gold[np.arange(count), lengths - 1]].sum(0)
+        share = lambda x: x / x.sum(1, keepdims=True)
         for step in range(1, STEPS + 1):
             e = self.evidence(padded)
-            grads = [np.zeros_like(p) for p in params]
-            # forward and backward, in logs
-            forward, last = np.zeros((longest, count, tags)), np.full((count, tags), -1e9)
-            last[:, 0] = 0
+            psi, moves = np.exp(e - e.max(2, keepdims=True)), np.exp(self.moves - self.moves.max())
+            # forward and backward, each step scaled to one
+            forward, last = np.empty((longest, count, tags)), np.repeat(onehot[:1], count, 0)
             for t in range(longest):
-                now = np.logaddexp.reduce(last[:, :, None] + self.moves[None], axis=1) + e[:, t]
-                last = np.where(inside[:, t, None], now, last)
+                last = np.where(inside[:, t, None], share((last @ moves) * psi[:, t]), last)
                 forward[t] = last
-            total = np.logaddexp.reduce(last + self.moves[:, 0][None], axis=1)
-            behind = np.repeat(self.moves[:, 0][None], count, 0)
+            both = np.zeros((tags, tags))
+            both[:, 0] += share(last * moves[:, 0]).sum(0)
+            error, behind = np.empty((count, longest, tags)), np.repeat(share(moves[None, :, 0]), count, 0)
             for t in range(longest - 1, -1, -1):
-                live = inside[:, t]
-                p = np.exp(forward[t] + behind - total[:, None]) * live[:, None]
-                error = p - onehot[gold[:, t]] * live[:, None]
-                for g, r in zip(grads, padded, strict=False):
-                    np.add.at(g, r[:, t], error)
-                if t:
-                    prior = forward[t - 1]
-                    gold_prior = onehot[gold[:, t - 1]]
-                else:
-                    prior = np.full((count, tags), -1e9)
-                    prior[:, 0] = 0
-                    gold_prior = np.repeat(onehot[:1], count, 0)
-                both = np.exp(prior[:, :, None] + self.moves[None] + (e[:, t] + behind)[:, None] - total[:, None, None]) * live[:, None, None]
-                grads[-1] += both.sum(0) - np.einsum("na,nb->ab", gold_prior, onehot[gold[:, t]] * live[:, None])
-                final = live & (lengths == t + 1)
-                ending = np.exp(forward[t] + self.moves[:, 0][None] - total[:, None]) * final[:, None]
-                grads[-1][:, 0] += (ending - onehot[gold[:, t]] * final[:, None]).sum(0)
-                back = np.logaddexp.reduce(self.moves[None] + (e[:, t] + behind)[:, None], axis=2)
-                behind = np.where(live[:, None], back, behind)
-            for p, g, m, v in zip(params, grads, mean, square, strict=True):
+                live = inside[:, t, None]
+                error[:, t] = share(forward[t] * behind) * live
+                prior = forward[t - 1] if t else np.repeat(onehot[:1], count, 0)
+                ahead = psi[:, t] * behind
+                onward = ahead @ moves.T
+                both += np.einsum("na,nb->ab", prior * live / (prior * onward).sum(1, keepdims=True), ahead) * moves
+                behind = np.where(live, share(onward), behind)
+            error -= truth
+            flat_error = error.reshape(-1, tags)
+            grads = [np.stack([np.bincount(r.ravel(), flat_error[:, k], len(p)) for k in range(tags)], 1) for p, r in zip(self.tables, padded, strict=True)]
+            for p, g, m, v in zip(params, [*grads, both - gold_moves], mean, square, strict=True):
                 g = g / count + RIDGE * p
                 m[:] = 0.9 * m + 0.1 * g
                 v[:] = 0.99 * v + 0.01 * g * g
@@ -262,65 +290,116 @@ def _text(block: Block, d: int) -> str:
     return block.data[block.offsets[d] : block.offsets[d + 1]].tobytes().decode()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [("shape", pa.list_(pa.int64())), ("columns", pa.list_(pa.int32())), ("tags", pa.list_(pa.int8()))]
-    for batch in batches:
-        found: list[list] = [[], [], []]
-        for block in blocks(batch.column(0)):
-            words = Words(block)
-            columns = np.stack(words.columns, 1)
-            for d in np.flatnonzero(_suspect(block)):
-                a, b = words.offsets[d], words.offsets[d + 1]
-                tags = np.zeros(b - a, np.int8)
-                for start, kind, end in base_spans(_text(block, d)):
-                    tags[np.searchsorted(words.end[a:b], start, "right") : np.searchsorted(words.begin[a:b], end)] = kind + 1
-                # around each find, and around each other word with digits or marks
-                centres = np.flatnonzero((tags > 0) | (words.coarse[a:b] > 1))
-                covered = -1
-                for c in centres:
-                    if c <= covered:
-                        continue
-                    low, high = max(0, c - AROUND, covered + 1), min(b - a, c + 2 * AROUND)
-                    covered = high - 1
-                    found[0].append(words.shape[a + low : a + high].tolist())
-                    found[1].append(columns[a + low : a + high].ravel().tolist())
-                    found[2].append(tags[low:high].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(f, k) for f, (_, k) in zip(found, kinds, strict=True)], [k for k, _ in kinds])
-
-
-def labelled_windows(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, most: int = MAX_WINDOWS) -> DataFrame:
-    """The small labelled table: windows of words (shape, columns, tags) around the patterns' finds and other odd words."""
-    some = sampled(docs.select("doc_id", "text"), sample_docs).where(F.col("text").rlike("[@0-9]"))
-    rows = some.select("text").mapInArrow(_windows, "shape array<bigint>, columns array<int>, tags array<tinyint>")
-    return rows.orderBy(F.xxhash64("shape", "tags"), "shape", "columns").limit(most)
+def labelled_sentences(count: int = SENTENCES, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The small labelled table: sentences with their spans (start, kind, end), made by rule, the same at each run."""
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))
+    plain = lambda: rng.choice([name(), name(), name(), name().capitalize(), name() + rng.choice(",.;:"), "the", "of", rng.choice(CUES[rng.randrange(6)])])
+    marks = ("!!", "!!!", "%%%", "###", "&&&", "$$$", "***", " |", ".!!", ",%%%", "?", "-" + name(), "'s")
+    styles = (plain, plain, plain, lambda: plain().upper() + rng.choice(marks[:2]), lambda: plain() + rng.choice(marks), lambda: plain() + rng.choice(marks))
+
+    def email() -> str:
+        user, host, end = rng.choice([name(), f"{name()}.{name()}", name() + digits(2)]), name(), rng.choice(["com", "org", "net", "de", "example"])
+        at, dot = rng.choice([("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)")])
+        return rng.choice([f"{user}@{host}.{end}", f"{user} {at} {host} {dot} {end}", f"{user} {at} {host}.{end}", f"{user}{rng.choice(['[at]', '(at)'])}{host}.{end}"])
+
+    def ip() -> str:
+        parts = [str(rng.randint(0, 255)) for _ in range(4)]
+        return rng.choice([".".join(parts), " . ".join(parts), "[.]".join(parts), ". ".join(parts)])
+
+    def card() -> str:
+        while True:
+            n = rng.choice(["4", "5"]) + digits(15)
+            if luhn(n):
+                return rng.choice(["", "", " ", "-", "."]).join(n[i : i + 4] for i in range(0, 16, 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        own = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b} {c}"])
+        return rng.choice([own, own, f"+{rng.randint(1, 99)} {own}"])
+
+    def other() -> str:
+        """What looks like data and isn't."""
+        d = digits
+        odd = [f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)},{d(3)}.{d(2)}", f"1{d(1)}:{d(2)}", f"19{d(2)}", d(5), d(8), f"#{d(4)}", f"@{name()}", f"{d(2)}%", f"{name()}{d(3)}"]
+        return rng.choice([*odd, f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}-{d(2)}", f"http://{name()}.org/{d(4)}", f"{rng.choice(['at', 'call', 'card', 'dot', 'write'])} {name()}", f"{d(1)}.{d(1)} kg", f"{d(2)} of {d(3)}", "... !!! ||| --- ***", "[x] (y) {z}", "".join(rng.choice("abcdef0123456789") for _ in range(24))])
+
+    makers, cues = (email, ip, card, phone), (CUES[4], CUES[5], CUES[3], CUES[2])
+    rows = []
+    for _ in range(count):
+        word = rng.choice(styles)
+        text, spans = " ".join(word() for _ in range(rng.randint(1, 5))), []
+        for _ in range(rng.randint(1, 3)):
+            k = rng.choice((0, 1, 2, 3, None, None))
+            if k is not None and rng.random() < 0.4:
+                text += f" {rng.choice(cues[k])}"
+            made = other() if k is None else makers[k]()
+            text += " "
+            if k is not None:
+                spans.append((len(text), k, len(text) + len(made)))
+            text += made + rng.choice(["", "", "", ",", "."])
+            text += "".join(" " + word() for _ in range(rng.choice((0, 1, 3, 5))))
+        rows.append((text, spans))
+    return rows
+
+
+def trained(sentences: list[tuple[str, list[tuple[int, int, int]]]]) -> CRF:
+    windows = []
+    for block in blocks(pa.array([t for t, _ in sentences], pa.string())) if sentences else ():
+        words = Words(block)
+        columns = np.stack(words.columns, 1)
+        for d in range(block.hi - block.lo):
+            a, b = words.offsets[d], words.offsets[d + 1]
+            tags = np.zeros(b - a, np.int64)
+            for start, kind, end in sentences[block.lo + d][1]:
+                tags[np.searchsorted(words.end[a:b], start, "right") : np.searchsorted(words.begin[a:b], end)] = kind + 1
+            windows.append((words.shape[a:b], columns[a:b], tags))
+    return CRF().fit([w for w in windows if len(w[0])])
 
 
-def trained(windows: DataFrame) -> CRF:
-    rows = windows.collect()
-    return CRF().fit([(np.array(r.shape, np.int64), np.array(r.columns, np.int64).reshape(-1, len(WIDTHS)), np.array(r.tags, np.int64)) for r in rows if r.shape])
+_EDGE = " \t\n\r\f\v.,;:!?()[]{}<>\"'"
+#: Words of an added span at most.
+WIDEST = 8
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({]at[\])}]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({]dot[\])}]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.IGNORECASE)
+_NUMBERS = re.compile(r"[0-9]+")
 
 
-_EDGE = " \t\n\r\f\v.,;:!?()[]{}<>\"'"
+def plausible(kind: int, span: str) -> bool:
+    """Whether what the CRF has found could be of its kind at all."""
+    digits = "".join(_NUMBERS.findall(span))
+    if kind == 0:
+        return _SPELLED.fullmatch(span) is not None
+    if kind == 1:
+        parts = _NUMBERS.findall(span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not any(c.isalpha() for c in span)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and not any(c.isalpha() for c in span)
 
 
 def added_spans(words: Words, tags: np.ndarray, d: int, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of each run of words of a kind the longest plausible spans, from left to right, that meet no base span."""
     a, b = words.offsets[d], words.offsets[d + 1]
     mine = tags[a:b]
     found = []
     i = 0
     while i < len(mine):
-        j = i + 1
-        if mine[i]:
-            while j < len(mine) and mine[j] == mine[i]:
-                j += 1
-            begin, end = int(words.begin[a + i]), int(words.end[a + j - 1])
-            while begin < end and text[begin] in _EDGE:
-                begin += 1
+        j = i
+        while j < len(mine) and mine[i] and mine[j] == mine[i]:
+            j += 1
+        step = 1
+        for k in range(min(j, i + WIDEST), i, -1):
+            begin, end = int(words.begin[a + i]), int(words.end[a + k - 1])
             while end > begin and text[end - 1] in _EDGE:
                 end -= 1
-            if begin < end and not any(s < end and begin < e for s, _, e in base):
+            while begin < end and text[begin] in _EDGE and not (text[begin] == "(" and ")" in text[begin:end]):
+                begin += 1
+            if begin < end and plausible(int(mine[i]) - 1, text[begin:end]) and not any(s < end and begin < e for s, _, e in base):
                 found.append((begin, int(mine[i]) - 1, end))
-        i = j
+                step = k - i
+                break
+        i += step
     return found
 
 
@@ -329,6 +408,7 @@ FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256
 
 def find_personal(docs: DataFrame, model: CRF) -> DataFrame:
     """A row per document: doc_id, base counts and digest, all spans as text, how many the CRF added."""
+    shipped(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -367,4 +447,4 @@ def find_personal(docs: DataFrame, model: CRF) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_personal(docs, trained(labelled_windows(docs)))
+    return find_personal(docs, trained(labelled_sentences()))
