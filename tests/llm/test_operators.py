@@ -381,6 +381,22 @@ def test_elias_fano():
         data = lm.EliasFano.of(v, u).to_bytes()
         back, used = lm.EliasFano.from_bytes(memoryview(data))
         assert used == len(data) and (back.values() == v).all()
+        if n and u < 1 << 60:
+            at = rng.integers(0, n, 200)
+            assert (back.access(at) == v[at]).all()
+            wanted = np.concatenate([v, rng.integers(0, u, 300, dtype=np.uint64), [np.uint64(u - 1), np.uint64(0)]])
+            found = back.find(wanted)
+            assert ((found >= 0) == np.isin(wanted, v)).all() and (v[found[found >= 0]] == wanted[found >= 0]).all()
+
+
+def test_memory_of_a_level():
+    """A level's coded successors take under 4 bytes each where ids of 8 bytes would do; reading decodes none of it."""
+    rng = np.random.default_rng(1)
+    v = np.unique(rng.integers(0, 200_000 * 100_000, 1_000_000, dtype=np.uint64))
+    ef = lm.EliasFano.of(v, 200_000 * 100_000)
+    assert len(ef.low) + len(ef.high) < 4 * len(v)
+    ef.find(v[:10])
+    assert ef._words.nbytes + ef._ones.nbytes + ef._zeros.nbytes < len(v)
 
 
 def brute_lm(texts, held):
@@ -412,8 +428,8 @@ def test_language_model(spark, odd_docs, no_docs):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     docs = spark.createDataFrame([(i, t, held[i]) for i, t in texts.items()], "doc_id long, text string, held boolean")
     wanted = brute_lm(texts, held)
-    for block_docs, grams in ((10, 50), (1000, 10**6)):
-        got = by_id(lm.score_documents(docs, block_docs=block_docs, bucket_grams=grams))
+    for block_bytes, grams in ((600, 50), (1 << 20, 10**6)):
+        got = by_id(lm.score_documents(docs, block_bytes=block_bytes, bucket_grams=grams))
         for i, (n, known, total, base, score) in wanted.items():
             r = got[i]
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held[i])

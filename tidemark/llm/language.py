@@ -121,11 +121,12 @@ def text_vectors(texts: list[str], book: Codebook) -> np.ndarray:
         return out
     # counts by (text, trigram), in blocks of trigrams, and within a block of texts
     distinct, ids = np.unique(keys, return_inverse=True)
-    order = np.lexsort((ids, of, ids // WIDE))
-    ids, of = ids[order], of[order]
-    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])))
-    weights = np.sqrt(np.diff(np.append(first, len(ids)))).astype(np.float32)
-    ids, of = ids[first], of[first]
+    key = np.sort((ids // WIDE * len(texts) + of) * WIDE + ids % WIDE)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    weights = np.sqrt(np.diff(np.append(first, len(key)))).astype(np.float32)
+    of, within = np.divmod(key[first], WIDE)
+    block, of = np.divmod(of, len(texts))
+    ids = block * WIDE + within
     cuts = np.searchsorted(ids // WIDE, np.arange(-(-len(distinct) // WIDE) + 1))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         vectors = book(distinct[k * WIDE : (k + 1) * WIDE])

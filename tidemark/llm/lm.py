@@ -7,19 +7,23 @@ training has seen mixes its own frequencies with the shorter context's probabili
 each order in `SHORTER`; an unseen context passes the shorter one's on. Every order sums to
 one.
 
-No model is held whole anywhere. Documents are dealt into blocks by a hash. Each block
-lists its distinct n-grams of every order as sorted hashes with their counts in its own
-training texts, cut by hash range into buckets and Elias-Fano coded. A bucket meets all
-blocks' lists of its range, adds up, and sends each block the totals of the n-grams that it
-asked for, in the order of its list. The block then builds the part of the trie that its
-texts can reach: per level, monotone pointers from contexts to their successors, successors
-relative to the context as one monotone Elias-Fano sequence, and 16-bit quantised log
-probabilities, in a memory-mapped file of the task. Its texts are scored by successor search
-within the context's range, from the longest context down.
+No model is held whole anywhere. Documents are dealt by a hash into blocks of about
+`BLOCK_BYTES` bytes of text. Each block lists its distinct n-grams of every order as sorted
+hashes with their counts in its own training texts, cut by hash range into buckets and
+Elias-Fano coded. A bucket meets all blocks' lists of its range, adds up, and sends each block
+the totals of the n-grams that it asked for, in the order of its list. The block then builds
+the part of the trie that its texts can reach: per level, monotone pointers from contexts to
+their successors, successors relative to the context as one monotone Elias-Fano sequence, and
+16-bit quantised log probabilities, in a memory-mapped file of the task. Its texts are scored
+by successor search within the context's range, from the longest context down; the search
+works on the coded levels, by select on their high bits.
 
 What crosses the network grows with the corpus: its words once by block, and some four
 bytes for each distinct n-gram of a block. A frequent word or n-gram is one entry per block,
-so no key is hot. Hashes of n-grams above order 1 have log2(tokens) + 18 bits.
+so no key is hot. There is a row for each block and bucket that share an n-gram, each of some
+hundred bytes beside what it holds: at 30 GB it holds some 400 n-grams, at 1 TB about ten,
+from where on blocks should be larger. Hashes of n-grams above order 1 have log2(tokens) + 18
+bits.
 
 Defined cases: a null text is as an empty one, which is the end token alone; without
 training texts every count is 0 and the base is log10(0.5 / 0.5) = 0 a token; repeated rows
@@ -42,8 +46,8 @@ from .words import BLANKS, blocks, mix64
 ORDER = 3
 #: The shorter context's share at orders 2 and 3.
 SHORTER = (0.9, 0.75)
-#: Documents in a block, and n-grams in a bucket, on average.
-BLOCK_DOCS = 2048
+#: Bytes of text in a block, and n-grams in a bucket, on average.
+BLOCK_BYTES = 7 << 20
 BUCKET_GRAMS = 2_000_000
 #: Quantised log10 probabilities: steps of 1/2048 from 0 down to -31.99.
 QUANTUM, FLOOR = 2048.0, 65535
@@ -52,11 +56,95 @@ _END = np.uint64(0xD1B54A32D192ED03)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
+def _select_table() -> np.ndarray:
+    """Place of the k-th one in each byte."""
+    out = np.zeros((256, 8), np.uint8)
+    for byte in range(256):
+        ones = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(ones)] = ones
+    return out
+
+
+_SELECT = _select_table()
+
+
 class EliasFano:
-    """A monotone sequence of n integers under `universe`, in about 2 + log2(universe / n) bits each."""
+    """A monotone sequence of n integers under `universe`, in about 2 + log2(universe / n) bits each.
+
+    It is read in its coded form: `access` selects a one of the high bits, `find` goes to the
+    zero before a value's high part and compares low parts from there. The directory that both
+    need has a count for each 64 high bits.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self._ready = False
+
+    def _prepare(self) -> None:
+        if not self._ready:
+            pad = np.zeros(-len(self.high) % 8 + 8, np.uint8)
+            self._words = np.concatenate([self.high, pad]).view(np.uint64)
+            ones = np.bitwise_count(self._words)
+            self._ones = np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
+            self._zeros = np.arange(len(self._ones)) * 64 - self._ones
+            self._low = np.concatenate([self.low, np.zeros(8, np.uint8)])
+            self._ready = True
+
+    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """The place among the high bits of the rank-th one or zero."""
+        counts = self._ones if ones else self._zeros
+        word = np.searchsorted(counts, rank, "right") - 1
+        rest = (rank - counts[word]).astype(np.uint8)
+        bits = self._words[word]
+        if not ones:
+            bits = ~bits
+        place = word * 64
+        for width in (32, 16, 8):  # which half, quarter, byte
+            half = bits & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(half)
+            over = rest >= count
+            rest = rest - count * over
+            bits = np.where(over, bits >> np.uint64(width), half)
+            place = place + width * over
+        return place + _SELECT[bits.astype(np.uint8), rest]
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        """Low parts of the values at these indexes."""
+        begin = at * self.low_bits
+        byte, out = begin >> 3, np.zeros(len(at), np.uint64)
+        for k in range((self.low_bits + 14) // 8):
+            out |= self._low[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        return (out >> (begin & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at these indexes."""
+        self._prepare()
+        high = self._select(at, True) - at
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(at) if self.low_bits else high.astype(np.uint64)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Where each value stands, -1 where it doesn't."""
+        self._prepare()
+        out = np.full(len(values), -1, np.int64)
+        if not self.n or not len(values):
+            return out
+        values = values.astype(np.uint64)
+        high, low = (values >> np.uint64(self.low_bits)).astype(np.int64), values & np.uint64((1 << self.low_bits) - 1)
+        # after the last one come zeros of the padding only
+        who = np.flatnonzero(high <= self._zeros[-1] - 64)
+        high, low = high[who], low[who]
+        place = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        at = place - high
+        while len(who):
+            is_one = (self._words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+            live = np.flatnonzero(is_one)
+            who, low, place, at = who[live], low[live], place[live], at[live]
+            mine = self._lows(at) if self.low_bits else np.zeros(len(at), np.uint64)
+            same = mine == low
+            out[who[same]] = at[same]
+            on = np.flatnonzero(mine < low)
+            who, low, place, at = who[on], low[on], place[on] + 1, at[on] + 1
+        return out
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -139,11 +227,6 @@ class Tokens:
             self.levels.append((keys, place, here[at], counts))
 
 
-def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's hash range begins among sorted keys of so many bits."""
-    return np.searchsorted(_bucket_of(keys, bits, buckets), np.arange(buckets + 1, dtype=np.uint64))
-
-
 def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Each key's bucket: equal ranges of the hashes, of so many bits."""
     return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -244,6 +327,8 @@ class Trie:
         self.map = np.memmap(f"{folder}/trie", np.uint8, "w+", shape=(max(8, int(self.offsets[-1])),))
         for o, r in zip(self.offsets, raw, strict=False):
             self.map[o : o + len(r)] = r
+        coded = [[EliasFano(m[0], m[1], self.part(5 * k + 1 + 2 * j), self.part(5 * k + 2 + 2 * j)) for j, m in enumerate(pair)] for k, pair in enumerate(self.meta)]
+        self.pointers, self.following = [c[0] for c in coded], [c[1] for c in coded]
 
     @staticmethod
     def quantised(p: np.ndarray) -> np.ndarray:
@@ -256,16 +341,21 @@ class Trie:
         return self.part(0 if level == 0 else 5 * level).view(np.uint16) / -QUANTUM
 
     def successors(self, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Places in the level of (context's place, word), -1 where there is none: a search within the context's range."""
-        a, b = self.meta[level - 1]
-        low, high = self.part(5 * level - 4), self.part(5 * level - 3)
-        pointers = EliasFano(a[0], a[1], low, high).values().astype(np.int64)
-        following = EliasFano(b[0], b[1], self.part(5 * level - 2), self.part(5 * level - 1)).values().astype(np.int64)
-        wanted = contexts * self.vocabulary + words
-        at = np.searchsorted(following, wanted)
-        inside = (at >= pointers[contexts]) & (at < pointers[contexts + 1])
-        inside[inside] = following[at[inside]] == wanted[inside]
-        return np.where(inside, at, -1)
+        """Places in the level of (context's place, word), -1 where there is none.
+
+        Successors are coded relative to their context, so that one search finds the word among them; its
+        place must lie where the context's pointers say.
+        """
+        # each pair once, and in order, so that neighbours in the code are looked at together
+        wanted, which = np.unique(contexts * self.vocabulary + words, return_inverse=True)
+        at = self.following[level - 1].find(wanted)
+        hit = np.flatnonzero(at >= 0)
+        parents, of = np.unique(wanted[hit] // self.vocabulary, return_inverse=True)
+        begin = self.pointers[level - 1].access(parents).astype(np.int64)
+        end = self.pointers[level - 1].access(parents + 1).astype(np.int64)
+        if ((at[hit] < begin[of]) | (at[hit] >= end[of])).any():
+            raise ValueError("a successor stands outside its context's range")
+        return at[which]
 
 
 def block_scores(tokens: Tokens, totals: list[np.ndarray], n_train: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,18 +416,17 @@ def scorer(bits: int, n_train: int, n_words: int):
     return run
 
 
-def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
-    """Tokens and distinct tokens of the rows that aren't held out, from each task's distinct words by hash range."""
+def training_size(docs: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the rows that aren't held out."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of some batches at a time; all their tokens stand beside the first."""
         held: list[np.ndarray] = []
         total = kept = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            cuts = _cuts(keys, 64, buckets)
-            rows = [EliasFano.of(keys[a:b], 1 << 64).to_bytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([total] + [0] * (buckets - 1), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "tokens", "words"])
+            keys = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.append(total, np.zeros(len(keys) - 1, np.int64)))], ["word", "tokens"])
 
         for batch in batches:
             for block in blocks(batch.column(0)):
@@ -351,26 +440,20 @@ def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
         if held:
             yield out()
 
-    def distinct(group: pa.Table) -> pa.Table:
-        keys = [EliasFano.from_bytes(memoryview(w))[0].values() for w in group.column("words").to_pylist()]
-        total = sum(group.column("tokens").to_pylist())
-        return pa.table({"tokens": pa.array([total], pa.int64()), "words": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
-
-    parts = docs.where(~F.col("held")).select("text").mapInArrow(words, "bucket int, tokens bigint, words binary")
-    row = parts.groupBy("bucket").applyInArrow(distinct, "tokens bigint, words bigint").agg(F.sum("tokens"), F.sum("words")).first()
+    parts = docs.where(~F.col("held")).select("text").mapInArrow(words, "word bigint, tokens bigint")
+    row = parts.groupBy("word").agg(F.sum("tokens").alias("tokens")).agg(F.sum("tokens"), F.count(F.lit(1))).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def score_documents(docs: DataFrame, *, block_docs: int = BLOCK_DOCS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """docs(doc_id, text, held) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     shipped(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_train, n_words = training_size(docs, least)
-    rows = docs.count()
+    n_train, n_words = training_size(docs)
+    held_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, max(40, n_train.bit_length() + EXTRA_BITS))
-    count = max(1, -(-rows // block_docs))
+    count = max(1, -(-held_bytes // block_bytes))
     buckets = max(4, -(-(ORDER * n_train) // bucket_grams))
     dealt = docs.select("doc_id", "text", "held", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"))
     lists = dealt.groupBy("block").applyInArrow(listed(bits, buckets), "bucket int, block bigint, grams binary")
