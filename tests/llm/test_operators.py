@@ -694,6 +694,15 @@ def test_mixing(spark, seed):
     assert {i: r.taken for i, r in first.items()} == {i: r.taken for i, r in again.items()}
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    size = {f"host{i}.example": rng.choice((0, 1, 5, 40, 1000, 10**6)) for i in range(500)} | {None: 77}
+    totals = spark.createDataFrame([(s, n, 1) for s, n in size.items()], "source string, source_size long, n_docs long")
+    got = {r.source: r.target for r in mixing.source_targets(totals.repartition(3), mixing.WEIGHTS, mixing.SHARE, mixing.MAX_EPOCHS).collect()}
+    wanted = brute_targets(size)
+    assert len(got) == 501 and all(got[s] == pytest.approx(wanted[s], abs=1e-6) for s in size)
+
+
 def test_mixing_odd(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs, keep=("key", "text")).collect()
     assert len(got) == odd_docs.count() and all(r.taken <= 2 * r.size and r.key == "z" for r in got)

@@ -10,7 +10,8 @@ words meet the budget.
 
 The prefix sum over a source's keys is done in two levels, so that no task holds a source:
 keys fall into about sqrt(n) ordered buckets, sizes are summed by bucket, bucket sums are
-prefix-summed, and only then is each bucket ordered by itself.
+prefix-summed, and only then is each bucket ordered by itself. Sources are ranked and filled
+in two levels too, by range partitions, since there may be as many as hosts.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its
 own, last in order; equal keys are ordered by id, then size; repeated rows count each; an
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, table
+from .shared import WORD, checkpointed, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -52,20 +53,40 @@ def sampling_key(doc_id: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
+def with_sums_before(df: DataFrame, order: Sequence[str], **values: Column) -> DataFrame:
+    """df with the sums of some values over the rows before each in a given order, nulls last.
+
+    Rows are range-partitioned; only the partitions' sums meet in one window.
+    """
+    keys = [k for c in order for k in (F.col(c).isNull(), F.col(c))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df.repartitionByRange(parts, *keys).withColumns(values).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = sums.select("__part", *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
+    within = W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumns({v: F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    # a row for each partition
+    joined = inside.join(F.broadcast(ahead), "__part").withColumns({v: F.col(v) + F.col(f"__{v}") for v in values})
+    return joined.drop("__part", *[f"__{v}" for v in values])
+
+
 def source_targets(totals: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
     """totals(source, source_size, n_docs), a row per source -> with target."""
-    named = W.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = totals.withColumn("weight", F.element_at(cycle, ((F.row_number().over(named) - 1) % len(weights) + 1).cast("int")))
-    capped = ranked.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = capped.withColumn("level", level).withColumn("rank", F.row_number().over(by_ratio))
+    ranked = with_sums_before(totals, ["source"], __nth=F.lit(1))
+    weighed = ranked.withColumn("weight", F.element_at(cycle, (F.col("__nth") % len(weights) + 1).cast("int"))).drop("__nth")
+    capped = weighed.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = with_sums_before(capped, ["ratio", "source"], __caps=F.col("cap"), __weights=F.col("weight"), __nth=F.lit(1))
+    whole = totals.agg(F.sum("source_size")).first()[0]
+    if whole is None:
+        return totals.withColumn("target", F.lit(0.0))
+    all_weights = capped.agg(F.sum("weight")).first()[0]
+    level = (F.lit(float(whole)) * float(share) - F.col("__caps")) / (F.lit(all_weights) - F.col("__weights"))
     # the water level is that of the first source, by rising ratio, which stays under its cap
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(everything)["level"]
-    return leveled.withColumn("target", F.least(F.col("cap"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "n_docs", "target")
+    first = filled.select("__nth", "ratio", level.alias("level")).agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("__nth", "level")))["level"]).first()[0]
+    water = float("inf") if first is None else first
+    return filled.withColumn("target", F.least(F.col("cap"), F.lit(water) * F.col("weight"))).select("source", "source_size", "n_docs", "target")
 
 
 def mix(
