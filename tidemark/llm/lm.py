@@ -71,9 +71,9 @@ _SELECT = _select_table()
 class EliasFano:
     """A monotone sequence of n integers under `universe`, in about 2 + log2(universe / n) bits each.
 
-    It is read in its coded form: `access` selects a one of the high bits, `find` goes to the
-    zero before a value's high part and compares low parts from there. The directory that both
-    need has a count for each 64 high bits.
+    It is read in its coded form: `access` selects a one of the high bits, `find` selects the
+    zeros around a value's high part and halves the low parts between them. The directory that
+    both need has a count for each 64 high bits.
     """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
@@ -111,7 +111,7 @@ class EliasFano:
     def _lows(self, at: np.ndarray) -> np.ndarray:
         """Low parts of the values at these indexes."""
         begin = at * self.low_bits
-        byte, out = begin >> 3, np.zeros(len(at), np.uint64)
+        byte, out = begin >> 3, np.zeros(len(at), np.uint64)  # all zero where there are no low bits
         for k in range((self.low_bits + 14) // 8):
             out |= self._low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return (out >> (begin & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
@@ -133,17 +133,19 @@ class EliasFano:
         # after the last one come zeros of the padding only
         who = np.flatnonzero(high <= self._zeros[-1] - 64)
         high, low = high[who], low[who]
-        place = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        at = place - high
-        while len(who):
-            is_one = (self._words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            live = np.flatnonzero(is_one)
-            who, low, place, at = who[live], low[live], place[live], at[live]
-            mine = self._lows(at) if self.low_bits else np.zeros(len(at), np.uint64)
-            same = mine == low
-            out[who[same]] = at[same]
-            on = np.flatnonzero(mine < low)
-            who, low, place, at = who[on], low[on], place[on] + 1, at[on] + 1
+        # the values with this high part stand between two zeros
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
+        end = self._select(high, False) - high
+        at, stop = begin.copy(), end.copy()
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            middle = (at[live] + stop[live]) >> 1
+            less = self._lows(middle) < low[live]
+            at[live[less]], stop[live[~less]] = middle[less] + 1, middle[~less]
+            live = live[at[live] < stop[live]]
+        some = np.flatnonzero(at < end)
+        same = some[self._lows(at[some]) == low[some]]
+        out[who[same]] = at[same]
         return out
 
     @classmethod
