@@ -37,7 +37,7 @@ from .words import BLANKS, Block, blocks
 KINDS = ("email", "ip", "card", "phone")
 #: Sentences of the labelled table.
 SENTENCES = 900
-MARGIN = 3.0
+MARGIN = 1.0
 RIDGE, STEPS, RATE = 1e-3, 120, 0.15
 #: Words that tell of data near them, by class.
 CUES = (
@@ -238,6 +238,28 @@ class CRF:
         self.learned = True
         return self
 
+    def settled(self, lead: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Words that no best path tags, by how far the evidence for none is ahead in each.
+
+        Let all words of a run be ahead by more than D. Tags on a part of the run between words without tags, or beside
+        one word with a tag, gain less by transitions than they lose; tags on all of it, between two tagged words, do so
+        if the run is long enough.
+        """
+        m, none = self.moves, self.moves[0, 0]
+        start, stop = (m[:, 1:] - m[:, :1]).max(), (m[1:, :] - m[:1, :]).max()  # after any tag, before any tag
+        enter, leave, onward = (m[0, 1:] - none).max(), (m[1:, 0] - none).max(), (m[1:, 1:] - none).max()
+        ahead = max(enter + leave, start + leave, enter + stop, onward, 0.0) + 1.0
+        least = int(max(1, np.floor((start + stop - onward) / (ahead - onward)) + 1))
+        weak = lead > ahead
+        cut = np.zeros(len(weak) + 1, bool)
+        cut[offsets] = True
+        begin = weak & (cut[:-1] | ~np.append(False, weak[:-1]))
+        run = np.cumsum(begin) - 1
+        sizes = np.bincount(run[weak], minlength=int(run[-1]) + 1 if len(run) else 0)
+        out = weak.copy()
+        out[weak] = sizes[run[weak]] >= least
+        return out
+
     def decode(self, words: Words) -> np.ndarray:
         """The best tag of each word of a block; 0 where the path isn't ahead by MARGIN."""
         n = len(words.shape)
@@ -245,7 +267,7 @@ class CRF:
         if not self.learned or not n:
             return tags
         e = self.evidence(self.rows(words.shape, words.columns))
-        settled = e[:, 0] - e[:, 1:].max(1) > 2 * (self.moves.max() - self.moves.min())
+        settled = self.settled(e[:, 0] - e[:, 1:].max(1), words.offsets)
         unsettled = ~settled
         begin = unsettled.copy()
         begin[1:] &= settled[:-1]
