@@ -29,7 +29,7 @@ from .shared import fold, shipped, table
 DIMENSIONS = 1024
 MAX_LANGUAGES = 10_000
 #: Characters worked on at once, distinct trigrams whose vectors are held at once, letters whose vectors are kept.
-CHUNK, WIDE, MAX_LETTERS = 1 << 20, 8192, 20_000
+CHUNK, WIDE, MAX_LETTERS = 1 << 20, 8192, 65_536
 BLANK = 32
 #: Bits of a code point in a trigram's key.
 CODE = 21
