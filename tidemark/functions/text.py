@@ -15,6 +15,8 @@ TRIM_PATTERN = f"^[{BLANKS}]+|[{BLANKS}]+$"
 SCRIPT_STYLE = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 NAMESPACE_TAGS = r"(?is)</?(ix:[^>\s]+|xbrli:[^>\s]+|link:[^>\s]+|dei:[^>\s]+|us-gaap:[^>\s]+)[^>]*>"
 ALL_TAGS = r"(?s)<[^>]+>"
+# fixed value: tags taken out of what a pattern captured
+CAPTURED_TAGS = r"(?is)<[^>]+>"
 HTML_SPACE = r"[\t\n\f\r ]+"
 # fixed values: the entities decoded, the ampersand last so that one pass is enough
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -61,7 +63,7 @@ def normalize_code(x: Column) -> Column:
 
 def first_text(x: Column, pattern: str) -> Column:
     """Group 1 of the first match, tags taken out, trimmed; empty without a match."""
-    return trim_unicode(F.regexp_replace(F.regexp_extract(x, pattern, 1), r"(?is)<[^>]+>", ""))
+    return trim_unicode(F.regexp_replace(F.regexp_extract(x, pattern, 1), CAPTURED_TAGS, ""))
 
 
 def _without_dots(path: Column) -> Column:

@@ -58,6 +58,8 @@ def _(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", t.first_text(F.col("html"), r"(?is)<h1[^>]*>(.*?)</h1>").alias("text"))
 
 
+#: The links of a page, here in place of a list page's cards.
+ANCHOR = r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
 LINKS = r"""links AS (
   SELECT page_id, unnest(range(0, len(h))) AS pos, unnest(h) AS href, unnest(x) AS block
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) AS x FROM pages)
@@ -66,7 +68,7 @@ LINKS = r"""links AS (
 
 @query("page_links", f"WITH {LINKS} SELECT page_id, pos::INT AS pos, href, block FROM links")
 def _(spark, sf_dir):
-    return cards.matches(_pages(spark, sf_dir), cards.ANCHOR).select("page_id", "pos", "href", "block")
+    return cards.matches(_pages(spark, sf_dir), ANCHOR).select("page_id", "pos", "href", "block")
 
 
 @query(
@@ -76,7 +78,7 @@ def _(spark, sf_dir):
     SELECT page_id, pos::INT AS pos, CASE pos % 6 WHEN 2 THEN '{BASE}/b/' || ltrim(raw, '/') WHEN 3 THEN 'https:' || href WHEN 5 THEN href WHEN 4 THEN '{BASE}' || href ELSE '{BASE}/' || ltrim(href, '/') END AS url FROM h""",
 )
 def _(spark, sf_dir):
-    links = cards.matches(_pages(spark, sf_dir), cards.ANCHOR)
+    links = cards.matches(_pages(spark, sf_dir), ANCHOR)
     k = F.col("pos") % 6
     bare = F.regexp_replace("href", "^/+", "")
     href = (

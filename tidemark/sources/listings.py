@@ -10,6 +10,7 @@ from ..operators.event_log import numbered
 
 WATCHLIST = "entries ARRAY<STRUCT<ticker: STRING, company_name: STRING, cik: STRING, allowed_forms: ARRAY<STRING>, enabled: BOOLEAN, poll_priority: INT, notes: STRING>>"
 SUBMISSIONS = "cik STRING, filings STRUCT<recent: STRUCT<accessionNumber: ARRAY<STRING>, form: ARRAY<STRING>, filingDate: ARRAY<STRING>, primaryDocument: ARRAY<STRING>, acceptanceDateTime: ARRAY<STRING>>>"
+# fixed values: the fields of a unit's metadata
 METADATA_FIELDS = ("acceptance_datetime", "accession_number", "cik", "filing_date", "filing_index_url", "form", "primary_doc_description", "primary_document", "primary_document_url", "ticker")
 METADATA = ", ".join(f"{f} STRING" for f in METADATA_FIELDS)
 MANIFEST = f"base_dir STRING, generated_by STRING, targets ARRAY<STRUCT<cik: STRING, ticker: STRING, submissions_url: STRING, filings: ARRAY<STRUCT<{METADATA.replace(' STRING', ': STRING')}>>>>"

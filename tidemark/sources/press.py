@@ -14,8 +14,6 @@ COMPANY = r'(?is)<a[^>]*class="[^"]*color-inherit[^"]*"[^>]*>(.*?)</a>'
 PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
 DOCUMENT_BYTES = 4 << 20
 
-ANCHOR = r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
-
 
 def matches(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
     """A row per match of a pattern with two groups: pos, href, block."""
