@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts
+from . import ann, decontaminate, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
+    "op12_toxicity": toxicity.op12_toxicity,
 }
 
 ORACLES = {
