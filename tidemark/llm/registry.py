@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts, toxicity
+from . import ann, decontaminate, divergence, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
     "op12_toxicity": toxicity.op12_toxicity,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_near_dup": near_dup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op13_divergence": divergence.ORACLE_SQL,
 }
