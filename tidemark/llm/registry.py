@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, divergence, language, line_dedup, lm, mixing, near_dup, pii, quality, token_counts, toxicity
+from . import ann, decontaminate, divergence, language, line_dedup, lm, mixing, near_dup, negatives, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_mixing": mixing.op9_mixing,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op2_near_dup": near_dup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
     "op13_divergence": divergence.ORACLE_SQL,
 }
