@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import local_path, shipped
+
 RECORD = "sequence BIGINT, event STRUCT<id: STRING, type: STRING, occurred_at: TIMESTAMP, aggregate_key: STRING, source: STRING, data: STRING>, appended_at TIMESTAMP"
 #: Day files, and the files that `write_journal` leaves in day folders.
 FILES = "{*.ndjson,part-*.txt}"
@@ -12,7 +18,7 @@ STAMP = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 EVENT_COLUMNS = ("id", "type", "occurred_at", "aggregate_key", "source", "data")
 
 
-def journal_lines(spark: SparkSession, path: str) -> DataFrame:
+def journal_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of the journals in path and its day folders: file, size, block, pos, value. Blank lines count as lines."""
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).text(path)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block")).withColumn("pos", F.monotonically_increasing_id())
@@ -39,7 +45,7 @@ def scan_journal(spark: SparkSession, path: str) -> DataFrame:
     return records_of(parsed(journal_lines(spark, path)).where(F.col("record").isNotNull()))
 
 
-def quarantined(spark: SparkSession, path: str) -> DataFrame:
+def quarantined(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Malformed lines with a verdict: `dropped` for a file's last line without a newline, else `error`."""
     lines = parsed(journal_lines(spark, path))
     ends = last_per_file(lines).select("file", F.col("block").alias("last_block"), F.col("pos").alias("last_pos"))
@@ -48,11 +54,22 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
     return bad.join(open_files(lines), "file").select("file", "text", F.when(torn, "dropped").otherwise("error").alias("verdict"))
 
 
-def strict_journal(spark: SparkSession, path: str) -> DataFrame:
-    """As scan_journal, but a malformed line other than a torn last one fails the query, naming its file."""
-    errors = quarantined(spark, path).where("verdict = 'error'").agg(F.min("file").alias("bad"))
-    checked = scan_journal(spark, path).crossJoin(F.broadcast(errors))  # one row
-    return checked.withColumn("sequence", F.when(F.col("bad").isNull(), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("malformed record in "), F.col("bad"))).cast("long"))).drop("bad")
+def whole_journal(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records, with their file, of journals whose lines are all complete, in one pass; a malformed line fails the query, naming its file."""
+    lines = parsed(journal_lines(spark, path)).where(F.col("text") != "")
+    wrong = F.raise_error(F.concat(F.lit("malformed record in "), F.col("file"))).cast("bigint")
+    checked = F.when(F.col("record").isNull(), wrong).otherwise(F.col("record.sequence")).alias("sequence")
+    return lines.select(checked, *[F.col(f"record.event.{c}").alias(c) for c in EVENT_COLUMNS], "record.appended_at", "file")
+
+
+def strict_journal(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As scan_journal, but a malformed line other than a torn last one is an error, naming its file. Lines are read a second time only where some are malformed."""
+    lines = parsed(journal_lines(spark, path))
+    if not lines.where(F.col("record").isNull() & (F.col("text") != "")).isEmpty():
+        errors = quarantined(spark, path).where("verdict = 'error'").agg(F.min("file").alias("bad")).first()
+        if errors.bad is not None:
+            raise ValueError(f"malformed record in {errors.bad}")
+    return records_of(lines.where(F.col("record").isNotNull()))
 
 
 def write_journal(records: DataFrame, path: str) -> None:
@@ -61,6 +78,34 @@ def write_journal(records: DataFrame, path: str) -> None:
     records.select(line.alias("value"), F.to_date("appended_at").alias("day")).write.mode("append").partitionBy("day").option("compression", "none").text(path)
 
 
+def grow_journal(records: DataFrame, path: str) -> None:
+    """Appends records to `<day>.ndjson`, the journal of their ingest day, in order of sequence: one task a day, since a file grows at one end.
+
+    `path` is a folder of a file system that can append, seen alike by all executors. A task that
+    is tried again first takes away what the lost try left beyond the journal's length at the start.
+    """
+    shipped(records.sparkSession)
+    root = Path(local_path(path))
+    root.mkdir(parents=True, exist_ok=True)
+    line = F.to_json(F.struct("sequence", F.struct(*EVENT_COLUMNS).alias("event"), "appended_at"), STAMP)
+    rows = records.select(F.date_format("appended_at", "yyyy-MM-dd").alias("day"), "sequence", line.alias("value")).repartition("day").sortWithinPartitions("day", "sequence")
+    before = {p.name: p.stat().st_size for p in root.glob("*.ndjson")}
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: set[str] = set()
+        for batch in batches:
+            days, values = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for day in dict.fromkeys(days):
+                with open(root / f"{day}.ndjson", "ab") as f:
+                    if day not in begun:
+                        f.truncate(before.get(f"{day}.ndjson", 0))
+                        begun.add(day)
+                    f.write("".join(f"{v}\n" for d, v in zip(days, values, strict=True) if d == day).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def last_per_file(lines: DataFrame) -> DataFrame:
     """The last line of each journal; by a maximum, so that no task holds a file."""
     last = F.max(F.struct("block", "pos", "value")).alias("last")
