@@ -166,7 +166,7 @@ class Store:
     def snapshot(self, n: int = 50) -> tuple[DataFrame, int]:
         """The newest n records, and the sequence from which a stream goes on with neither gap nor overlap."""
         latest = self.latest()
-        return self.between(max(1, latest - n + 1), latest).orderBy("sequence"), latest + 1
+        return self.between(max(1, latest - n + 1), latest).orderBy("sequence").limit(n), latest + 1
 
     def committed(self, token: str, content: dict) -> tuple[int, int] | None:
         """The first and last sequence that a batch has got, if it has been appended; an empty range for one of which only later batches are known."""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,17 +91,3 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
             return False
         raise
     return True
-
-
-def shipped(spark: SparkSession) -> None:
-    """Once per context, send this package to the executors, which may not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._tidemark_shipped = True

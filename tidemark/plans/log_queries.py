@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ def _journal(spark: SparkSession, sf_dir: str, damaged: bool) -> str:
     return path
 
 
+def _stored_log(spark: SparkSession, sf_dir: str) -> event_log.EventLog:
+    stored = event_log.EventLog(spark, scratch(spark))
+    stored.append(log(spark, sf_dir).drop("sequence", "appended_at"), "occurred_at", "id", now=now())
+    return stored
+
+
 @query("journal_scan", _sql("SELECT sequence, id, type, aggregate_key, source, data, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM log"))
 def _(spark, sf_dir):
     """Written as journals and read back."""
@@ -105,6 +113,34 @@ def _(spark, sf_dir):
     return event_log.read_from(log(spark, sf_dir), 4000, event_log.PAGE).select("sequence", "id")
 
 
+@query("read_page", _sql("SELECT sequence, id FROM (SELECT row_number() OVER (ORDER BY occurred_at, id)::BIGINT AS sequence, id FROM log) WHERE sequence BETWEEN 4000 AND 4511"))
+def _(spark, sf_dir):
+    """A page of a stored log: of its files only those that hold it are opened."""
+    return _stored_log(spark, sf_dir).read(4000, event_log.PAGE).select("sequence", "id")
+
+
+@query("latest_of_store", _sql("SELECT strftime(appended_at, '%Y-%m-%d') AS day, count(*)::BIGINT AS latest FROM (SELECT TIMESTAMP '2024-02-01' AS appended_at FROM log) GROUP BY 1"))
+def _(spark, sf_dir):
+    """The latest sequence of each day, from the manifest, without a scan."""
+    return _stored_log(spark, sf_dir).latest_by_journal().select(F.date_format("day", "yyyy-MM-dd").alias("day"), "latest")
+
+
+@query("append_two_writers", _sql("SELECT count(*)::BIGINT AS n, 1::BIGINT AS first, count(*)::BIGINT AS last, count(*)::BIGINT AS sequences, count(DISTINCT id)::BIGINT AS ids FROM log"))
+def _(spark, sf_dir):
+    """Two writers append to one log at a time; numbers stay dense and unique."""
+    path, rows = scratch(spark), log(spark, sf_dir)
+
+    def write(k: int) -> None:
+        for part in (0, 1):
+            mine = rows.where((F.col("sequence") % 4) == 2 * part + k).drop("sequence", "appended_at")
+            event_log.EventLog(spark, path).append(mine, "occurred_at", "id", now=now())
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (0, 1)))
+    found = event_log.EventLog(spark, path).records()
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count_distinct("sequence").alias("sequences"), F.count_distinct("id").alias("ids"))
+
+
 @query("events_by_type", _sql("SELECT sequence, aggregate_key FROM log WHERE type IN ('pr_body_fetched', 'pr_body_failed')"))
 def _(spark, sf_dir):
     return event_log.of_type(log(spark, sf_dir), "pr_body_fetched", "pr_body_failed").select("sequence", "aggregate_key")

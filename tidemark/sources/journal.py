@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import local_path, shipped
+from ..operators.storage import local_path
 
 RECORD = "sequence BIGINT, event STRUCT<id: STRING, type: STRING, occurred_at: TIMESTAMP, aggregate_key: STRING, source: STRING, data: STRING>, appended_at TIMESTAMP"
 #: Day files, and the files that `write_journal` leaves in day folders.
@@ -84,7 +84,6 @@ def grow_journal(records: DataFrame, path: str) -> None:
     `path` is a folder of a file system that can append, seen alike by all executors. A task that
     is tried again first takes away what the lost try left beyond the journal's length at the start.
     """
-    shipped(records.sparkSession)
     root = Path(local_path(path))
     root.mkdir(parents=True, exist_ok=True)
     line = F.to_json(F.struct("sequence", F.struct(*EVENT_COLUMNS).alias("event"), "appended_at"), STAMP)

@@ -20,18 +20,18 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pf
 import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..operators.manifest import newest
-from ..operators.storage import shipped
 from . import journal
 
 SPLIT, READ, BACK = 32 << 20, 1 << 20, 64 << 10
@@ -147,7 +147,7 @@ class LogTail(DataSourceStreamReader):
     def content(self) -> dict:
         fs, root = opened(self.path)
         found = fs.get_file_info(pf.FileSelector(f"{root}/_manifest", allow_not_found=True))
-        name = newest([i.base_name for i in found])
+        name = max((i.base_name for i in found if i.base_name.startswith("v-")), default=None)
         return json.loads(self.text(name)) if name else {}
 
     def text(self, name: str) -> bytes:
@@ -204,7 +204,8 @@ class LogSource(DataSource):
 
 
 def _reader(spark: SparkSession, source: type[DataSource], path: str, **options):
-    shipped(spark)
+    # the readers go to Spark's Python processes as they stand here, since those may not find this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(source)
     return spark.readStream.format(source.name()).option("path", path).options(**{k: str(v) for k, v in options.items() if v is not None}).load()
 

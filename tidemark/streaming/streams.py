@@ -100,6 +100,10 @@ class Outcomes:
         last = W.partitionBy("key_text").orderBy(F.desc("final"), F.desc("try"))
         return self.rows().withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
 
+    def waits(self) -> bool:
+        """Whether inputs wait for another try."""
+        return bool(self.manifest.read().content.get("waiting"))
+
     def waiting(self, view: View) -> DataFrame | None:
         """Inputs of failed keys that are to be tried again, with the number of tries they have had."""
         name = view.content.get("waiting")
@@ -156,7 +160,7 @@ def stage(
     key: str,
     *,
     input_key: str | None = None,
-    final: Column | None = None,
+    final: str | None = None,
     tries: int = 3,
     once: bool = True,
     interval: str = "15 seconds",
@@ -164,11 +168,11 @@ def stage(
     """A step over each micro-batch; of rows with a key that is done, or twice in the batch, the first stays.
 
     `key` names the key in what the step gives. With `input_key`, its name in the input, rows
-    whose key is done don't even reach the step. `final` says which outcomes are: without it all
-    are, so that failures are remembered like results. Where it is given, the inputs of keys that
-    failed are kept and tried again with each later batch, up to `tries` times altogether, and
-    a failed key that comes in anew is tried at once and afresh. `Outcomes(spark, target)` reads
-    the table.
+    whose key is done don't even reach the step. `final`, a predicate in SQL, says which outcomes
+    make a key done: without it all do, so that failures are remembered like results. Where it is
+    given, the inputs of keys that failed are kept and tried again with each later batch, up to
+    `tries` times altogether, and a failed key that comes in anew is tried at once and afresh.
+    `Outcomes(spark, target)` reads the table.
     """
     if final is not None and input_key is None:
         raise ValueError("trying again needs the key in the input")
@@ -179,7 +183,7 @@ def stage(
     return _started(stream.writeStream.foreachBatch(run), checkpoint, once, interval)
 
 
-def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str | None = None, final: Column | None = None, tries: int = 3) -> None:
+def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str | None = None, final: str | None = None, tries: int = 3) -> None:
     """One batch of a stage. A batch that its run has committed before changes nothing."""
     spark = rows.sparkSession
     table = Outcomes(spark, target)
@@ -207,7 +211,7 @@ def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[
             out = step(rows)
         out = out.withColumn("key_text", F.col(key).cast("string"))
         order = [c for c in ("sequence", "occurred_at", "id") if c in out.columns] or [key]
-        out = first_in_batch(out, ["key_text"], *order).where("nth = 1").drop("nth").withColumns({"final": F.lit(True) if final is None else F.coalesce(final, F.lit(False)), "bucket": _bucket(F.col("key_text"))})
+        out = first_in_batch(out, ["key_text"], *order).where("nth = 1").drop("nth").withColumns({"final": F.lit(True) if final is None else F.coalesce(F.expr(final), F.lit(False)), "bucket": _bucket(F.col("key_text"))})
         if input_key is not None:
             out = kept(out.join(rows.select("key_text", "try"), "key_text"))
         else:
@@ -227,7 +231,7 @@ def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[
             df.unpersist()
 
 
-def try_again(spark: SparkSession, target: str, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str, final: Column, tries: int = 3) -> None:
+def try_again(spark: SparkSession, target: str, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str, final: str, tries: int = 3) -> None:
     """Another try of the inputs that wait, without waiting for a batch."""
     table = Outcomes(spark, target)
     view = table.manifest.read()
