@@ -29,8 +29,8 @@ def by_issuer(units: DataFrame) -> DataFrame:
     return units.groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_class(documents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """Documents by class; one has several: its kind, its flags, and whether it is a companion of interest."""
+def _classes(documents: DataFrame, name: str, content: str) -> DataFrame:
+    """A row for each class of each document; one has several: its kind, its flags, and whether it is a companion of interest."""
     # lowered in a projection of its own, once for all that looks at it
     low = documents.select(F.col(name).alias("name"), F.lower(content).alias("low"))
     classes = F.array_compact(
@@ -41,7 +41,39 @@ def by_class(documents: DataFrame, name: str = "name", content: str = "content")
             F.when(F.lower(base_name(F.col("name"))).isin(*COMPANIONS), "interesting_companion_primary_candidate"),
         )
     )
-    return low.select(F.explode(classes).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return low.select(F.explode(classes).alias("class"))
+
+
+def by_class(documents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """Documents by class."""
+    return _classes(documents, name, content).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary(units: DataFrame, metadata: DataFrame, documents: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """One row: five counters and three maps, by form, issuer and document class.
+
+    Everything counted is a (what, key) pair; pairs of all inputs are counted together, partly
+    before the shuffle, and the few sums become the row. Maps have their keys in order.
+    """
+    pair = lambda what, key: F.struct(F.lit(what).alias("what"), key.alias("key"))
+    none = F.lit("")
+    has_both = F.col("metadata").isNotNull() & F.col("index").isNotNull()
+    of_unit = F.array_compact(
+        F.array(
+            pair("units", none),
+            F.when(F.col("metadata").isNotNull(), pair("with_metadata", none)),
+            F.when(F.col("index").isNotNull(), pair("with_index", none)),
+            F.when(has_both, pair("with_both", none)),
+            F.when(F.size("candidates") > 0, pair("with_candidates", none)),
+            pair("by_issuer", F.col("issuer")),
+        )
+    )
+    form = trim_unicode(F.coalesce("form", F.lit("")))
+    seen = units.select(F.explode(of_unit).alias("p")).unionAll(metadata.where(form != "").select(pair("forms", form).alias("p"))).unionAll(_classes(documents, name, content).select(pair("by_class", F.col("class")).alias("p")))
+    counts = seen.groupBy("p.what", "p.key").agg(F.count(F.lit(1)).alias("n"))
+    counter = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+    table = lambda what: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("key", "n"))))).alias(what)
+    return counts.agg(*map(counter, ("units", "with_metadata", "with_index", "with_both", "with_candidates")), *map(table, ("forms", "by_issuer", "by_class")))
 
 
 def missing_fields(metadata: DataFrame) -> DataFrame:
@@ -114,6 +146,25 @@ def chosen_primary(metadata: DataFrame, units: DataFrame) -> DataFrame:
     return rows.select(*UNIT, F.coalesce("named", F.try_element_at("candidates", F.lit(1))).alias("chosen")).where("chosen is not null")
 
 
+def classified_primary(chosen: DataFrame, documents: DataFrame, *, unknown_counts: bool = True) -> DataFrame:
+    """Of each unit's primary document: n_bytes, kind, inline_xbrl, filing_like, and a `problem`.
+
+    The chosen path (below the unit) is looked up among documents (issuer, filing, relative,
+    content). Problems are `missing`, `empty`, and `unclassified`: a kind of `unknown`, unless
+    `unknown_counts` is off, with which it is a kind like others.
+    """
+    named = chosen.select(*UNIT, "chosen").join(documents.select(*UNIT, F.col("relative").alias("chosen"), "content"), [*UNIT, "chosen"], "left")
+    low = named.select(*UNIT, "chosen", F.octet_length("content").cast("long").alias("n_bytes"), F.lower("content").alias("low"))
+    there = F.col("n_bytes") > 0
+    kind = F.when(there, kind_of_lowered(F.col("chosen"), F.col("low")))
+    flag = lambda markers: F.when(there, lowered_contains_any(F.col("low"), markers))
+    problem = F.when(F.col("n_bytes").isNull(), "missing").when(F.col("n_bytes") == 0, "empty")
+    if unknown_counts:
+        problem = problem.when(F.col("kind") == "unknown", "unclassified")
+    rows = low.select(*UNIT, "chosen", "n_bytes", kind.alias("kind"), flag(INLINE_MARKERS).alias("inline_xbrl"), flag(FILING_MARKERS).alias("filing_like"))
+    return rows.withColumn("problem", problem)
+
+
 def exception_reasons(units: DataFrame, by_unit: DataFrame, by_accession: DataFrame) -> DataFrame:
     """units(issuer, filing, accession) with the reason of a registered exception, by unit, else by accession."""
     rows = units.join(by_unit.withColumnRenamed("reason", "r1"), UNIT, "left").join(by_accession.withColumnRenamed("reason", "r2"), "accession", "left")

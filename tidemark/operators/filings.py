@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filing_identity, normalize_code, rfc3339
+from ..functions.text import filing_identity, normalize_cik, normalize_code, rfc3339
+from ..sources import listings
 from .event_log import first_in_batch
 
 DISCOVERED = "ticker STRING, cik STRING, accession_number STRING, form STRING, filing_date STRING, acceptance_datetime STRING, primary_document STRING, submissions_source_url STRING, discovered_at STRING"
@@ -23,6 +24,27 @@ def watched_filings(watchlist: DataFrame, filings: DataFrame) -> DataFrame:
     return joined.drop("allowed_forms").withColumn("identity", filing_identity(F.col("cik"), F.col("accession")))
 
 
+#: Enabled entries of a watchlist up to which they go to every task.
+WATCHED = 200_000
+
+
+def watched_documents(watchlist: DataFrame, documents: DataFrame, column: str = "json") -> DataFrame:
+    """Submissions documents of enabled companies, with their allowed_forms; only the document's own cik is looked at before the join.
+
+    The entries are counted, and broadcast where there are few enough, so that documents stay where they are.
+    """
+    entries = watchlist.where("enabled").select(F.col("cik").alias("watched"), "allowed_forms")
+    few = entries.limit(WATCHED + 1).count() <= WATCHED
+    keyed = documents.withColumn("watched", normalize_cik(F.get_json_object(column, "$.cik")))
+    return keyed.join(F.broadcast(entries) if few else entries, "watched").drop("watched")
+
+
+def discovered(watchlist: DataFrame, documents: DataFrame, column: str = "json") -> DataFrame:
+    """As watched_filings of recent_filings: companies are chosen before their documents are parsed, forms before filings become rows."""
+    rows = listings.recent_filings(listings.submissions(watched_documents(watchlist, documents, column), column, keep=("allowed_forms",)), allowed=lambda form: allowed(form, F.col("allowed_forms")))
+    return rows.withColumn("identity", filing_identity(F.col("cik"), F.col("accession")))
+
+
 def seen_identities(log: DataFrame) -> DataFrame:
     """Identities in the log's discovery events; those without cik or accession don't count."""
     p = F.from_json("data", DISCOVERED)
@@ -34,9 +56,14 @@ def new_filings(filings: DataFrame, seen: DataFrame) -> DataFrame:
     return filings.join(seen, "identity", "left_anti")
 
 
-def tagged(filings: DataFrame, seen: DataFrame, *arrival: str) -> DataFrame:
-    """filings with `fresh`: not in the log, and the first of its identity in the batch."""
+def tagged(filings: DataFrame, seen: DataFrame, *arrival: str, dry_run: bool = False) -> DataFrame:
+    """filings with `fresh`: not in the log, and the first of its identity in the batch.
+
+    A dry run marks nothing as seen while it goes, so that each repeat in the batch is fresh.
+    """
     marked = filings.join(seen.withColumn("old", F.lit(True)), "identity", "left")
+    if dry_run:
+        return marked.withColumn("fresh", F.col("old").isNull()).drop("old")
     return first_in_batch(marked, ["identity"], *arrival).withColumn("fresh", F.col("old").isNull() & (F.col("nth") == 1)).drop("old", "nth")
 
 

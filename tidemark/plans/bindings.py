@@ -230,6 +230,39 @@ FILES = """li AS (
 )"""
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small corpus with contents (path, content), a unit per page: metadata, index and documents, some missing, some empty, some without an extension; a stray file per issuer."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.lit("I"), F.col("page_id") % 7).alias("issuer"))
+    k, text = F.col("page_id"), F.col("page_id").cast("string")
+    name = F.when(k % 9 == 8, "page").otherwise("doc.htm")
+    primary = F.when(k % 3 == 0, name).when(k % 3 == 1, "gone.htm").otherwise(" ")
+    form = F.when(k % 4 == 0, "10-K").when(k % 4 == 1, " 8-K ").when(k % 4 == 2, "").otherwise("10-Q")
+    meta = F.to_json(F.struct(form.alias("form"), text.alias("cik"), primary.alias("primary_document")))
+    item = lambda n: F.concat(F.lit(f'{{"name":"{n}","type":"t.gif","size":'), text, F.lit("}"))
+    items = F.when(k % 2 == 0, item("doc.htm")).otherwise(F.concat(F.lit("["), item("doc.htm"), F.lit(","), item("b.htm"), F.lit("]")))
+    index = F.concat(F.lit('{"directory":{"name":"/d/'), text, F.lit('","parent-dir":"/d","item":'), items, F.lit("}}"))
+    document = F.when(k % 10 == 3, "").when((k % 9 == 8) & (k % 2 == 0), "plain words").otherwise(F.col("html"))
+    file = lambda wanted, at, content: F.when(wanted, F.struct(F.concat(F.col("issuer"), F.lit("/F"), text, F.lit("/"), at).alias("path"), content.alias("content")))
+    files = F.array(
+        file(k % 5 != 4, F.when(k % 2 == 0, "metadata.json").otherwise("Metadata.JSON"), meta),
+        file(k % 6 != 5, F.lit("index.json"), index),
+        file(k % 8 != 7, name, document),
+        file(k % 3 == 1, F.lit("sub/notes.txt"), F.concat(F.lit("Accession Number "), text)),
+    )
+    stray = p.select(F.concat("issuer", F.lit("/readme.txt")).alias("path"), F.lit("x").alias("content")).distinct()
+    return p.select(F.explode(F.array_compact(files)).alias("f")).select("f.*").unionByName(stray)
+
+
+PAGE_CORPUS = """pc AS (
+  SELECT page_id, 'I' || (page_id % 7) AS issuer, 'F' || page_id AS filing, page_id % 5 <> 4 AS has_meta, page_id % 6 <> 5 AS has_index, page_id % 8 <> 7 AS has_doc, page_id % 3 = 1 AS has_notes,
+    CASE WHEN page_id % 2 = 0 THEN 'metadata.json' ELSE 'Metadata.JSON' END AS meta_name, CASE WHEN page_id % 9 = 8 THEN 'page' ELSE 'doc.htm' END AS doc_name,
+    CASE page_id % 4 WHEN 0 THEN '10-K' WHEN 1 THEN ' 8-K ' WHEN 2 THEN '' ELSE '10-Q' END AS form,
+    CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 9 = 8 THEN 'page' ELSE 'doc.htm' END WHEN 1 THEN 'gone.htm' ELSE ' ' END AS primary_document,
+    CASE WHEN page_id % 10 = 3 THEN '' WHEN page_id % 9 = 8 AND page_id % 2 = 0 THEN 'plain words' ELSE html END AS content
+  FROM pages
+)"""
+
+
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as press-list pages: two cards each, from the page's URL and first heading; some lack a headline or a time."""
     p = table(spark, sf_dir, "pages")

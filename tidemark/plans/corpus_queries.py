@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_zeros, without_dashes
+from ..functions.text import FILING_MARKERS, INLINE_MARKERS, strip_zeros, without_dashes
 from ..operators import corpus as ops
 from ..operators.storage import scratch
 from ..sources import corpus as src
 from . import bindings as b
-from .bindings import FILES, ITEMS, META
+from .bindings import FILES, ITEMS, META, PAGE_CORPUS
 from .registry import query
 
 ESCAPED = FILES
@@ -211,3 +211,69 @@ def _(spark, sf_dir):
 @query("choose_primary", f"WITH {META}, {UNITS} SELECT u.issuer, u.filing, coalesce(nullif(trim(m.primary_document), ''), nullif(split_part(candidates, ',', 1), '')) AS chosen FROM units u LEFT JOIN meta m USING (issuer, filing) WHERE coalesce(nullif(trim(m.primary_document), ''), nullif(split_part(candidates, ',', 1), '')) IS NOT NULL")
 def _(spark, sf_dir):
     return ops.chosen_primary(_meta(spark, sf_dir), _units(spark, sf_dir))
+
+
+@query(
+    "corpus_from_tree",
+    f"""WITH {PAGE_CORPUS} SELECT issuer, filing, CASE WHEN has_meta THEN form END AS form, CASE WHEN has_meta THEN primary_document END AS primary_document, CASE WHEN has_index THEN '/d/' || page_id END AS dir_name,
+    CASE WHEN has_index THEN 1 + page_id % 2 ELSE 0 END::BIGINT AS items, CASE WHEN has_index THEN page_id::VARCHAR END AS size,
+    array_to_string(list_sort(list_filter([CASE WHEN has_meta THEN meta_name END, CASE WHEN has_index THEN 'index.json' END, CASE WHEN has_doc AND content <> '' THEN doc_name END, CASE WHEN has_notes THEN 'sub/notes.txt' END], lambda x: x IS NOT NULL)), ',') AS files,
+    CASE WHEN has_doc AND content <> '' THEN octet_length(encode(content)) END::BIGINT AS doc_bytes
+    FROM pc WHERE has_meta OR has_index OR has_notes OR (has_doc AND content <> '')""",
+)
+def _(spark, sf_dir):
+    """Files written as a tree, then the corpus read from it: units, metadata, index items and document sizes."""
+    root = scratch(spark)
+    src.write_tree(b.page_files(spark, sf_dir), root)
+    corpus = src.from_tree(spark, root)
+    unit = ["issuer", "filing"]
+    meta = corpus.metadata.select(*unit, "form", "primary_document")
+    index = corpus.indexes.select(*unit, "dir_name", F.size("items").cast("long").alias("items"), F.col("items")[0]["size"].alias("size"))
+    sizes = corpus.files.where(F.col("relative").isin("doc.htm", "page")).select(*unit, F.col("length").alias("doc_bytes"))
+    rows = corpus.units.select(*unit, F.array_join("files", ",").alias("files")).join(meta, unit, "left").join(index, unit, "left").join(sizes, unit, "left")
+    return rows.select(*unit, "form", "primary_document", "dir_name", F.coalesce("items", F.lit(0)).cast("long").alias("items"), "size", "files", "doc_bytes")
+
+
+MAP = lambda keys, n="n": f"coalesce(string_agg({keys} || '=' || {n}, ',' ORDER BY {keys}), '')"
+ANY = lambda markers: "(" + " OR ".join(f"contains(lower(content), '{m}')" for m in markers) + ")"
+PAGE_KIND = "CASE WHEN doc_name = 'doc.htm' THEN 'html' WHEN contains(lower(content), '<html') THEN 'html' WHEN regexp_matches(lower(content), '^\\s*(<\\?xml|<xbrl)') THEN 'xml' WHEN contains(lower(content), 'accession number') THEN 'text' ELSE 'unknown' END"
+
+
+@query(
+    "corpus_summary",
+    f"""WITH {PAGE_CORPUS}, candidates AS (
+      SELECT doc_name AS name, content FROM pc WHERE has_doc AND doc_name = 'doc.htm' UNION ALL SELECT 'notes.txt', 'Accession Number ' || page_id FROM pc WHERE has_notes
+    ), classes AS (
+      SELECT CASE WHEN name = 'doc.htm' THEN 'html' ELSE 'text' END AS class FROM candidates
+      UNION ALL SELECT 'likely_inline_xbrl' FROM candidates WHERE {ANY(INLINE_MARKERS)} UNION ALL SELECT 'likely_filing_document' FROM candidates WHERE {ANY(FILING_MARKERS)}
+    ), units AS (SELECT *, (has_doc AND doc_name = 'doc.htm') OR has_notes AS has_candidates FROM pc WHERE has_meta OR has_index OR has_doc OR has_notes)
+    SELECT (SELECT count(*) FROM units)::BIGINT AS units, (SELECT count(*) FROM units WHERE has_meta)::BIGINT AS with_metadata, (SELECT count(*) FROM units WHERE has_index)::BIGINT AS with_index,
+      (SELECT count(*) FROM units WHERE has_meta AND has_index)::BIGINT AS with_both, (SELECT count(*) FROM units WHERE has_candidates)::BIGINT AS with_candidates,
+      (SELECT {MAP('form')} FROM (SELECT trim(form) AS form, count(*) AS n FROM units WHERE has_meta AND trim(form) <> '' GROUP BY 1)) AS forms,
+      (SELECT {MAP('issuer')} FROM (SELECT issuer, count(*) AS n FROM units GROUP BY 1)) AS by_issuer, (SELECT {MAP('class')} FROM (SELECT class, count(*) AS n FROM classes GROUP BY 1)) AS by_class""",
+)
+def _(spark, sf_dir):
+    files = src.path_parts(b.page_files(spark, sf_dir))
+    units = src.units(files)
+    meta = src.metadata(src.lookup(units, "metadata", files).select("issuer", "filing", F.col("content").alias("json")))
+    found = ops.summary(units, meta, files.where(src.file_role(F.col("name"), F.col("ext")) == "candidate"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return found.select("units", "with_metadata", "with_index", "with_both", "with_candidates", *map(text, ("forms", "by_issuer", "by_class")))
+
+
+@query(
+    "qc_primary_classified",
+    f"""WITH {PAGE_CORPUS}, chosen AS (
+      SELECT *, CASE WHEN has_meta AND trim(primary_document) <> '' THEN primary_document WHEN has_doc AND doc_name = 'doc.htm' THEN 'doc.htm' WHEN has_notes THEN 'sub/notes.txt' END AS chosen FROM pc
+    ), found AS (
+      SELECT issuer, filing, chosen, CASE WHEN chosen = doc_name AND has_doc THEN content WHEN chosen = 'sub/notes.txt' THEN 'Accession Number ' || page_id END AS content, doc_name FROM chosen WHERE chosen IS NOT NULL
+    ), kinds AS (SELECT *, CASE WHEN content <> '' THEN CASE WHEN chosen = 'sub/notes.txt' THEN 'text' ELSE {PAGE_KIND} END END AS kind FROM found)
+    SELECT issuer, filing, chosen, octet_length(encode(content))::BIGINT AS n_bytes, kind, CASE WHEN content <> '' THEN {ANY(INLINE_MARKERS)} END AS inline_xbrl, CASE WHEN content <> '' THEN {ANY(FILING_MARKERS)} END AS filing_like,
+      CASE WHEN content IS NULL THEN 'missing' WHEN content = '' THEN 'empty' WHEN kind = 'unknown' THEN 'unclassified' END AS problem FROM kinds""",
+)
+def _(spark, sf_dir):
+    """Each unit's primary document, looked up, sized and classified."""
+    files = src.path_parts(b.page_files(spark, sf_dir))
+    units = src.units(files)
+    meta = src.metadata(src.lookup(units, "metadata", files).select("issuer", "filing", F.col("content").alias("json")))
+    return ops.classified_primary(ops.chosen_primary(meta, units), files)

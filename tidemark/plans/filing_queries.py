@@ -68,7 +68,7 @@ DISCOVER = f"""WITH {SUB}, {WL}, hits AS (
 
 
 def _discovered(spark, sf_dir):
-    return filings.watched_filings(_watchlist(spark, sf_dir), listings.recent_filings(listings.submissions(b.submissions(spark, sf_dir))))
+    return filings.discovered(_watchlist(spark, sf_dir), b.submissions(spark, sf_dir))
 
 
 def _seen(spark, sf_dir):
@@ -101,6 +101,17 @@ def discovery_summary(spark, sf_dir):
     return filings.run_summary(companies, found)
 
 
+@query("discovery_dry_run", "WITH f AS (SELECT *, l_orderkey % 3 = 0 AS old, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS nth FROM lineitem) SELECT count(*) FILTER (NOT old)::BIGINT AS dry, count(*) FILTER (NOT old AND nth = 1)::BIGINT AS real, count(*) FILTER (old OR nth > 1)::BIGINT AS seen FROM f")
+def _(spark, sf_dir):
+    """Filings with repeats: a dry run counts each as new, a real one the first."""
+    key = lambda c: F.col(c).cast("string")
+    rows = b.table(spark, sf_dir, "lineitem").select(filing_identity(key("l_orderkey"), key("l_linenumber")).alias("identity"), (F.col("l_orderkey") % 3 == 0).alias("known"), "l_partkey")
+    seen = rows.where("known").select("identity").distinct()
+    count = lambda c: F.count_if(c).cast("long")
+    dry = filings.tagged(rows, seen, "l_partkey", dry_run=True).agg(count("fresh").alias("dry"))
+    return dry.crossJoin(filings.tagged(rows, seen, "l_partkey").agg(count("fresh").alias("real"), count(~F.col("fresh")).alias("seen")))  # one row each
+
+
 @query("filings_ordered", f"WITH {FIL} SELECT accession, row_number() OVER (ORDER BY ticker, cik || ':' || accession)::BIGINT AS place FROM fil")
 def _(spark, sf_dir):
     f = b.filings(spark, sf_dir).withColumn("identity", filing_identity(F.col("cik"), F.col("accession")))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension
+from ..operators.storage import file_system, local_path
 from .listings import METADATA
+from .press import DOCUMENT_BYTES
 
 ITEM = "ARRAY<STRUCT<name: STRING, type: STRING, size: STRING, `last-modified`: STRING>>"
 #: From where the last match ended: whole strings and whatever holds no number, then a number.
@@ -14,10 +21,79 @@ BARE_NUMBER = r'\G((?:[^"0-9-]|"(?:[^"\\]|\\.)*+")*+)(-?[0-9][0-9.eE+-]*)'
 CANDIDATE_EXTENSIONS = (".htm", ".html", ".xml", ".txt")
 
 
+def below(spark: SparkSession, root: str) -> Column:
+    """The part of `path` below root."""
+    fs, at = file_system(spark, root)
+    whole = fs.makeQualified(at).toString()
+    return F.substring("path", len(whole) + 2, 1 << 30)
+
+
+def _files(spark: SparkSession, root: str, names: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", names) if names else reader).load(root)
+
+
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below root and file sizes; empty files, which Spark's file sources pass over, aren't listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), "length")
+    """Paths below root and file sizes; contents aren't read. Empty files, which Spark's file sources pass over, aren't listed."""
+    return _files(spark, root).select(below(spark, root).alias("path"), "length")
+
+
+def any_case(name: str) -> str:
+    """A glob for a file name in capital or small letters."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+def texts(spark: SparkSession, root: str, *names: str, max_bytes: int = DOCUMENT_BYTES) -> DataFrame:
+    """issuer, filing, relative, length and content of the files with these names (globs), or of all.
+
+    Files of more than `max_bytes` aren't read: the size filter goes to the listing. They are
+    there with a null content. Bytes that aren't UTF-8 become replacement characters.
+    """
+    globs = "{" + ",".join(names) + "}" if names else None
+    files, at = _files(spark, root, globs), below(spark, root).alias("path")
+    small = files.where(F.col("length") <= max_bytes).select(at, "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    large = files.where(F.col("length") > max_bytes).select(at, "length", F.lit(None).cast("string").alias("content"))
+    return path_parts(small.unionByName(large)).select("issuer", "filing", "relative", "length", "content")
+
+
+def lookup(units: DataFrame, which: str, documents: DataFrame) -> DataFrame:
+    """Of each unit that names one in column `which`, that document: issuer, filing, relative, length, content (null where there is none)."""
+    wanted = units.where(F.col(which).isNotNull()).select("issuer", "filing", F.col(which).alias("relative"))
+    return wanted.join(documents, ["issuer", "filing", "relative"], "left")
+
+
+@dataclass
+class Corpus:
+    """A tree of filings: its files and units, and what the units' metadata and index documents say."""
+
+    files: DataFrame
+    units: DataFrame
+    metadata: DataFrame
+    indexes: DataFrame
+
+
+def from_tree(spark: SparkSession, root: str, max_bytes: int = DOCUMENT_BYTES) -> Corpus:
+    """The corpus below root. Names and sizes come from one listing; contents are read of metadata and index documents alone."""
+    files = path_parts(tree(spark, root))
+    found = units(files)
+    said = texts(spark, root, any_case("metadata.json"), any_case("index.json"), max_bytes=max_bytes)
+    json = lambda which: lookup(found, which, said).select("issuer", "filing", F.col("content").alias("json"))
+    return Corpus(files, found, metadata(json("metadata")), index_documents(json("index")))
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Files (path, content) as a tree below root, a folder that all executors see; a task that is tried again writes the same."""
+    top = Path(local_path(root))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = top / path
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_text(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("path", F.coalesce("content", F.lit(""))).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def path_parts(files: DataFrame, path: str = "path") -> DataFrame:

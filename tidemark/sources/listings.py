@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,30 +42,33 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return numbered(df, *order, name="place")
 
 
-def submissions(documents: DataFrame, column: str = "json", ticker: str = "ticker") -> DataFrame:
-    """Documents parsed, with n (accessions) and `error` where a required array is shorter."""
+def submissions(documents: DataFrame, column: str = "json", ticker: str = "ticker", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents parsed, with n (accessions) and `error` where a required array is shorter, and the columns of `keep`."""
     doc = documents.withColumn("doc", F.from_json(column, SUBMISSIONS))
     recent = "doc.filings.recent."
     size = lambda name: F.coalesce(F.size(F.col(recent + name)), F.lit(0))
     short = [F.when(F.greatest(size(name), F.lit(0)) < F.greatest(size("accessionNumber"), F.lit(0)), name) for name in ("form", "filingDate", "primaryDocument")]
     broken = F.when(F.col("doc").isNull(), F.lit("json"))
-    return doc.select(F.col(ticker).alias("ticker"), "doc", F.greatest(size("accessionNumber"), F.lit(0)).alias("n"), F.coalesce(broken, *short).alias("error"))
-
-
-def recent_filings(parsed: DataFrame) -> DataFrame:
-    """A row per filing of the documents without an error; blank accessions are dropped."""
-    recent = "doc.filings.recent."
-    at = lambda name: trim_unicode(F.coalesce(F.try_element_at(F.col(recent + name), F.col("pos") + 1), F.lit("")))
-    rows = parsed.where(F.col("error").isNull()).select("ticker", "doc", F.posexplode(f"{recent}accessionNumber").alias("pos", "number"))
-    return rows.where(trim_unicode(F.coalesce("number", F.lit(""))) != "").select(
+    return doc.select(F.col(ticker).alias("ticker"), "doc", F.greatest(size("accessionNumber"), F.lit(0)).alias("n"), F.coalesce(broken, *short).alias("error"), *keep)
+
+
+def recent_filings(parsed: DataFrame, allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A row per filing of the documents without an error; blank accessions are dropped, and forms that `allowed` doesn't take, before they become rows."""
+    r = "doc.filings.recent."
+    text = lambda c: trim_unicode(F.coalesce(c, F.lit("")))
+    # the shorter arrays are padded with nulls; what is beyond the accessions has none
+    whole = F.arrays_zip(*[F.col(r + f).alias(f) for f in ("accessionNumber", "form", "filingDate", "primaryDocument")], F.coalesce(F.col(r + "acceptanceDateTime"), F.array().cast("array<string>")).alias("acceptanceDateTime"))
+    wanted = lambda f: (text(f["accessionNumber"]) != "") & (F.lit(True) if allowed is None else allowed(f["form"]))
+    rows = parsed.where(F.col("error").isNull()).select("ticker", "doc.cik", F.explode(F.filter(whole, wanted)).alias("f"))
+    return rows.select(
         normalize_code(F.col("ticker")).alias("ticker"),
-        normalize_cik(F.col("doc.cik")).alias("cik"),
-        trim_unicode(F.col("number")).alias("accession"),
-        normalize_code(at("form")).alias("form"),
-        at("filingDate").alias("filing_date"),
-        at("primaryDocument").alias("primary_document"),
-        at("acceptanceDateTime").alias("acceptance_datetime"),
-        submissions_url(F.col("doc.cik")).alias("submissions_url"),
+        normalize_cik(F.col("cik")).alias("cik"),
+        text(F.col("f.accessionNumber")).alias("accession"),
+        normalize_code(F.coalesce("f.form", F.lit(""))).alias("form"),
+        text(F.col("f.filingDate")).alias("filing_date"),
+        text(F.col("f.primaryDocument")).alias("primary_document"),
+        text(F.col("f.acceptanceDateTime")).alias("acceptance_datetime"),
+        submissions_url(F.col("cik")).alias("submissions_url"),
     )
 
 
