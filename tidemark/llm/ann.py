@@ -7,9 +7,12 @@ and a fast Hadamard transform, padded to a power of two); the nearest signed axi
 
 How many codes a query probes is measured, not set by size: `SAMPLE_QUERIES` rows are
 answered exactly in one pass over the vectors, and the probes are the fewest with which their
-true neighbours are found with a share of `TARGET`. A query that finds fewer than `k`
-candidates, because there are few vectors or all lie far off, is answered by an exact pass
-over all vectors with such queries in blocks.
+true neighbours are found with a share of `TARGET`. Where `MOST_PROBES` of the codes of
+`ROTATIONS` rotations find less than `LEAST` of them, as with unlike vectors of many dimensions,
+codes of fewer rotations are tried, which are coarser; `chosen` says what has been measured.
+Should none do, all queries are answered exactly: by passes over all vectors with the queries
+in blocks. So is a query that finds fewer than `k` candidates, because there are few vectors
+or all lie far off.
 
 Only ids travel with codes. Ids and queries meet by cell (table, hash of the code); what comes
 out are, for each query, the ids of its candidates, by the shard in which their vectors are.
@@ -29,6 +32,7 @@ columns are dropped.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +41,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shipped, stored, table
+from .shared import shared_dir, shipped, stored, table
 from .words import mix64
 
 K = 10
 TABLES, ROTATIONS = 32, 2
 #: Probes of a query in a table at most, and the share of true neighbours that they are to find.
-MOST_PROBES, TARGET = 4096, 0.96
+MOST_PROBES, TARGET, LEAST = 4096, 0.96, 0.9
 SAMPLE_QUERIES = 64
 #: Vectors of a shard, and of a cell's chunk; queries of a cell's chunk, and of a block of the exact pass.
 SHARD, CELL, QUERY_CELL, BLOCK = 20_000, 65_536, 4096, 1024
@@ -130,11 +134,14 @@ class CrossPolytope:
             a = np.concatenate([a, -a], 1).astype(np.float64)
             best = np.argsort(-a, axis=1, kind="stable")[:, :count]
             lost = (a[rows, best[:, :1]] - a[rows, best]) ** 2
-            m = best.shape[1]
-            short = (short[:, :, None] + lost[:, None, :]).reshape(len(x), -1)
+            # both are in order: the i-th with the j-th loses no less than the i * j pairs before it
+            most = [min(best.shape[1], count // (i + 1)) for i in range(short.shape[1])]
+            i = np.repeat(np.arange(len(most)), most)
+            j = np.concatenate([np.arange(m) for m in most])
+            short = short[:, i] + lost[:, j]
             keep = np.argpartition(short, count, axis=1)[:, :count] if short.shape[1] > count else np.arange(short.shape[1])[None].repeat(len(x), 0)
             keep = keep[rows, np.argsort(short[rows, keep], axis=1, kind="stable")]
-            codes = np.concatenate([codes[rows, keep // m], best[rows, keep % m][:, :, None]], 2)
+            codes = np.concatenate([codes[rows, i[keep]], best[rows, j[keep]][:, :, None]], 2)
             short = short[rows, keep]
         return codes
 
@@ -190,6 +197,15 @@ def exact(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> Data
     return base.mapInArrow(run, OUT)
 
 
+def exact_blocks(base: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """The same for any number of queries: a pass over all vectors for each block, written before the next; None without queries."""
+    path, mode = f"{shared_dir(base.sparkSession)}/ann-exact-{uuid.uuid4().hex}", "overwrite"
+    for block in query_blocks(asked):
+        merged(exact(base, *block, k), k).write.mode(mode).parquet(path)
+        mode = "append"
+    return None if mode == "overwrite" else base.sparkSession.read.parquet(path)
+
+
 def probes_for(base: DataFrame, hashing: CrossPolytope, k: int) -> tuple[int, float]:
     """The fewest probes that find a share TARGET of a sample's true neighbours, and the share that they find."""
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
@@ -208,6 +224,17 @@ def probes_for(base: DataFrame, hashing: CrossPolytope, k: int) -> tuple[int, fl
     return count, float((first < count).mean())
 
 
+def chosen(base: DataFrame, dimension: int, tables: int, greatest: float, k: int) -> tuple[CrossPolytope | None, int, float]:
+    """The hashing, its probes, and the share of a sample's true neighbours that they find; no hashing where none finds LEAST."""
+    share = 0.0
+    for rotations in range(ROTATIONS, 0, -1):
+        hashing = CrossPolytope(dimension, tables, rotations, greatest)
+        probes, share = probes_for(base, hashing, k)
+        if share >= LEAST:
+            return hashing, probes, share
+    return None, 0, share
+
+
 def nearest(df: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, cell: int = CELL, query_cell: int = QUERY_CELL) -> DataFrame:
     """For each row for which `queries` holds: query_id, rank, vec_id, score of its k nearest found."""
     spark = df.sparkSession
@@ -219,8 +246,10 @@ def nearest(df: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id
     asked = stored(usable(df.where(queries), id_col, vector_col).where(F.size("v") == sizes.d), "ann-queries")
     copy = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     base = stored(some.where(F.size("v") == sizes.d).distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "v").repartition(min(MOST_FILES, -(-sizes.n // FILE))), "ann-vectors")
-    hashing = CrossPolytope(sizes.d, tables, ROTATIONS, float(np.sqrt(sizes.m)))
-    probes, _ = probes_for(base, hashing, k)
+    hashing, probes, _ = chosen(base, sizes.d, tables, float(np.sqrt(sizes.m)), k)
+    if hashing is None:
+        found = exact_blocks(base, asked, k)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double") if found is None else found
     held = spark.sparkContext.broadcast(hashing)
     rows = base.count()
     shards, groups = max(1, -(-rows // SHARD)), max(LEAST_CELLS, -(-2 * rows // CELL))
@@ -313,9 +342,8 @@ def nearest(df: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id
     few = near.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
     short = asked.join(few, F.col("vec_id") == F.col("query_id"), "left_anti")
     out = near.join(few.select("query_id"), "query_id", "left_semi")
-    for block in query_blocks(short):
-        out = out.unionByName(exact(base, *block, k))
-    return merged(out, k)
+    rest = exact_blocks(base, short, k)
+    return merged(out if rest is None else out.unionByName(rest.select(*out.columns)), k)
 
 
 def query_blocks(rows: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
