@@ -623,8 +623,8 @@ def test_rollup_of_lost_writes_and_compaction(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 10)]
     rollup.commit("empty", rows())
     rollup.compact()
-    rollup.commit("a/b", rows(("a", "en", "v", 1, 10)))
-    rollup.commit("more", rows(("a", "en", "v", 1, 1)))
+    assert rollup.commit("a/b", rows(("a", "en", "v", 1, 10))) is False
+    assert rollup.commit("more", rows(("a", "en", "v", 1, 1))) is True
     rollup.compact()
     assert [tuple(r) for r in token_counts.Rollup(spark, str(tmp_path / "r")).totals().collect()] == [("a", "en", "v", 2, 11)]
 
@@ -643,6 +643,24 @@ def test_token_counts(spark, odd_docs, no_docs):
     assert token_counts.with_token_counts(no_docs).count() == 0
 
 
+def test_token_counts_of_long_runs(spark, monkeypatch):
+    """Runs of a million, and shorter ones counted both ways."""
+    path = token_counts.Path(token_counts.TOKENIZER)
+    encoder = token_counts._encoder(path.stem, path.read_bytes())
+    shapes = ["x" + " " * 300 + "y", " " * 250, "a\n" + "\n " * 130 + "b c", "\u00a0" * 220 + "!", "a" + " " * 201, " " * 400 + "q" + "\t" * 300 + "r s", "", "ab cd"]
+    whole = [len(encoder.encode_ordinary(t)) for t in shapes]
+    monkeypatch.setattr(token_counts, "LONG_BLANKS", 200)
+    monkeypatch.setattr(token_counts, "_BLANK_RUN", re.compile(r"\s{200,}"))
+    assert [token_counts.n_tokens(encoder, t) for t in shapes] == whole
+    monkeypatch.undo()
+    n = 1_000_000
+    texts = [" " * n + "a", "a" * n, "!" * n, "\n" * n + "b", "ab " * (n // 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_tokens for r in token_counts.with_token_counts(df).collect()}
+    assert got[0] == len(encoder._encode_single_piece(" " * (n - 1))) + len(encoder.encode_ordinary(" a"))
+    assert all(got[i] == len(encoder.encode_ordinary(texts[i])) for i in (1, 2, 4)) and got[3] > 0
+
+
 def test_token_counts_query(spark):
     import base64
 

@@ -7,11 +7,13 @@ then names that folder in the manifest, a small file that is replaced as a whole
 nothing has changed, so a writer lost half-way leaves the totals as they were; committing a
 batch id again replaces its sums. Totals are the sums over the folders named; groups left
 without documents or tokens go. `compact` folds the open batches into one folder; their ids
-are closed then, and committing one again changes nothing. There is one writer at a time.
+are closed then: committing one again changes nothing, and says so. There is one writer at a
+time.
 
 Defined cases: a null source or language is a group of its own; a null text has no tokens;
 a document inserted twice counts twice, so callers give each change once per batch id; an
-empty batch commits nothing; extra columns of a batch are ignored; any text is a batch id.
+empty batch commits nothing; extra columns of a batch are ignored; any text is a batch id; a
+text of any length counts, also runs of blanks, letters or marks as long as it.
 In the query a text's copies are withdrawn but for that of the least doc_id, those without an
 id only if another has one.
 """
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_TOKENIZER_BYTES = 64 << 20
 # fixed value: how this tokenizer cuts a text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of white space in a row beyond which a run is counted by itself.
+LONG_BLANKS = 20_000
+_BLANK_RUN = regex.compile(rf"\p{{White_Space}}{{{LONG_BLANKS},}}+")
 GROUP = ("source", "lang", "tokenizer_version")
 BATCHES = 4
 #: What a revision takes out of texts: marks repeated.
@@ -53,6 +59,22 @@ def _encoder(name: str, file: bytes):
     return _encoders[name]
 
 
+def n_tokens(encoder, text: str) -> int:
+    """The number of tokens of a text.
+
+    The pattern's look-ahead ends the process on a run of white space that is much longer than
+    `LONG_BLANKS`. Such a run is one piece, but for its last character where a word follows, so
+    it is merged by itself, which gives the same tokens.
+    """
+    count = at = 0
+    if len(text) > LONG_BLANKS:
+        for run in _BLANK_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            count += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+            at = end
+    return count + len(encoder.encode_ordinary(text[at:]))
+
+
 def with_token_counts(docs: DataFrame, column: str = "text", *, tokenizer: str = TOKENIZER) -> DataFrame:
     """docs with n_tokens in place of the text column."""
     shipped(docs.sparkSession)
@@ -64,10 +86,10 @@ def with_token_counts(docs: DataFrame, column: str = "text", *, tokenizer: str =
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "n_tokens bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(*held.value).encode_ordinary
+        encoder = _encoder(*held.value)
         for batch in batches:
             names = batch.schema.names
-            counts = [len(encode(t)) if (t := x.as_py()) else 0 for x in batch.column(names.index(column))]
+            counts = [n_tokens(encoder, t) if (t := x.as_py()) else 0 for x in batch.column(names.index(column))]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(f.name)) for f in rest], pa.array(counts, pa.int64())], [*[f.name for f in rest], "n_tokens"])
 
     return docs.mapInArrow(run, schema)
@@ -116,13 +138,14 @@ class Rollup:
         sums.write.parquet(f"{self.path}/{name}")
         return name
 
-    def commit(self, batch_id: str, changes: DataFrame) -> None:
-        """Write the batch's sums by group; the same batch_id again replaces them."""
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Write the batch's sums by group; the same batch_id again replaces them. False, and nothing changed, where compaction has closed that id."""
         if batch_id in self.manifest()["closed"]:
-            return
+            return False
         name = self._written(changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
         now = self.manifest()
         self._swap(now | {"open": now["open"] | {batch_id: name}})
+        return True
 
     def _sums(self) -> DataFrame:
         now = self.manifest()
