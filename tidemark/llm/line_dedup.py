@@ -28,6 +28,8 @@ one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ LONG, SHORT, MANY = 8, 3, 10
 #: Recurring units that are broadcast at most.
 BROADCAST_UNITS = 1_000_000
 SENTENCE_END = r"(?<=[.!?])\x20+"
-#: A piece ends with a word that ends in one of these letters, or after 12 words; up to MOST_PIECES with PASSAGE characters together are the least that recurs.
-PASSAGE, MOST_PIECES = 60, 4
+#: A piece ends with a word that ends in one of these letters, or after 12 words; pieces in a row with PASSAGE characters together are the least that recurs. FEW_PIECES mostly do.
+PASSAGE, FEW_PIECES = 60, 4
 PIECE = r"(?s)\s*+(?:\S++\s++){0,11}?\S*[nrsNRS][.,;:!?\"')]*+\s++|\s*+(?:\S++\s++){12}|.+"
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 QUARTER = [f"q{k}" for k in range(QUARTERS)]
@@ -69,7 +71,8 @@ def _cut(line: Column) -> Column:
 
 def parsed_units(docs: DataFrame) -> DataFrame:
     """A row per line, and per sentence of a line with several, of enough tokens: __doc, __text, pos, at, n, unit; leaf and quarters of long lines."""
-    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("cut", _cut(F.col("raw")))
+    # the key in a projection of its own: beside an explode it would hash the text for every line
+    lines = docs.select(*row_key(), F.split("text", "\n").alias("lines")).select("__doc", "__text", F.posexplode("lines").alias("pos", "raw")).withColumn("cut", _cut(F.col("raw")))
     # the line itself stands first, its sentences follow
     rows = lines.select("__doc", "__text", "pos", F.posexplode(F.when(F.size("cut") > 1, F.concat(F.array("raw"), "cut")).otherwise(F.array("raw"))).alias("at", "raw"))
     # on the text, since a filter on tokens would have them made twice
@@ -116,30 +119,49 @@ def recurring(units: DataFrame) -> DataFrame:
     return same.unionByName(alike).groupBy("unit", "n").agg(F.min("keeper").alias("keeper")).unionByName(short.select("unit", "n", "keeper"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once for a row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def without(items: Column, touched: Column, instead: Callable[[Column, Column], Column]) -> Column:
+    """An array of arrays: the items between those that are touched, and what is `instead` (items, t) of each that is.
+
+    touched is an array in order of `pos`, the place of an item from 0. Each item is copied once.
+    """
+    ahead = lambda i: F.when(i > 0, F.get(touched, i - 1)["pos"] + 1).otherwise(0)
+    parts = F.transform(touched, lambda t, i: F.concat(F.slice(items, ahead(i) + 1, t["pos"] - ahead(i)), instead(items, t)))
+    end = F.element_at(touched, -1)["pos"] + 1
+    return F.concat(parts, F.array(F.slice(items, end + 1, F.size(items) - end)))
+
+
+def left_of(lines: Column, t: Column) -> Column:
+    """The touched line without its dropped sentences, as an array of one; of none where it goes as a whole, or nothing is left."""
+
+    def rest(cut: Column) -> Column:
+        places = F.transform(t["at"], lambda a: F.struct((a - 1).alias("pos")))
+        kept = F.flatten(without(cut, places, lambda *_: F.slice(cut, 1, 0)))
+        return F.when(F.size(kept) > 0, F.array(F.array_join(kept, " "))).otherwise(F.slice(lines, 1, 0))
+
+    # the line itself is at 0, its sentences from 1 on
+    return F.when(t["at"][0] == 0, F.slice(lines, 1, 0)).otherwise(let(_cut(F.get(lines, t["pos"])), rest))
+
+
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """docs with the recurring lines and sentences dropped, and n_lines and n_dropped (of both) beside their columns."""
     units = stored(parsed_units(docs), "lines")
     out = stored(recurring(units), "line-recurring")
     few = F.broadcast(out) if out.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS else out
     places = units.select("__doc", "__text", F.struct("pos", "at").alias("place"), "unit", "n").join(few, ["unit", "n"]).where(F.col("__doc") != F.col("keeper"))
-    drops = places.groupBy("__doc", "__text").agg(F.collect_set("place").alias("__drop"))
+    # a row's dropped places, by line: each list in order
+    at = places.groupBy("__doc", "__text", "place.pos").agg(F.array_sort(F.collect_set("place.at")).alias("at"))
+    drops = at.groupBy("__doc", "__text").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("__drop"))
     keyed = docs.select("*", *row_key()).join(drops, ["__doc", "__text"], "left")
-    gone = F.coalesce("__drop", F.array().cast("array<struct<pos:int,at:int>>"))
-    parts = F.split("text", "\n")
-    # a line with its sentences, cut once and then looked at by place
-    lines = F.transform(parts, lambda line: F.struct(line.alias("line"), _cut(line).alias("cut")))
-    # the line itself is at 0, its sentences from 1 on
-    place = lambda i, at: F.struct(i.alias("pos"), at.alias("at"))
-
-    def kept(x: Column, i: Column) -> Column:
-        """The line without its dropped sentences; null if nothing is left."""
-        some = F.filter(x["cut"], lambda _, j: ~F.array_contains(gone, place(i, j + 1)))
-        left = F.when(F.size(some) == F.size(x["cut"]), x["line"]).when(F.size(some) > 0, F.array_join(some, " "))
-        return F.when(~F.array_contains(gone, place(i, F.lit(0))), F.when(F.size(x["cut"]) == 1, x["line"]).otherwise(left))
-
-    text = F.when(F.size(gone) > 0, F.array_join(F.filter(F.transform(lines, kept), lambda x: x.isNotNull()), "\n")).otherwise(F.col("text"))
+    some = F.col("__drop").isNotNull()
+    text = F.when(some, let(F.split("text", "\n"), lambda lines: F.array_join(F.flatten(without(lines, F.col("__drop"), left_of)), "\n"))).otherwise(F.col("text"))
+    gone = F.aggregate(F.transform("__drop", lambda d: F.size(d["at"])), F.lit(0), lambda s, n: s + n)
     names = {c.lower(): c for c in docs.columns}
-    made = keyed.withColumn("__new", text).withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("__gone", F.size(gone).cast("long"))
+    made = keyed.withColumn("__new", text).withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")).withColumn("__gone", F.coalesce(gone, F.lit(0)).cast("long"))
     columns = []
     for c in docs.columns:
         if c == names.get("text"):
@@ -151,23 +173,26 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     return made.select(*columns, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_dropped"))
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value computed once for a row however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def pieces(text: Column) -> Column:
     """text and a blank, cut after the words that end in one of a few letters; end to end the pieces are both."""
     return F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(PIECE), F.lit(0))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(__doc, __text, at, n, key): from each piece the fewest pieces, `MOST_PIECES` at most, with `PASSAGE` characters."""
+    """(__doc, __text, at, n, key): from each piece the fewest pieces with `PASSAGE` characters."""
 
     def keys(q: Column) -> Column:
+        def long_window(i: Column) -> Column:
+            """Of many short pieces, which are taken in one by one; each has a character at least."""
+            nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("h"))
+            more = lambda s, y: F.when(s["n"] >= PASSAGE, s).otherwise(F.struct((s["n"] + y["n"]).alias("n"), (s["k"] + 1).alias("k"), F.xxhash64(s["h"], y["h"]).alias("h")))
+            s = F.aggregate(F.slice(q, i + 1, PASSAGE), nothing, more)
+            return let(s, lambda s: F.when(s["n"] >= PASSAGE, F.struct(i.alias("at"), s["k"].alias("n"), s["h"].alias("key"))))
+
         def window(x: Column, i: Column) -> Column:
-            some, found = [x] + [F.get(q, i + k) for k in range(1, MOST_PIECES)], F.lit(None)
-            for k in range(MOST_PIECES, 0, -1):
+            some = [x] + [F.get(q, i + k) for k in range(1, FEW_PIECES)]
+            found = F.when(i + FEW_PIECES < F.size(q), long_window(i))
+            for k in range(FEW_PIECES, 0, -1):
                 key = F.xxhash64(*[y["h"] for y in some[:k]])
                 enough = sum((y["n"] for y in some[1:k]), x["n"]) >= PASSAGE
                 found = F.when(enough, F.struct(i.alias("at"), F.lit(k).alias("n"), key.alias("key"))).otherwise(found)
@@ -178,7 +203,7 @@ def windows(docs: DataFrame) -> DataFrame:
     # neither change moves a cut
     plain = F.lower(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     hashed = F.transform(pieces(plain), lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(F.ltrim(x)).alias("h")))
-    rows = docs.where("text is not null").select(*row_key(), F.explode(let(hashed, keys)).alias("w"))
+    rows = docs.where("text is not null").select(*row_key(), let(hashed, keys).alias("all")).select("__doc", "__text", F.explode("all").alias("w"))
     return rows.select("__doc", "__text", "w.at", "w.n", "w.key")
 
 
