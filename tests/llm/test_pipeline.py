@@ -1,6 +1,7 @@
 """The pipeline's stages on odd inputs, and its decisions against brute force on a small table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -17,6 +18,30 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, no_docs):
             assert name == "mixing" or len(out.columns) == 5
 
 
+CLASH = ("quality_score", "n_lines", "n_dropped", "n_words", "spans", "items", "size", "source_size", "target", "taken", "key", "keep", "a.b", "c0", "Rest_of_Row")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_columns_beyond_those_of_documents_go_through(spark, name):
+    """Whatever their names; only the mix's own four take the place of others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs
+    for i, c in enumerate(CLASH):
+        wide = wide.withColumn(c, F.concat(F.lit(f"{i}:"), F.col("doc_id")) if i % 2 else F.col("doc_id") * 100 + i)
+    stage = dict(pipeline.STAGES)[name]
+    out = stage(spark, wide, SF)
+    kept = [c for c in CLASH if name != "mixing" or c not in pipeline.MIXED]
+    assert out.columns == [*docs.columns, *kept, *(pipeline.MIXED if name == "mixing" else ())]
+    rows = out.collect()
+    assert rows and sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, SF).select("doc_id").collect())
+    for r in rows:
+        for i, c in enumerate(CLASH):
+            if c in kept:
+                assert r[c] == (f"{i}:{r.doc_id}" if i % 2 else r.doc_id * 100 + i)
+    if name == "mixing":
+        assert all(0 < r.taken <= 2 * r.size for r in rows)
+
+
 def test_run(spark):
     from tests.llm.test_operators import brute_components, brute_hits
 
