@@ -727,6 +727,25 @@ def test_targets_of_many_sources(spark):
     assert len(got) == 501 and all(got[s] == pytest.approx(wanted[s], abs=1e-6) for s in size)
 
 
+def test_quality_weights_follow_the_classifier(spark):
+    """What the rule weighs less the trained classifier scores less, and they agree on most documents."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", mixing.n_words(F.col("text")))
+    weight = docs.select("doc_id", mixing.quality_weight(F.col("text"), F.col("size")).alias("w"))
+    rows = weight.join(quality.op3_quality(spark, sf), "doc_id").collect()
+    by_weight = {w: [r.score for r in rows if r.w == w] for w in (1.0, 2.0, 4.0)}
+    means = [np.mean(v) for v in by_weight.values()]
+    assert all(by_weight.values()) and means[0] < 0.5 and means[1] < 0.5 and means[2] > 0.7
+    assert np.mean([(r.w == 4) == (r.score >= 0.7) for r in rows]) >= 0.9
+
+
+def test_quality_weights(spark):
+    texts = ["plain words of some kind", "LOUD WORDS HERE", "a|b c!! d&& e%", "THE!! A!! AS!!", "x" * 40, "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.w for r in df.select(mixing.quality_weight(F.col("text"), mixing.n_words(F.col("text"))).alias("w")).collect()]
+    assert got == [4.0, 2.0, 2.0, 1.0, 2.0, 2.0, 2.0]
+
+
 def test_mixing_odd(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs, keep=("key", "text")).collect()
     assert len(got) == odd_docs.count() and all(r.taken <= 2 * r.size and r.key == "z" for r in got)

@@ -34,16 +34,24 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: Hex digits of the md5 that make a key's uniform number: 52 bits, exact in a double.
 DIGITS = 13
+CAPITALS, MARKS = "[A-Z]{2,}", "[!#$%&*|]+"
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(size: Column, n_chars: Column) -> Column:
-    """2 for text of ordinary word length (3 to 10 characters a word, blanks included), else 1."""
-    mean = n_chars / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3, 10), F.lit(2.0)).otherwise(F.lit(1.0))
+def quality_weight(text: Column, size: Column) -> Column:
+    """4 for ordinary text, halved for each fault, 1 at least.
+
+    Faults are what the quality classifier's features tell apart most: words of another length
+    than 3 to 10 characters (blanks included), shouting (more runs of capitals than half the
+    words), and marks (more runs of them than three for ten words).
+    """
+    count = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    mean = F.coalesce(F.length(text), F.lit(0)) / F.greatest(size, F.lit(1))
+    faults = (~mean.between(3, 10)).cast("int") + (2 * count(CAPITALS) > size).cast("int") + (10 * count(MARKS) > 3 * size).cast("int")
+    return F.when(faults == 0, F.lit(4.0)).when(faults == 1, F.lit(2.0)).otherwise(F.lit(1.0))
 
 
 def sampling_key(doc_id: Column, weight: Column) -> Column:
@@ -99,10 +107,8 @@ def mix(
 ) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, and the columns in `keep`."""
     extra = [F.col(c).alias(f"__{c}") for c in keep]
-    sized = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), *extra
-    )
-    rows = sized.withColumn("key", sampling_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("chars")))).drop("chars")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.col("text").alias("__of"), *extra)
+    rows = sized.withColumn("key", sampling_key(F.col("doc_id"), quality_weight(F.col("__of"), F.col("size")))).drop("__of")
     rows = stored(rows, "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = stored(source_targets(totals, weights, share, max_epochs), "mix-targets")
@@ -136,12 +142,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Z]{2,}')) AS capitals, len(regexp_extract_all(coalesce(text, ''), '[!#$%&*|]+')) AS marks FROM documents
+), f AS (
+  SELECT *, (chars / greatest(size, 1) NOT BETWEEN 3 AND 10)::INT + (2 * capitals > size)::INT + (10 * marks > 3 * size)::INT AS faults FROM d
 ), k AS (
   SELECT doc_id, source, size,
     -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370496.0)
-      / (CASE WHEN chars / greatest(size, 1) BETWEEN 3 AND 10 THEN 2.0 ELSE 1.0 END) AS key
-  FROM d
+      / (CASE faults WHEN 0 THEN 4.0 WHEN 1 THEN 2.0 ELSE 1.0 END) AS key
+  FROM f
 ), t AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), r AS (
