@@ -299,6 +299,29 @@ def test_quality_features_against_plain_python():
         assert row == pytest.approx(wanted)
 
 
+def test_quality_weights_against_another_optimiser():
+    """The same pairs by plain gradient descent; the threshold against all thresholds; scores from both."""
+    rng = np.random.default_rng(11)
+    n = 300
+    good = rng.random(n) < 0.7
+    x = rng.normal(size=(n, quality.FEATURES)) * rng.uniform(0.5, 3, quality.FEATURES) + good[:, None] * rng.normal(size=quality.FEATURES) * 0.6
+    model = quality.BradleyTerry(x, good)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    win, lose = np.flatnonzero(good), np.flatnonzero(~good)
+    bad = np.repeat(lose, quality.PAIRS)
+    d = z[win[np.random.default_rng(5).integers(0, len(win), len(bad))]] - z[bad]
+    w = np.zeros(quality.FEATURES)
+    step = 1 / (0.25 * np.linalg.eigvalsh(d.T @ d / len(d)).max() + quality.RIDGE)
+    for _ in range(20_000):
+        w -= step * (quality.RIDGE * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    assert np.allclose(model.weights, w, atol=1e-4)
+    strength = z @ w
+    wrong = lambda cut: (strength[good] < cut).mean() + (strength[~good] >= cut).mean()
+    assert wrong(model.cut) <= min(wrong(c) for c in np.quantile(strength, np.linspace(0, 1, 1001))) + 0.02
+    shift = math.log(quality.THRESHOLD / (1 - quality.THRESHOLD))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-(4 * (strength - model.cut) / strength.std() + shift))), atol=1e-3)
+
+
 def test_quality_holds_out(spark):
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.op3_quality(spark, "/root/testdata/sf0.01").join(lab, "doc_id").where("held_out").collect()
