@@ -123,3 +123,35 @@ def test_sealed_indexes(spark, tmp_path, monkeypatch):
     assert [s for s, _ in numbers(log)] == list(range(1, 71)) and log.latest() == 70
     assert [r.sequence for r in log.read(15, 30).collect()] == list(range(15, 45))
     assert {str(r.day): r.latest for r in log.latest_by_journal().collect()} == {"2024-02-01": 70, "2024-02-02": 50, "2024-02-03": 60}
+
+
+@pytest.mark.parametrize("store", [event_log.EventLog, event_log.JournalLog])
+def test_compaction(spark, tmp_path, monkeypatch, store):
+    path = str(tmp_path / "log")
+    log, other = store(spark, path), store(spark, path)
+    assert not log.compact()
+    for n in range(4):
+        log.append(events(spark, n * 10, n * 10 + 10), "id", now=now(1), token=f"run:{n}")
+    before, files = numbers(log), len(log.files())
+    write = log.write
+    with monkeypatch.context() as m:  # an append comes between
+        m.setattr(log, "write", lambda records, folder: (write(records, folder), other.append(events(spark, 40, 45), "id", now=now(5))))
+        assert log.compact()
+    assert numbers(log)[:40] == before and [s for s, _ in numbers(log)] == list(range(1, 46))
+    assert len(log.entries(log.manifest.read().content)) == 2 and len(log.files(1, 40)) < files
+    assert [r.sequence for r in log.read(8, 5).collect()] == [8, 9, 10, 11, 12] and log.latest() == 45
+    # what was appended once stays so, and what was replaced goes when it is old
+    assert log.append(events(spark, 30, 40), "id", now=now(4), token="run:3").count() == 10 and log.latest() == 45
+    assert log.vacuum() == 0 and log.vacuum(0) == 4 and log.vacuum(0) == 0
+    assert [s for s, _ in numbers(log)] == list(range(1, 46)) and len([n for n in storage.names(spark, path) if n.startswith("append=")]) == 2
+
+
+def test_compaction_that_another_has_overtaken(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    log, other = event_log.EventLog(spark, path), event_log.EventLog(spark, path)
+    for n in range(2):
+        log.append(events(spark, n * 10, n * 10 + 10), "id", now=now())
+    write, raced = log.write, []
+    monkeypatch.setattr(log, "write", lambda records, folder: (write(records, folder), raced.append(other.compact())))
+    assert not log.compact() and raced == [True]
+    assert len(numbers(log)) == 20 and len(log.entries(log.manifest.read().content)) == 1

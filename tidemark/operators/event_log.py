@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from urllib.parse import unquote
 
@@ -105,10 +106,11 @@ class Store:
     are dense and unique. An append with a `token` (a run and its batch) happens once: later
     batches of a run make earlier ones known, and a repeated one gives back the records that it
     made. When the manifest names `SEAL` files, all but their bounds move to an index file that
-    isn't rewritten.
+    isn't rewritten. `compact` makes few files of many appends; what it replaces stays for those
+    who read it until `vacuum`.
     """
 
-    SEAL = 2048
+    SEAL, FILE_ROWS = 2048, 1_000_000
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -217,9 +219,42 @@ class Store:
         storage.delete(self.spark, f"{self.path}/{entry['name']}")
         return self.described(name)
 
+    def compact(self) -> bool:
+        """Writes the appends that the manifest names one by one anew, in files of FILE_ROWS records by sequence.
+
+        Appends that are committed meanwhile stay as they are. False where there is nothing to do,
+        or another has compacted or sealed them meanwhile.
+        """
+        view = self.manifest.read()
+        mine = view.content.get("open", [])
+        if len(mine) < 2:
+            return False
+        rows = mine[-1]["last"] - mine[0]["first"] + 1
+        name = f"append={uuid.uuid4().hex}"
+        self.write(self.load([f"{self.path}/{e['name']}" for e in mine]).repartitionByRange(-(-rows // self.FILE_ROWS), "sequence").sortWithinPartitions("sequence"), f"{self.path}/{name}")
+        entry = {k: v for k, v in self.described(name).items() if k != "days"}
+        while view.content.get("open", [])[: len(mine)] == mine:
+            gone = [[e["name"], time.time()] for e in mine]
+            said = {**view.content, "open": [entry, *view.content["open"][len(mine) :]], "gone": [*view.content.get("gone", []), *gone]}
+            if self.manifest.commit(view, said):
+                return True
+            view = self.manifest.read()
+        storage.delete(self.spark, f"{self.path}/{name}")
+        return False
+
+    def vacuum(self, seconds: float = 24 * 3600) -> int:
+        """Deletes what compaction has replaced so long ago; how many folders."""
+        view = self.manifest.read()
+        old = [n for n, at in view.content.get("gone", []) if at <= time.time() - seconds]
+        if old and not self.manifest.commit(view, {**view.content, "gone": [g for g in view.content["gone"] if g[0] not in old]}):
+            return 0
+        for name in old:
+            storage.delete(self.spark, f"{self.path}/{name}")
+        return len(old)
+
     def extended(self, content: dict, entry: dict, token: str | None) -> dict:
         """The manifest with one more append."""
-        out = {"last": entry["last"], "sealed": content.get("sealed", []), "open": [*content.get("open", []), {k: entry[k] for k in ("name", "first", "last", "files")}], "days": dict(content.get("days", {})), "runs": dict(content.get("runs", {}))}
+        out = {**content, "last": entry["last"], "sealed": content.get("sealed", []), "open": [*content.get("open", []), {k: entry[k] for k in ("name", "first", "last", "files")}], "days": dict(content.get("days", {})), "runs": dict(content.get("runs", {}))}
         for day, last in entry["days"].items():
             out["days"][day] = max(out["days"].get(day, 0), last)
         if token:
