@@ -464,6 +464,36 @@ def test_language_model(spark, odd_docs, no_docs):
     assert lm.score_documents(no_docs.select("doc_id", "text", F.lit(False).alias("held"))).count() == 0
 
 
+def test_language_model_of_one_row_many_times(spark, monkeypatch):
+    """Copies of a row are one row of a block, count as often as they stand, and all come back."""
+    monkeypatch.setattr(lm, "COPIES", 7)
+    texts = {i: f"alpha beta w{i % 9} gamma w{i % 4} w{i % 3}" for i in range(40)}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    held[3], held[4] = False, True
+    times = {3: 500, 4: 300, 5: 2}
+    rows = [(i, t, held[i]) for i, t in texts.items() for _ in range(times.get(i, 1))] + [(None, None, False)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(5)
+    block_bytes = 4_000
+    rows_of, _, repeated = lm.folded(docs, block_bytes)
+    assert repeated and {(r.doc_id, r.copies) for r in rows_of.where("copies > 1").collect()} == {(3, 500), (4, 300), (None, 200)}
+    # each row by itself, under ids of its own, is what the brute-force model learns from
+    wanted = brute_lm({j: t for j, (_, t, _) in enumerate(rows)}, {j: h for j, (_, _, h) in enumerate(rows)})
+    of = {i: wanted[j] for j, (i, _, _) in enumerate(rows)}
+    got = lm.score_documents(docs, block_bytes=block_bytes, bucket_grams=50).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _, _ in rows)
+    for r in got:
+        n, known, total, base, score = of[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) <= 0.001 * n
+
+
+def test_counts_of_any_size_are_packed():
+    for counts in ([], [0, 5, 70_000], [1, 2**32 - 1], [3, 2**32, 2**45]):
+        data = lm._packed(np.array(counts, np.int64))
+        back, used = lm._unpacked(memoryview(data + b"more"))
+        assert back.tolist() == counts and used == len(data)
+
+
 # 6 personal data
 
 PATTERNS = [

@@ -20,7 +20,9 @@ works on the coded levels, by select on their high bits.
 
 What crosses the network grows with the corpus: its words once by block, and some four
 bytes for each distinct n-gram of a block. A frequent word or n-gram is one entry per block,
-so no key is hot. There is a row for each block and bucket that share an n-gram, each of some
+so no key is hot. Nor is a row that repeats: where the copies of one (doc_id, text) would fill
+a quarter of a block, they are one row that counts as often as it stands, scored once, and its
+score is repeated from a written table by parts of `COPIES` rows. There is a row for each block and bucket that share an n-gram, each of some
 hundred bytes beside what it holds: at 30 GB it holds some 400 n-grams, at 1 TB about ten,
 from where on blocks should be larger. Hashes of n-grams above order 1 have log2(tokens) + 18
 bits.
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, shipped, table
+from .shared import fold, shipped, stored, table
 from .words import BLANKS, blocks, mix64
 
 ORDER = 3
@@ -52,6 +54,9 @@ BUCKET_GRAMS = 2_000_000
 #: Quantised log10 probabilities: steps of 1/2048 from 0 down to -31.99.
 QUANTUM, FLOOR = 2048.0, 65535
 EXTRA_BITS = 18
+#: What a row weighs beside its text, in bytes; copies of a row that one task gives at a time.
+ROW_BYTES = 64
+COPIES = 1 << 16
 _END = np.uint64(0xD1B54A32D192ED03)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -181,25 +186,30 @@ class EliasFano:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    raw = counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Counts as planes of bytes, of eight bytes a count where one needs more than four."""
+    kind = np.uint64 if len(counts) and counts.max() >= 1 << 32 else np.uint32
+    raw = counts.astype(kind).view(np.uint8).reshape(len(counts), -1 if len(counts) else 4).T.tobytes()
     small = pa.compress(raw, codec="zstd", asbytes=True)
-    return np.array([len(counts), len(small)], np.int64).tobytes() + small
+    return np.array([len(counts), len(small) * 2 + (kind is np.uint64)], np.int64).tobytes() + small
 
 
 def _unpacked(data: memoryview) -> tuple[np.ndarray, int]:
     n, size = np.frombuffer(data[:16], np.int64).tolist()
-    raw = pa.decompress(bytes(data[16 : 16 + size]), decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.uint32).ravel(), 16 + size
+    kind, size = (np.uint64, size >> 1) if size & 1 else (np.uint32, size >> 1)
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(bytes(data[16 : 16 + size]), decompressed_size=width * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel(), 16 + size
 
 
 class Tokens:
     """The tokens of a block's texts end to end, an end token after each, and its n-grams by order.
 
     Of each order: the sorted distinct hashes (`keys`), each position's place among them (`ids`, -1 where a
-    text has too few tokens before), a position of each (`at`), and their counts in training texts (`counts`).
+    text has too few tokens before), a position of each (`at`), and their counts (`counts`), where a text
+    counts as often as `times` says.
     """
 
-    def __init__(self, texts: pa.Array, held: np.ndarray, bits: int, order: int = ORDER):
+    def __init__(self, texts: pa.Array, times: np.ndarray, bits: int, order: int = ORDER):
         hashes, sizes = [], []
         for block in blocks(texts):
             starts, ends, offsets = block.words(BLANKS)
@@ -213,7 +223,7 @@ class Tokens:
         n = len(self.words)
         first = np.cumsum(self.sizes) - self.sizes
         depth = np.arange(n) - np.repeat(first, self.sizes)
-        train = np.repeat(~held, self.sizes)
+        train = np.repeat(times, self.sizes)
         self.levels = []
         gram = self.words
         for k in range(1, order + 1):
@@ -243,7 +253,8 @@ def listed(bits: int, buckets: int):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        tokens = Tokens(group.column("text"), group.column("held").to_numpy(zero_copy_only=False), bits)
+        held = group.column("held").to_numpy(zero_copy_only=False)
+        tokens = Tokens(group.column("text"), np.where(held, 0, group.column("copies").to_numpy()), bits)
         placed = [_bucket_of(keys, _bits(k, bits), buckets) for k, (keys, *_) in enumerate(tokens.levels)]
         filled = np.unique(np.concatenate(placed))
         cuts = [(np.searchsorted(p, filled), np.searchsorted(p, filled, "right")) for p in placed]
@@ -389,8 +400,7 @@ def block_scores(tokens: Tokens, totals: list[np.ndarray], n_train: int, n_words
 def scorer(bits: int, n_train: int, n_words: int):
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        held = docs.column("held").to_numpy(zero_copy_only=False)
-        tokens = Tokens(docs.column("text"), held, bits)
+        tokens = Tokens(docs.column("text"), np.zeros(docs.num_rows, np.int64), bits)
         rows = dict(zip(counted.column("bucket").to_pylist(), counted.column("totals").to_pylist(), strict=True))
         parts: list[list[np.ndarray]] = [[] for _ in tokens.levels]
         for b in sorted(rows):
@@ -412,6 +422,7 @@ def scorer(bits: int, n_train: int, n_words: int):
                 "train_tokens": pa.array(np.full(len(begins), n_train, np.int64)),
                 "base_score": pa.array(np.add.reduceat(base, begins)),
                 "score": pa.array(np.add.reduceat(log, begins)),
+                "copies": docs.column("copies"),
             }
         )
 
@@ -447,21 +458,51 @@ def training_size(docs: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def folded(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int, bool]:
+    """docs with copies, 1 but for rows that repeat so often that they are one; their bytes; whether there are such.
+
+    At most four of them have room in a block's bytes, and their keys are written, so that Spark
+    broadcasts them by their measured size or joins them by shuffle.
+    """
+    keyed = docs.select("doc_id", "text", "held", F.xxhash64("doc_id", "text").alias("key"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    keys = keyed.groupBy("key").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    hot = (F.col("n") > 1) & (4 * F.col("bytes") > block_bytes)
+    total, many = keys.agg(F.sum("bytes"), F.count_if(hot)).first()
+    if not many:
+        return keyed.withColumn("copies", F.lit(1).cast("long")), int(total or 0), False
+    hot_keys = stored(keys.where(hot).select("key"), "lm-copies")
+    once = keyed.join(hot_keys, "key", "left_anti").select("doc_id", "text", "held", "key", F.lit(1).cast("long").alias("copies"))
+    more = keyed.join(hot_keys, "key", "left_semi").groupBy("doc_id", "text", "held", "key").agg(F.count(F.lit(1)).alias("copies"))
+    return once.unionByName(more), int(total), True
+
+
+def unfolded(scores: DataFrame) -> DataFrame:
+    """A row for each copy: a repeated row's are dealt out in parts before they are made."""
+    held = stored(scores, "lm-scores")
+    columns = [c for c in held.columns if c != "copies"]
+    parts = held.where("copies > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("part"))
+    here = F.least(F.col("copies") - F.col("part"), F.lit(COPIES).cast("long"))
+    more = parts.repartition("doc_id", "part").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), here)).alias("copy"))
+    return held.where("copies = 1").select(*columns).unionByName(more.select(*columns))
+
+
 def score_documents(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """docs(doc_id, text, held) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     shipped(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_train, n_words = training_size(docs)
-    held_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, held_bytes, repeated = folded(docs, block_bytes)
     bits = min(64, max(40, n_train.bit_length() + EXTRA_BITS))
     count = max(1, -(-held_bytes // block_bytes))
     buckets = max(4, -(-(ORDER * n_train) // bucket_grams))
-    dealt = docs.select("doc_id", "text", "held", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"))
+    dealt = rows.select("doc_id", "text", "held", "copies", F.pmod("key", F.lit(count)).alias("block"))
     lists = dealt.groupBy("block").applyInArrow(listed(bits, buckets), "bucket int, block bigint, grams binary")
     totals = lists.groupBy("bucket").applyInArrow(summed, "block bigint, bucket int, totals binary")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scorer(bits, n_train, n_words), schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, copies bigint"
+    scores = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scorer(bits, n_train, n_words), schema)
+    return unfolded(scores) if repeated else scores.drop("copies")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
