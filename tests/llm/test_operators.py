@@ -651,6 +651,25 @@ def test_decontaminate(spark, odd_docs, no_docs):
     assert none.where(F.size("items") > 0).count() == 0 and none.count() == 60
 
 
+def test_decontaminate_items_longer_than_a_block(spark):
+    """Pieces of a long item share its windows; many blocks are stored on the way; nothing is lost or added."""
+    rng = random.Random(8)
+    long = " ".join(rng.choice(("ähm", "B2", "cc", "DD", "e")) for _ in range(300))
+    words_of = long.split()
+    for limit in (40, 200, 1_000, 10_000):
+        parts = [p.split() for p, _ in decontaminate.pieces(long, limit, 13)]
+        got = {tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)}
+        assert got == {tuple(words_of[i : i + 13]) for i in range(288)} and all(len(p) >= 13 for p in parts)
+    assert [p for p, _ in decontaminate.pieces("a b", 2, 13)] == ["a b"] and list(decontaminate.pieces("....", 2, 13)) == []
+    items = [(1, long), (2, "one two three"), (3, None), (4, "..." * 200), (5, " ".join(words_of[100:140]))]
+    texts = {i: " ".join([f"x{i}", *words_of[9 * i : 9 * i + rng.randint(5, 40)], "one two three"[: 13 if i % 2 else 7]]) for i in range(25)}
+    docs = spark.createDataFrame([*texts.items(), (99, long)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.find_hits(docs, bench, block_bytes=150).withColumn("hit", decontaminate.n_hit()))
+    for i, t in [*texts.items(), (99, long)]:
+        assert (got[i].n_words, got[i].hit, got[i]["items"]) == brute_hits(t, items)
+
+
 # 8 token counts
 
 

@@ -8,8 +8,12 @@ all benchmark windows are searched backward at once by its ranks. Rows of matchi
 walk back by LF steps to the next sampled suffix position, which gives the occurrences;
 overlapping ones merge into spans.
 
-The benchmark is a query set: it comes in blocks of at most `block_bytes`, each broadcast,
-and the documents pass the blocks one after the other, so neither side needs a join.
+The benchmark is a query set: it comes in blocks of at most `block_bytes` of UTF-8, each
+broadcast, and the documents pass the blocks one after the other, so neither side needs a
+join. An item longer than a block comes in pieces that share window - 1 words, so that each of
+its windows stands whole in one of them. After every `CHAIN` blocks the documents are written
+with what was found, which bounds the plan, the Python workers of a task and the live
+broadcasts, whatever the benchmark's size.
 
 Defined cases: null or wordless texts have 0 words and no hits; null or wordless items
 never occur; items of equal text all count; repeated document rows each get a row; an empty
@@ -19,6 +23,8 @@ columns are named `n_words`, `spans` (word numbers) and `items`; clashing ones a
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shipped, table
+from .shared import shipped, stored, table
 from .words import NON_ALNUM, blocks
 
 WINDOW = 13
@@ -35,6 +41,9 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 #: Every so many positions of the text, a suffix position is kept.
 SAMPLE = 8
+#: Blocks of items that follow one another in one plan.
+CHAIN = 4
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -155,19 +164,20 @@ class Phrases:
             h = block.hashes(starts, ends)
             hashes += [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        rows: dict[int, list[np.ndarray]] = {}
-        of: dict[int, list[int]] = {}
-        for item, h in enumerate(hashes):
-            symbols = np.searchsorted(self.vocabulary, h) + 2
-            size = min(window, len(symbols))
-            for i in range(len(symbols) - size + 1 if size else 0):
-                rows.setdefault(size, []).append(symbols[i : i + size])
-                of.setdefault(size, []).append(item)
+        symbols = np.searchsorted(self.vocabulary, np.concatenate(hashes)).astype(np.int32) + 2 if hashes else np.zeros(0, np.int32)
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        sizes = np.minimum(lengths, window)
         #: by window length: distinct windows; for each, where its items begin; the items
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, found in rows.items():
-            distinct, which = np.unique(np.array(found), axis=0, return_inverse=True)
-            pairs = np.unique(np.stack([which.ravel(), np.array(of[size])], 1), axis=0)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            of = np.flatnonzero(sizes == size)
+            many = lengths[of] - size + 1
+            item = np.repeat(of, many)
+            first = np.repeat(begin[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found = np.lib.stride_tricks.sliding_window_view(symbols, size)[first]
+            distinct, which = np.unique(found, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), item], 1), axis=0)
             begins = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
             self.windows[size] = (distinct, begins, pairs[:, 1])
 
@@ -221,21 +231,54 @@ class Phrases:
         return hit, [found[a:b, 1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], list[str]]]:
+def pieces(text: str, limit: int, window: int) -> Iterator[tuple[str, int]]:
+    """A text whole where its UTF-8 has at most `limit` bytes, else in parts of about so many that share window - 1 words; their bytes."""
+    size = len(text.encode())
+    if size <= limit:
+        yield text, size
+        return
+    held: list[str] = []
+    size, fresh = 0, False
+    for word in WORD.finditer(text):
+        held.append(word[0])
+        size += len(word[0].encode()) + 1
+        fresh = True
+        if size >= limit and len(held) >= window:
+            yield " ".join(held), size
+            held = held[len(held) - window + 1 :]
+            size, fresh = sum(len(w.encode()) + 1 for w in held), False
+    if fresh:
+        yield " ".join(held), size
+
+
+def item_blocks(benchmark: DataFrame, limit: int, window: int = WINDOW) -> Iterator[tuple[list[str], list[str]]]:
     """The items, in blocks of about `limit` bytes of text; the driver holds one block at a time."""
     ids: list[str] = []
     texts: list[str] = []
     held = 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
-        if held and held + len(row.t) > limit:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(row.i)
-        texts.append(row.t)
-        held += len(row.t)
+        for text, size in pieces(row.t, limit, window):
+            if held and held + size > limit:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(row.i)
+            texts.append(text)
+            held += size
     yield ids, texts
 
 
+_built: dict[tuple[str, int], Phrases] = {}
+
+
+def built(held, window: int) -> Phrases:
+    """The windows of a broadcast block, made once in each Python worker, which keeps one block's."""
+    ids, texts, name = held.value
+    if (name, window) not in _built:
+        _built.clear()
+        _built[name, window] = Phrases(ids, texts, window)
+    return _built[name, window]
+
+
 def _spans(hit: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of hit words by document: where each document's runs begin, their first word and the one after, by document."""
     padded = np.zeros(len(hit) + 2, bool)
@@ -259,8 +302,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bl
 
     def searched(held, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, texts = held.value
-            phrases = Phrases(ids, texts, window)
+            phrases = built(held, window)
+            ids = phrases.ids
             for batch in batches:
                 names = batch.schema.names
                 text = batch.column(names.index("text"))
@@ -288,8 +331,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bl
 
         return run
 
-    for k, block in enumerate(item_blocks(benchmark, block_bytes)):
-        out = out.mapInArrow(searched(spark.sparkContext.broadcast(block), k == 0), schema)
+    live = []
+    for k, (ids, texts) in enumerate(item_blocks(benchmark, block_bytes, window)):
+        if k and k % CHAIN == 0:
+            out = stored(out, "decontaminated")
+            for old in live:
+                old.destroy()
+            live = []
+        live.append(spark.sparkContext.broadcast((ids, texts, uuid.uuid4().hex)))
+        out = out.mapInArrow(searched(live[-1], k == 0), schema)
     return out
 
 
