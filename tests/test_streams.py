@@ -194,3 +194,23 @@ def test_stage_output_in_the_log(spark, tmp_path, monkeypatch, store):
     run("c")
     got = [(r.sequence, r.id) for r in log.records().orderBy("sequence").collect()]
     assert got == [(1, "begin"), (2, "a"), (3, "b"), (4, "c"), (5, "d")]
+
+
+def test_a_part_has_one_file_a_bucket(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("sequence"), F.col("id").cast("string").alias("identity"), F.lit(True).alias("good"))
+    rows.repartition(8).write.parquet(str(tmp_path / "src"))
+    stream = streams.source(spark, str(tmp_path / "src"), INPUT, 8)
+    streams.stage(stream, str(tmp_path / "out"), str(tmp_path / "c"), lambda df: df, "sequence").awaitTermination()
+    assert len(list((tmp_path / "out").glob("part=*/bucket=*/*.parquet"))) == streams.BUCKETS
+    assert streams.Outcomes(spark, str(tmp_path / "out")).rows().count() == 2000
+
+
+def test_rows_come_back_in_three_batches_however_many_files(spark, tmp_path):
+    from tidemark.plans import stream_queries
+
+    rows = spark.range(0, 300, 1, 30).select("id", (F.col("id") % 10).alias("k"))
+    a_batch = stream_queries._dealt(spark, rows, str(tmp_path / "src"), "k")
+    files = list((tmp_path / "src").glob("*.parquet"))
+    assert len(files) <= a_batch * stream_queries.BATCHES
+    keys = [r.k for f in files for r in spark.read.parquet(str(f)).select("k").distinct().collect()]
+    assert sorted(keys) == list(range(10))

@@ -15,14 +15,22 @@ from .log_queries import CARDS
 from .registry import query
 from .text_queries import ANALYSED, CAP, _analysed, _clean, _releases
 
-FILES = 3
+#: Micro-batches in which rows written at one time come back.
+BATCHES = 3
 
 
-def _stream(spark, rows):
-    """rows written as a few files and streamed back."""
+def _dealt(spark, rows, path, *key):
+    """rows appended as files, one for each core at least, so that a large table isn't written by a few tasks; gives the files of a batch. Rows of equal key share a file."""
+    files = max(BATCHES, spark.sparkContext.defaultParallelism)
+    rows.repartition(files, *key).write.mode("append").parquet(path)
+    return -(-files // BATCHES)
+
+
+def _stream(spark, rows, *key):
+    """rows written as files and streamed back, a third of them in a batch."""
     path = scratch(spark)
-    rows.repartition(FILES).write.parquet(path)
-    return streams.source(spark, path, rows.schema)
+    a_batch = _dealt(spark, rows, path, *key)
+    return streams.source(spark, path, rows.schema, a_batch)
 
 
 def _finished(spark, started, target, schema=None):
@@ -90,9 +98,9 @@ def _(spark, sf_dir):
     """Two rounds; half of the log comes after the first."""
     rows = b.log(spark, sf_dir)
     path, target, checkpoint = scratch(spark), scratch(spark), scratch(spark)
-    half = lambda k: rows.where(F.col("sequence") % 2 == k).write.mode("append").parquet(path)
-    half(0)
-    streams.rounds(lambda: streams.stage(streams.source(spark, path, rows.schema), target, checkpoint, lambda df: df, "sequence"), 2, lambda n: half(1))
+    half = lambda k: _dealt(spark, rows.where(F.col("sequence") % 2 == k), path)
+    a_batch = half(0)
+    streams.rounds(lambda: streams.stage(streams.source(spark, path, rows.schema, a_batch), target, checkpoint, lambda df: df, "sequence"), 2, lambda n: half(1))
     return streams.Outcomes(spark, target).rows().select("sequence", "id")
 
 
@@ -121,7 +129,7 @@ def _(spark, sf_dir):
         return signals.signal_events(signals.with_defaults(df, F.col("identity"), F.col("ticker"), now()), now())
 
     final = "type = 'signal_generated'"
-    start = lambda: streams.stage(streams.source(spark, path, rows.schema, FILES), target, checkpoint, step, "aggregate_key", input_key="identity", final=final, tries=2)
+    start = lambda: streams.stage(streams.source(spark, path, rows.schema, BATCHES), target, checkpoint, step, "aggregate_key", input_key="identity", final=final, tries=2)
     rows.limit(0).write.parquet(path)
     some(0)
     some(1)
@@ -139,7 +147,7 @@ def _(spark, sf_dir):
     events = b.table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     twice = events.unionByName(events)
     path, target = scratch(spark), scratch(spark)
-    twice.repartitionByRange(FILES, "ts").write.parquet(path)
+    twice.repartitionByRange(BATCHES, "ts").write.parquet(path)
     stream = streams.dedupe_within(streams.source(spark, path, twice.schema), ["event_id"], "ts", "40 days")
     return _finished(spark, streams.tail(stream, target, scratch(spark)), target).select("event_id", "event_type")
 
@@ -149,7 +157,7 @@ def _(spark, sf_dir):
     """Events in micro-batches into a log; then all again under a new checkpoint, which adds nothing."""
     rows = b.log(spark, sf_dir).drop("sequence", "appended_at")
     path, log = scratch(spark), event_log.EventLog(spark, scratch(spark))
-    rows.repartition(FILES).write.parquet(path)
+    rows.repartition(BATCHES).write.parquet(path)
     for _run in range(2):
         streams.to_log(streams.source(spark, path, rows.schema), log, scratch(spark), "occurred_at", "id", now=now()).awaitTermination()
     return log.records().agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count_distinct("id").alias("ids"))

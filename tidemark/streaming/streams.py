@@ -110,8 +110,9 @@ class Outcomes:
         return self.spark.read.parquet(f"{self.target}/{name}") if name else None
 
     def write(self, rows: DataFrame) -> str:
+        """One file a bucket, however many tasks made the rows."""
         name = f"part={uuid.uuid4().hex}"
-        rows.write.partitionBy("bucket").parquet(f"{self.target}/{name}")
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.target}/{name}")
         return name
 
     def merged(self, parts: list[dict]) -> tuple[list[dict], list[str]]:
@@ -121,7 +122,7 @@ class Outcomes:
             mine = [p for p in parts if p["level"] == level]
             if len(mine) >= MERGE:
                 rows = self.spark.read.option("basePath", self.target).parquet(*[f"{self.target}/{p['name']}" for p in mine]).drop("part")
-                one = {"name": self.write(rows.repartition("bucket")), "level": level + 1}
+                one = {"name": self.write(rows), "level": level + 1}
                 parts = [p for p in parts if p["level"] != level] + [one]
                 gone += [p["name"] for p in mine]
         return parts, gone
