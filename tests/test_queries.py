@@ -60,3 +60,28 @@ def test_press_cards_of_a_very_long_page(spark):
     pages = spark.createDataFrame([(1, card.format(1) + " " * (3 << 20) + card.format(2)), (2, None)], "page_id long, html string")
     got = press_cards(pages, F.lit("https://www.prnewswire.com")).select("headline").collect()
     assert sorted(r.headline for r in got) == ["Headline 1", "Headline 2"]
+
+
+def _same(spark, duck, name, folder, **tables):
+    """A query and its SQL over tables of which some are given, some the driver's."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        at = f"{SF}/{t}.parquet"
+        if t in tables:
+            at = f"{folder}/{t}.parquet"
+            tables[t].coalesce(1).write.parquet(at)
+            at += "/*.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}'")
+    df = __spark_entry__.queries()[name](spark, str(folder))
+    told = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [d[0] for d in told.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, told.fetchall())
+
+
+def test_records_are_numbered_by_time_then_id(spark, duck, tmp_path):
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    again = events.unionByName(events.withColumn("event_id", F.col("event_id") + events.count()))
+    _same(spark, duck, "append_records", tmp_path, events=again)

@@ -63,7 +63,7 @@ def _(spark, sf_dir):
     return ends.agg(F.count_distinct(F.regexp_extract("file", "day=([0-9-]+)", 1)).alias("days"), F.bool_and(~F.col("open")).alias("ended"))
 
 
-@query("append_records", _sql("SELECT sequence + 1 AS sequence, id, type, source FROM log WHERE data IS NOT NULL UNION ALL SELECT 1, 'first', 'begin', ''"))
+@query("append_records", _sql("SELECT 1 + row_number() OVER (ORDER BY occurred_at, id)::BIGINT AS sequence, id, type, source FROM log WHERE data IS NOT NULL UNION ALL SELECT 1, 'first', 'begin', ''"))
 def _(spark, sf_dir):
     """Appended to a log that has a record, then read from the log opened anew."""
     path = scratch(spark)
