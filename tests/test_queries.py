@@ -85,3 +85,18 @@ def test_records_are_numbered_by_time_then_id(spark, duck, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     again = events.unionByName(events.withColumn("event_id", F.col("event_id") + events.count()))
     _same(spark, duck, "append_records", tmp_path, events=again)
+
+
+@pytest.fixture
+def long_pages(spark):
+    """Pages whose path is an id of eight bytes or more; two share it, on different hosts."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    k = F.col("page_id")
+    return pages.withColumn("url", F.concat(F.lit("https://h"), k.cast("string"), F.lit(".example.com/en/"), (F.floor(k / 4) + 100000).cast("string"), F.when(k % 2 == 0, "/?x=a-b").otherwise("")))
+
+
+@pytest.mark.parametrize("name", ["pr_cards", "pr_events", "pr_new", "pr_summary", "body_events"])
+def test_release_ids_cut_from_long_urls(spark, duck, tmp_path, long_pages, name):
+    _same(spark, duck, name, tmp_path, pages=long_pages)

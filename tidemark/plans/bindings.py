@@ -281,8 +281,10 @@ PAGES = r"""heads AS (
   FROM pages
 ), texts AS (
   SELECT *, regexp_replace(regexp_replace(head, '(?is)<[^>]+>', '', 'g'), '^[\t-\r \x{85}\x{A0}]+|[\t-\r \x{85}\x{A0}]+$', '', 'g') AS plain FROM heads
+), ids AS (
+  SELECT *, regexp_replace(string_split(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '^/+|/+$', '', 'g'), '-')[-1], '\.html$', '') AS piece FROM texts
 ), cards AS (
   SELECT page_id, 0 AS pos, plain AS headline, 'https://press.example.com' || href AS release_url, lpad(page_id::VARCHAR, 9, '0') AS release_id, published_at FROM texts WHERE plain <> ''
   UNION ALL
-  SELECT page_id, 1, ltrim(regexp_replace(head, '(?is)<[^>]+>', '', 'g')) || ' again', url, url, published_at FROM texts WHERE page_id % 3 <> 0
+  SELECT page_id, 1, ltrim(regexp_replace(head, '(?is)<[^>]+>', '', 'g')) || ' again', url, CASE WHEN strlen(piece) >= 8 THEN piece ELSE url END, published_at FROM ids WHERE page_id % 3 <> 0
 )"""
