@@ -62,7 +62,7 @@ def test_press_cards_of_a_very_long_page(spark):
     assert sorted(r.headline for r in got) == ["Headline 1", "Headline 2"]
 
 
-def _same(spark, duck, name, folder, **tables):
+def _same(spark, duck, name, folder, pieces=1, **tables):
     """A query and its SQL over tables of which some are given, some the driver's."""
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -70,7 +70,7 @@ def _same(spark, duck, name, folder, **tables):
         at = f"{SF}/{t}.parquet"
         if t in tables:
             at = f"{folder}/{t}.parquet"
-            tables[t].coalesce(1).write.parquet(at)
+            tables[t].repartition(pieces).write.parquet(at)
             at += "/*.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}'")
     df = __spark_entry__.queries()[name](spark, str(folder))
@@ -100,3 +100,21 @@ def long_pages(spark):
 @pytest.mark.parametrize("name", ["pr_cards", "pr_events", "pr_new", "pr_summary", "body_events"])
 def test_release_ids_cut_from_long_urls(spark, duck, tmp_path, long_pages, name):
     _same(spark, duck, name, tmp_path, pages=long_pages)
+
+
+def test_bodies_of_an_id_that_pages_share(spark, duck, tmp_path, long_pages):
+    """Its first page counts, whichever file of the stream comes first."""
+    _same(spark, duck, "stream_body", tmp_path, pages=long_pages)
+
+
+def test_a_round_is_one_try_however_many_files(spark, duck, tmp_path):
+    """Documents in many files are written on as many."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    documents.repartition(12).write.parquet(f"{tmp_path}/many")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        many = spark.read.parquet(f"{tmp_path}/many")
+        assert many.rdd.getNumPartitions() == 12
+        _same(spark, duck, "stream_signal_retry", tmp_path, pieces=12, documents=many)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import event_log, press, signals
-from ..operators.storage import scratch
+from ..operators.storage import names, scratch
 from ..sources import journal, tailing
 from ..sources import press as cards
 from ..streaming import streams
@@ -64,22 +64,22 @@ def _(spark, sf_dir):
 @query(
     "stream_body",
     f"""WITH {PAGES} SELECT CASE WHEN ok THEN 'pr_body_fetched:' ELSE 'pr_body_failed:' END || release_id AS id, CASE WHEN ok THEN {_clean('html')} END AS body
-    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok FROM cards JOIN pages USING (page_id))""",
+    FROM (SELECT cards.*, html, page_id % 3 <> 1 AND octet_length(encode(html)) <= {CAP} AS ok, row_number() OVER (PARTITION BY release_id ORDER BY page_id, pos) AS nth FROM cards JOIN pages USING (page_id)) WHERE nth = 1""",
 )
 def _(spark, sf_dir):
-    """Releases to fetched or failed bodies; contents come from the page table."""
+    """Releases to fetched or failed bodies, each id once, by its first page; contents come from the page table."""
     target = scratch(spark)
     contents = b.table(spark, sf_dir, "pages").where("page_id % 3 <> 1").select("page_id", "html")
     releases = _releases(spark, sf_dir).drop("html", "url", "href", "block")
     step = lambda df: press.body_events(cards.guarded(press.fetched(df, contents, "page_id"), max_bytes=CAP), now())
-    started = streams.stage(_stream(spark, releases), target, scratch(spark), step, "aggregate_key", input_key="release_id")
+    started = streams.stage(_stream(spark, releases, "release_id"), target, scratch(spark), step, "aggregate_key", input_key="release_id", arrival=("page_id", "pos"))
     return _staged(spark, started, target).select("id", F.get_json_object("data", "$.body").alias("body"))
 
 
 @query("stream_signal", f"WITH {ANALYSED} SELECT CASE WHEN failed THEN 'signal_failed:' ELSE 'signal_generated:' END || identity AS id, CASE WHEN NOT failed THEN impact END AS impact FROM a")
 def _(spark, sf_dir):
     target = scratch(spark)
-    rows = _analysed(spark, sf_dir)
+    rows = _analysed(spark, sf_dir).drop("text", "clean")  # the events don't carry them
     step = lambda df: signals.signal_events(signals.with_defaults(df, F.col("identity"), F.col("ticker"), now()), now())
     started = streams.stage(_stream(spark, rows), target, scratch(spark), step, "aggregate_key", input_key="identity")
     return _staged(spark, started, target).select("id", F.get_json_object("data", "$.impact_analysis").alias("impact"))
@@ -117,8 +117,8 @@ def _(spark, sf_dir):
 
 @query("stream_signal_retry", f"WITH {ANALYSED} SELECT identity, CASE WHEN failed THEN 'signal_failed' ELSE 'signal_generated' END AS type, count(*)::BIGINT AS tries FROM (SELECT * FROM a UNION ALL SELECT * FROM a WHERE failed OR doc_id % 3 = 0) GROUP BY ALL")
 def _(spark, sf_dir):
-    """Documents that are missing in the first round fail, wait, and are tried again in the second, when their contents have come; those too large fail twice."""
-    rows = _analysed(spark, sf_dir)
+    """Documents that are missing in the first round fail, wait, and are tried again in the second, when their contents have come; those too large fail twice. A round is one batch, since each later one is another try."""
+    rows = _analysed(spark, sf_dir).drop("text", "clean")
     path, target, checkpoint = scratch(spark), scratch(spark), scratch(spark)
     some = lambda k: rows.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(path)
     late = [True]
@@ -129,7 +129,7 @@ def _(spark, sf_dir):
         return signals.signal_events(signals.with_defaults(df, F.col("identity"), F.col("ticker"), now()), now())
 
     final = "type = 'signal_generated'"
-    start = lambda: streams.stage(streams.source(spark, path, rows.schema, BATCHES), target, checkpoint, step, "aggregate_key", input_key="identity", final=final, tries=2)
+    start = lambda: streams.stage(streams.source(spark, path, rows.schema, len(names(spark, path))), target, checkpoint, step, "aggregate_key", input_key="identity", final=final, tries=2)
     rows.limit(0).write.parquet(path)
     some(0)
     some(1)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +27,8 @@ from ..sources import tailing
 BUCKETS = 64
 #: So many parts of a level are merged into one of the next.
 MERGE = 16
+#: Columns by which rows of a batch are in order.
+ARRIVAL = ("sequence", "occurred_at")
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -163,11 +165,13 @@ def stage(
     input_key: str | None = None,
     final: str | None = None,
     tries: int = 3,
+    arrival: Sequence[str] = ARRIVAL,
     once: bool = True,
     interval: str = "15 seconds",
 ) -> StreamingQuery:
     """A step over each micro-batch; of rows with a key that is done, or twice in the batch, the first stays.
 
+    Which is first is said by the columns of `arrival` that the input has.
     `key` names the key in what the step gives. With `input_key`, its name in the input, rows
     whose key is done don't even reach the step. `final`, a predicate in SQL, says which outcomes
     make a key done: without it all do, so that failures are remembered like results. Where it is
@@ -179,12 +183,12 @@ def stage(
         raise ValueError("trying again needs the key in the input")
 
     def run(rows: DataFrame, batch: int) -> None:
-        attempt(rows, target, run_of(rows.sparkSession, checkpoint), batch, step, key, input_key=input_key, final=final, tries=tries)
+        attempt(rows, target, run_of(rows.sparkSession, checkpoint), batch, step, key, input_key=input_key, final=final, tries=tries, arrival=arrival)
 
     return _started(stream.writeStream.foreachBatch(run), checkpoint, once, interval)
 
 
-def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str | None = None, final: str | None = None, tries: int = 3) -> None:
+def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[DataFrame], DataFrame], key: str, *, input_key: str | None = None, final: str | None = None, tries: int = 3, arrival: Sequence[str] = ARRIVAL) -> None:
     """One batch of a stage. A batch that its run has committed before changes nothing."""
     spark = rows.sparkSession
     table = Outcomes(spark, target)
@@ -203,7 +207,7 @@ def attempt(rows: DataFrame, target: str, run: str, batch: int, step: Callable[[
             rows = rows.withColumns({"key_text": F.col(input_key).cast("string"), "try": F.lit(1)})
             if final is not None and (waiting := table.waiting(view)) is not None:
                 rows = rows.unionByName(waiting.withColumn("try", F.col("try") + 1))
-            order = [c for c in ("sequence", "occurred_at") if c in rows.columns]
+            order = [c for c in arrival if c in rows.columns]
             rows = kept(first_in_batch(rows, ["key_text"], "try", *order).where("nth = 1").drop("nth").withColumn("bucket", _bucket(F.col("key_text"))))
             buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]
             rows = kept(_without(rows, earlier(table, view, buckets)).drop("bucket"))
