@@ -173,7 +173,8 @@ META = """meta AS (
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """issuer, filing and an index document per order with lineitems; one of a single item has it bare, sizes are numbers or text."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    # dealt out by order once, for the distinct rows, the list and the join
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").distinct()
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     item = F.concat(
         F.lit('{"name":"'),
@@ -184,7 +185,7 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 5 == 0, F.lit('""')).when(F.col("l_partkey") % 5 == 1, F.concat(F.col("l_partkey").cast("string"), F.lit(".50"))).otherwise(F.concat(F.lit('"'), F.col("l_partkey").cast("string"), F.lit('"'))),
         F.lit("}"),
     )
-    per = items.select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    per = items.select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
     body = F.when(F.size("items") == 1, F.col("items")[0]).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
     directory = F.concat(F.lit('{"directory":{"name":"/d/'), F.when(F.col("o_orderkey") % 23 == 0, F.lit("none")).otherwise(F.col("o_custkey").cast("string")), F.lit('","parent-dir":"/d","item":'), body, F.lit("}}"))
     return per.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("I"), F.col("o_custkey").cast("string")).alias("issuer"), F.concat(F.lit("F"), F.col("o_orderkey").cast("string")).alias("filing"), directory.alias("json"))

@@ -139,21 +139,27 @@ def index_documents(documents: DataFrame, column: str = "json") -> DataFrame:
 
     An item may stand alone instead of in an array; scalars may be numbers, and keep their text.
     """
-    one = f"directory STRUCT<name: STRING, `parent-dir`: STRING, item: {ITEM[6:-1]}>"
+    # parsed once for nearly all: what isn't a list is looked at again, by a name of its own so that nothing is parsed for each use
     many = f"directory STRUCT<name: STRING, `parent-dir`: STRING, item: {ITEM}>"
-    documents = documents.withColumn(column, with_quoted_numbers(F.col(column)))
-    raw = F.get_json_object(column, "$.directory.item")
-    single = raw.startswith("{")
-    parsed_one, parsed_many = F.from_json(column, one)["directory"], F.from_json(column, many)["directory"]
-    items = F.when(single, F.array(parsed_one["item"])).otherwise(parsed_many["item"])
-    filled = F.transform(items, lambda i: F.struct(*[F.coalesce(i[f], F.lit("")).alias(f.replace("-", "_")) for f in ("name", "type", "size", "last-modified")]))
-    error = F.when(F.get_json_object(column, "$.directory").isNull(), "directory missing").when(raw.isNull(), "directory.item missing")
-    name = lambda f: F.coalesce(F.when(single, parsed_one[f]).otherwise(parsed_many[f]), F.lit(""))
-    ordered = F.array_sort(F.transform(filled, lambda i: F.struct(F.lower(i["name"]).alias("k"), F.lower(i["type"]).alias("t"), i.alias("i"))))
-    return documents.select(*[c for c in documents.columns if c != column], name("name").alias("dir_name"), name("parent-dir").alias("parent_dir"), F.transform(ordered, lambda s: s["i"]).alias("items"), error.alias("error"))
+    one = f"directory STRUCT<name: STRING, `parent-dir`: STRING, item: {ITEM[6:-1]}>"
+    keep = [c for c in documents.columns if c != column]
+    quoted = documents.select(*keep, with_quoted_numbers(F.col(column)).alias("json"))
+    first = quoted.select(*keep, "json", F.from_json("json", many)["directory"].alias("many"))
+    is_list = F.col("many.item").isNotNull()
+    raw = first.select(*keep, "json", "many", F.when(~is_list, F.get_json_object("json", "$.directory.item")).alias("raw"))
+    single = F.coalesce(F.col("raw").startswith("{"), F.lit(False))
+    second = raw.select(*keep, "json", "many", "raw", F.when(single, F.from_json("json", one)["directory"]).alias("one"))
+    items = F.when(single, F.array("one.item")).otherwise(F.col("many.item"))
+    filled = lambda i: F.struct(*[F.coalesce(i[f], F.lit("")).alias(f.replace("-", "_")) for f in ("name", "type", "size", "last-modified")])
+    ordered = F.sort_array(F.transform(items, lambda i: F.struct(F.lower(F.coalesce(i["name"], F.lit(""))).alias("k"), F.lower(F.coalesce(i["type"], F.lit(""))).alias("t"), filled(i).alias("i"))))
+    error = F.when(~is_list & F.col("raw").isNull(), F.when(F.get_json_object("json", "$.directory").isNull(), "directory missing").otherwise("directory.item missing"))
+    name = lambda f: F.coalesce(F.when(single, F.col("one")[f]).otherwise(F.col("many")[f]), F.lit(""))
+    return second.select(*keep, name("name").alias("dir_name"), name("parent-dir").alias("parent_dir"), ordered["i"].alias("items"), error.alias("error"))
 
 
 def index_items(parsed: DataFrame) -> DataFrame:
     """A row per item, in the order of lower-case name, then type; `position` counts from 0."""
     keep = [c for c in parsed.columns if c not in ("items", "error", "dir_name", "parent_dir")]
-    return parsed.where(F.col("error").isNull()).select(*keep, F.posexplode("items").alias("position", "i")).select(*keep, "position", "i.*")
+    # outer, since Spark puts the filter of an inner one, and one on the error, below the parser, which then runs for each
+    rows = parsed.select(*keep, F.posexplode_outer(F.when(F.col("error").isNull(), F.col("items"))).alias("position", "i"))
+    return rows.where(F.col("position").isNotNull()).select(*keep, "position", "i.*")
