@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import fnmatch
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension
-from ..operators.storage import file_system, local_path
+from ..operators.storage import file_system, local_path, settled
 from .listings import METADATA
 from .press import DOCUMENT_BYTES
 
@@ -33,8 +34,85 @@ def _files(spark: SparkSession, root: str, names: str | None = None) -> DataFram
     return (reader.option("pathGlobFilter", names) if names else reader).load(root)
 
 
+def _folder(spark: SparkSession, root: str) -> str | None:
+    """The plain path of a root that is a folder which all executors see; None for other stores."""
+    fs, at = file_system(spark, root)
+    return fs.makeQualified(at).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _walker(top: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts what is in a folder (a row without a length) in its place, or all that is below it; names that Spark's file sources hide, and empty files, are left out."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        def entries(path: str) -> Iterator[tuple[str, int | None]]:
+            with os.scandir(os.path.join(top, path)) as found:
+                for e in found:
+                    hidden = e.name.startswith(".") or e.name.endswith("._COPYING_") or (e.name.startswith("_") and "=" not in e.name)
+                    at = f"{path}/{e.name}" if path else e.name
+                    if hidden:
+                        continue
+                    if not e.is_dir():
+                        if size := e.stat().st_size:
+                            yield at, size
+                    elif deep:
+                        yield from entries(at)
+                    else:
+                        yield at, None
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple[str, int | None]]:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if length is None:
+                    yield from entries(path)
+                else:
+                    yield path, length
+
+        held: list[tuple[str, int | None]] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.int64())], ["path", "length"])
+        for batch in batches:
+            for row in rows(batch):
+                held.append(row)
+                if len(held) == 8192:
+                    yield made()
+                    held.clear()
+        yield made()
+
+    return walk
+
+
+def _contents(files: DataFrame, top: str) -> DataFrame:
+    """files with their `content` (binary), read by the tasks from `path` below top."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["path", "length", "content"])
+        held, size = [], 0
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(os.path.join(top, path), "rb") as f:
+                    held.append((path, length, f.read()))
+                size += length
+                if size > 1 << 24 or len(held) == 4096:
+                    yield made(held)
+                    held, size = [], 0
+        yield made(held)
+
+    return files.select("path", "length").mapInArrow(read, "path string, length bigint, content binary")
+
+
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below root and file sizes; contents aren't read. Empty files, which Spark's file sources pass over, aren't listed."""
+    """Paths below root and file sizes; contents aren't read. Empty files, which Spark's file sources pass over, aren't listed.
+
+    A folder that all executors see is listed by tasks: its entries are dealt out, then those of
+    the folders among them, whose own are walked. Elsewhere Spark's listing goes through the driver.
+    """
+    if top := _folder(spark, root):
+        rows = spark.createDataFrame([("", None)], "path string, length bigint")
+        for deep in (False, False, True):
+            rows = rows.repartition("path").mapInArrow(_walker(top, deep), "path string, length bigint")
+        return rows
     return _files(spark, root).select(below(spark, root).alias("path"), "length")
 
 
@@ -49,6 +127,12 @@ def texts(spark: SparkSession, root: str, *names: str, max_bytes: int = DOCUMENT
     Files of more than `max_bytes` aren't read: the size filter goes to the listing. They are
     there with a null content. Bytes that aren't UTF-8 become replacement characters.
     """
+    if (top := _folder(spark, root)) and not any(c in n for n in names for c in "{\\"):
+        files = tree(spark, root)
+        if names:
+            patterns = [fnmatch.translate(n.replace("[^", "[!")) for n in names]
+            files = files.where(base_name(F.col("path")).rlike("^(?:" + "|".join(patterns) + ")$"))
+        return _texts(files, top, max_bytes)
     globs = "{" + ",".join(names) + "}" if names else None
     files, at = _files(spark, root, globs), below(spark, root).alias("path")
     small = files.where(F.col("length") <= max_bytes).select(at, "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
@@ -56,6 +140,12 @@ def texts(spark: SparkSession, root: str, *names: str, max_bytes: int = DOCUMENT
     return path_parts(small.unionByName(large)).select("issuer", "filing", "relative", "length", "content")
 
 
+def _texts(files: DataFrame, top: str, max_bytes: int) -> DataFrame:
+    small = _contents(files.where(F.col("length") <= max_bytes), top).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("content"))
+    return path_parts(small.unionByName(large)).select("issuer", "filing", "relative", "length", "content")
+
+
 def lookup(units: DataFrame, which: str, documents: DataFrame) -> DataFrame:
     """Of each unit that names one in column `which`, that document: issuer, filing, relative, length, content (null where there is none)."""
     wanted = units.where(F.col(which).isNotNull()).select("issuer", "filing", F.col(which).alias("relative"))
@@ -74,10 +164,11 @@ class Corpus:
 
 def from_tree(spark: SparkSession, root: str, max_bytes: int = DOCUMENT_BYTES) -> Corpus:
     """The corpus below root. Names and sizes come from one listing; contents are read of metadata and index documents alone."""
-    files = path_parts(tree(spark, root))
+    top = _folder(spark, root)
+    files = path_parts(settled(tree(spark, root)) if top else tree(spark, root))
     found = units(files)
-    said = texts(spark, root, any_case("metadata.json"), any_case("index.json"), max_bytes=max_bytes)
-    json = lambda which: lookup(found, which, said).select("issuer", "filing", F.col("content").alias("json"))
+    said = lambda which: _texts(files.where(F.lower("name") == f"{which}.json"), top, max_bytes) if top else texts(spark, root, any_case(f"{which}.json"), max_bytes=max_bytes)
+    json = lambda which: lookup(found, which, said(which)).select("issuer", "filing", F.col("content").alias("json"))
     return Corpus(files, found, metadata(json("metadata")), index_documents(json("index")))
 
 
