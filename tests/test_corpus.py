@@ -157,3 +157,22 @@ def test_trees_are_listed_by_tasks(spark, root):
         assert "FileScan" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Location" not in plan
     assert [r.content for r in src.texts(spark, str(root), "[dD]o*.ht?").collect()] == ["<html>Form 10-K xbrli é"]
     assert {r.filing: r.form for r in corpus.metadata.collect()} == {"F": None, "G": "8-K"}
+
+
+def test_discoveries_compared(spark):
+    """Missing units count once, differing ones on both sides; no shuffle beyond those that made the units."""
+    paths = lambda *p: src.units(src.path_parts(spark.createDataFrame([(x,) for x in p], "path string")))
+    one, two = paths("I/F/a.htm", "I/F/b.htm", "I/G/a.htm", "I/H/a.htm"), paths("I/F/b.htm", "I/F/a.htm", "I/G/b.htm", "J/K/a.htm")
+    row = ops.discoveries_compared(one, two).first()
+    assert (row.units, row.differing) == (3, 4)
+    assert tuple(ops.discoveries_compared(one.where("false"), two.where("false")).first()) == (0, 0)
+
+
+def test_primary_looked_up_in_one_pass(spark):
+    meta = spark.createDataFrame([("I", "F", "Doc.HTM"), ("I", "G", "gone"), ("I", "H", "gone"), ("I", "K", "gone"), ("I", "L", None)], "issuer string, filing string, primary_document string")
+    items = spark.createDataFrame([("I", "F", "doc.htm"), ("I", "G", "a"), ("I", "G", "B"), ("I", "K", "a"), ("I", "L", "")], "issuer string, filing string, name string")
+    known = spark.createDataFrame([("I", "K")], "issuer string, filing string")
+    found = ops.primary_not_in_index(meta, items.withColumn("name", F.concat("name", F.lit(""))), known)
+    assert [(r.issuer, r.filing, r.name) for r in found.collect()] == [("I", "G", "gone")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3  # items are read once

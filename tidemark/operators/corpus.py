@@ -20,6 +20,16 @@ def totals(units: DataFrame) -> DataFrame:
     return units.agg(F.count(F.lit(1)).alias("units"), zero(has("metadata")).alias("with_metadata"), zero(has("index")).alias("with_index"), zero(both).alias("with_both"), zero((F.size("candidates") > 0).cast("long")).alias("with_candidates"))
 
 
+def discoveries_compared(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row: the units of one, and how many rows of either the other lacks. Both have a row per unit, by which they meet where they are."""
+    said = [c for c in one.columns if c not in UNIT]
+    side = lambda df, name: df.select(*UNIT, F.struct(*said).alias(name))
+    met = side(one, "a").join(side(two, "b"), UNIT, "full")
+    has = lambda c: F.col(c).isNotNull().cast("long")
+    lacking = F.when(F.col("a").eqNullSafe(F.col("b")), 0).otherwise(has("a") + has("b"))
+    return met.agg(F.coalesce(F.sum(has("a")), F.lit(0)).alias("units"), F.coalesce(F.sum(lacking), F.lit(0)).alias("differing"))
+
+
 def by_form(metadata: DataFrame) -> DataFrame:
     form = trim_unicode(F.coalesce("form", F.lit("")))
     return metadata.select(form.alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
@@ -96,8 +106,9 @@ def unsorted_indexes(parsed: DataFrame, items: str = "items") -> DataFrame:
 def primary_not_in_index(metadata: DataFrame, items: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Units with an index whose metadata names a primary document that the index lacks; known exceptions don't count."""
     wanted = metadata.select(*UNIT, F.lower(trim_unicode(F.coalesce("primary_document", F.lit("")))).alias("name"))
-    listed = items.select(*UNIT, F.lower("name").alias("name"))
-    return wanted.join(listed.select(*UNIT).distinct(), UNIT, "left_semi").join(listed, [*UNIT, "name"], "left_anti").join(exceptions, UNIT, "left_anti")
+    # items are gone through once: each unit's names in a set
+    listed = items.groupBy(*UNIT).agg(F.collect_set(F.lower("name")).alias("names"))
+    return wanted.join(listed, UNIT).where(~F.array_contains("names", F.col("name"))).select(*wanted.columns).join(exceptions, UNIT, "left_anti")
 
 
 def disk_names(files: DataFrame) -> DataFrame:

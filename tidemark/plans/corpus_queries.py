@@ -283,7 +283,5 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Two discoveries of the same files, dealt out differently, agree."""
     files = b.corpus_files(spark, sf_dir)
-    one, two = (src.units(src.path_parts(f)) for f in (files, files.repartition(13)))
-    marked = one.withColumn("side", F.lit(1)).unionAll(two.withColumn("side", F.lit(-1)))
-    same = marked.groupBy(*one.columns).agg(F.sum("side").alias("over"), F.count_if(F.col("side") == 1).alias("here"))
-    return same.agg(F.sum("here").alias("units"), F.coalesce(F.sum(F.abs("over")), F.lit(0)).cast("long").alias("differing"))
+    one, two = (src.units(src.path_parts(f)) for f in (files, files.repartition("path")))
+    return ops.discoveries_compared(one, two)
