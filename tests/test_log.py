@@ -63,6 +63,26 @@ def test_numbering_is_dense(spark):
     assert [r.sequence for r in got] == list(range(8, 1008))
 
 
+def test_a_batch_is_not_merged_into_one_task(spark):
+    """Spark would merge what is dealt out into as few parts as there are cores, however many rows they have."""
+    rows = spark.range(20_000).selectExpr("id % 9000 AS k", "id AS n")
+    keys = lambda df: sorted((r.k, r.n, r.nth) for r in df.collect())
+    got = event_log.first_in_batch(rows, ["k"], "n", partitions=16)
+    assert keys(got) == keys(event_log.first_in_batch(rows, ["k"], "n"))
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 2_000
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_sorted_once_and_not_kept_as_tables(spark):
+    import __spark_entry__
+
+    plan = _plan(__spark_entry__.queries()["dedupe_in_batch"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
 def submissions(spark, **arrays):
     import json
 

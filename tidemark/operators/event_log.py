@@ -34,13 +34,18 @@ def with_occurred_at(events: DataFrame, now: Column) -> DataFrame:
     return events.withColumn("occurred_at", F.coalesce("occurred_at", now))
 
 
+def parts_of(df: DataFrame) -> int:
+    """Into how many parts its session deals out rows."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def numbered(df: DataFrame, *order: str, start: int = 0, name: str = "sequence", partitions: int | None = None) -> DataFrame:
     """df with a dense number from start + 1 in the given order, without one task seeing all rows.
 
     Rows are range-partitioned and written to the shared folder, so that a lost executor changes no number; each partition is counted, and its rows are numbered from the
     sum of those before; only the counts, one per partition, meet in a window.
     """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or parts_of(df)
     placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     placed = settled(placed)
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -91,8 +96,13 @@ def by_type_source(log: DataFrame) -> DataFrame:
     return log.groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_in_batch(rows: DataFrame, keys: list[str], *arrival: str) -> DataFrame:
-    """rows with `nth` among those of equal keys by arrival: the first is new, the others were seen."""
+def first_in_batch(rows: DataFrame, keys: list[str], *arrival: str, partitions: int | None = None) -> DataFrame:
+    """rows with `nth` among those of equal keys by arrival: the first is new, the others were seen.
+
+    With `partitions` they are dealt by key into so many parts, each sorted by itself; without, Spark may merge what it deals into as few as there are cores.
+    """
+    if partitions:
+        rows = rows.repartition(partitions, *keys)
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*arrival)))
 
 

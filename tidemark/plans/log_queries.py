@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_time, rfc3339
@@ -190,8 +191,11 @@ def _(spark, sf_dir):
 
 @query("dedupe_in_batch", "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS copies, min(l_partkey)::BIGINT AS first_part FROM lineitem GROUP BY 1, 2")
 def _(spark, sf_dir):
-    rows = event_log.first_in_batch(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", "l_suppkey")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("copies"), F.max(F.when(F.col("nth") == 1, F.col("l_partkey"))).alias("first_part"))
+    keys, li = ["l_orderkey", "l_linenumber"], table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = event_log.first_in_batch(li, keys, "l_partkey", "l_suppkey", partitions=event_log.parts_of(li))
+    # counted in the order that the rows have, so that a task holds no tables of keys beside it
+    counted = rows.withColumn("copies", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return counted.where("nth = 1").select(*keys, "copies", F.col("l_partkey").alias("first_part"))
 
 
 @query("duplicate_sequences", _sql("SELECT sequence // 3 AS sequence, count(*)::BIGINT AS n FROM log GROUP BY 1 HAVING count(*) > 1"))

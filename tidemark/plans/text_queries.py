@@ -144,10 +144,11 @@ def _(spark, sf_dir):
     SELECT count(*) FILTER (old OR nth > 1)::BIGINT AS seen, count(*) FILTER (NOT old AND nth = 1)::BIGINT AS discovered FROM f""",
 )
 def _(spark, sf_dir):
-    from ..operators.event_log import first_in_batch
+    from ..operators.event_log import first_in_batch, parts_of
 
     seen = press.seen_releases(_release_log(spark, sf_dir), "pr_discovered").withColumn("old", F.lit(True))
-    marked = first_in_batch(_releases(spark, sf_dir), ["release_id"], "page_id", "pos").join(seen, "release_id", "left")
+    releases = _releases(spark, sf_dir)
+    marked = first_in_batch(releases, ["release_id"], "page_id", "pos", partitions=parts_of(releases)).join(seen, "release_id", "left")
     return press.summary(marked.withColumn("fresh", F.col("old").isNull() & (F.col("nth") == 1)))
 
 
