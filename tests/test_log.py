@@ -83,6 +83,35 @@ def test_a_batch_is_sorted_once_and_not_kept_as_tables(spark):
     assert plan.count("Sort [") == 1 and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("name, times", [("discovery_summary", 2), ("discover_filings", 1), ("submissions_explode", 1), ("submissions_errors", 1)])
+def test_listing_documents_are_made_and_parsed_once(spark, name, times):
+    """By each of the branches of a summary; filters on what a parser gives had copies of it, and of what made its text."""
+    import __spark_entry__
+
+    plan = _plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("from_json(StructField(cik,StringType,true), StructField(filings") == times
+    assert plan.count("get_json_object(") <= 1
+
+
+def test_seen_identities_are_parsed_once(spark):
+    data = ['{"cik": "1", "accession_number": " a "}', '{"cik": "0000000001", "accession_number": "a"}', '{"cik": "1"}', '{"cik": "", "accession_number": "b"}', '{"cik": 2, "accession_number": "b", "form": {}}', "broken", None]
+    log = spark.createDataFrame([("filing_discovered", d) for d in data] + [("other", data[0])], "type string, data string")
+    seen = filings.seen_identities(log)
+    assert _plan(seen).count("from_json(") == 1  # before it has run: the plan then is there twice
+    assert sorted(r.identity for r in seen.collect()) == ["0000000001:a", "0000000002:b"]
+
+
+def test_tagged_rows_are_dealt_and_sorted_once(spark):
+    rows = spark.createDataFrame([("x", 2), ("x", 1), ("y", 1), ("z", 1), ("z", 2), (None, 1)], "identity string, n int")
+    seen = spark.createDataFrame([("z",), ("w",)], "identity string")
+    tagged = filings.tagged(rows, seen, "n")
+    plan = _plan(tagged)
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 2  # the batch and the log
+    assert "Broadcast" not in plan
+    assert tagged.columns == ["identity", "n", "fresh"]
+    assert sorted(map(str, tagged.collect())) == sorted(map(str, rows.selectExpr("identity", "n", "coalesce(identity, '') <> 'z' AND NOT (identity <=> 'x' AND n = 2) AS fresh").collect()))
+
+
 def submissions(spark, **arrays):
     import json
 

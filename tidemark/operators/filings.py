@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filing_identity, normalize_cik, normalize_code, rfc3339
 from ..sources import listings
-from .event_log import first_in_batch
+from .event_log import first_in_batch, parts_of
 
 DISCOVERED = "ticker STRING, cik STRING, accession_number STRING, form STRING, filing_date STRING, acceptance_datetime STRING, primary_document STRING, submissions_source_url STRING, discovered_at STRING"
 
@@ -35,21 +35,25 @@ def watched_documents(watchlist: DataFrame, documents: DataFrame, column: str =
     """
     entries = watchlist.where("enabled").select(F.col("cik").alias("watched"), "allowed_forms")
     few = entries.limit(WATCHED + 1).count() <= WATCHED
-    keyed = documents.withColumn("watched", normalize_cik(F.get_json_object(column, "$.cik")))
+    # a column of its own, so that the document isn't gone through for each use
+    said = documents.withColumn("watched", F.get_json_object(column, "$.cik"))
+    keyed = said.withColumn("watched", normalize_cik(F.col("watched")))
     return keyed.join(F.broadcast(entries) if few else entries, "watched").drop("watched")
 
 
 def discovered(watchlist: DataFrame, documents: DataFrame, column: str = "json") -> DataFrame:
     """As watched_filings of recent_filings: companies are chosen before their documents are parsed, forms before filings become rows."""
     rows = listings.recent_filings(listings.submissions(watched_documents(watchlist, documents, column), column, keep=("allowed_forms",)), allowed=lambda form: allowed(form, F.col("allowed_forms")))
-    return rows.withColumn("identity", filing_identity(F.col("cik"), F.col("accession")))
+    # both parts are normalised already
+    return rows.withColumn("identity", F.concat("cik", F.lit(":"), "accession"))
 
 
 def seen_identities(log: DataFrame) -> DataFrame:
     """Identities in the log's discovery events; those without cik or accession don't count."""
-    p = F.from_json("data", DISCOVERED)
-    rows = log.where(F.col("type") == "filing_discovered").select(p.alias("p")).where("coalesce(p.cik, '') <> '' and coalesce(p.accession_number, '') <> ''")
-    return rows.select(filing_identity(F.col("p.cik"), F.col("p.accession_number")).alias("identity")).distinct()
+    p = F.from_json("data", "cik STRING, accession_number STRING")
+    # as rows of an array of one: Spark puts a filter on what a plain column has below the parser, which then runs again for it
+    rows = log.where(F.col("type") == "filing_discovered").select(F.inline_outer(F.array(p))).where("coalesce(cik, '') <> '' and coalesce(accession_number, '') <> ''")
+    return rows.select(filing_identity(F.col("cik"), F.col("accession_number")).alias("identity")).distinct()
 
 
 def new_filings(filings: DataFrame, seen: DataFrame) -> DataFrame:
@@ -61,10 +65,13 @@ def tagged(filings: DataFrame, seen: DataFrame, *arrival: str, dry_run: bool = F
 
     A dry run marks nothing as seen while it goes, so that each repeat in the batch is fresh.
     """
-    marked = filings.join(seen.withColumn("old", F.lit(True)), "identity", "left")
+    # merged where both are dealt out: Spark takes what a parser gives for smaller than it is, and a broadcast goes through the driver
+    old = seen.withColumn("old", F.lit(True)).hint("merge")
     if dry_run:
-        return marked.withColumn("fresh", F.col("old").isNull()).drop("old")
-    return first_in_batch(marked, ["identity"], *arrival).withColumn("fresh", F.col("old").isNull() & (F.col("nth") == 1)).drop("old", "nth")
+        return filings.join(old, "identity", "left").withColumn("fresh", F.col("old").isNull()).drop("old")
+    # numbered before the join, which takes the rows dealt and sorted as they are
+    marked = first_in_batch(filings, ["identity"], *arrival, partitions=parts_of(filings)).join(old, "identity", "left")
+    return marked.withColumn("fresh", F.col("old").isNull() & (F.col("nth") == 1)).drop("old", "nth")
 
 
 def discovery_events(filings: DataFrame, now: Column, source: str = "filings") -> DataFrame:

@@ -96,7 +96,7 @@ def _(spark, sf_dir):
 )
 def discovery_summary(spark, sf_dir):
     parsed = listings.submissions(b.submissions(spark, sf_dir)).withColumn("cik", normalize_cik(F.col("doc.cik")))
-    companies = _watchlist(spark, sf_dir).where("enabled").select("cik").join(parsed.select("cik", F.col("error").isNull().alias("fine")), "cik", "left").select(F.coalesce("fine", F.lit(False)).alias("ok"))
+    companies = _watchlist(spark, sf_dir).where("enabled").select("cik").join(parsed.select("cik", F.col("error").isNull().alias("fine")).hint("merge"), "cik", "left").select(F.coalesce("fine", F.lit(False)).alias("ok"))
     found = filings.tagged(_discovered(spark, sf_dir), _seen(spark, sf_dir), "filing_date", "accession")
     return filings.run_summary(companies, found)
 

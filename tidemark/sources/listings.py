@@ -44,7 +44,8 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
 
 def submissions(documents: DataFrame, column: str = "json", ticker: str = "ticker", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents parsed, with n (accessions) and `error` where a required array is shorter, and the columns of `keep`."""
-    doc = documents.withColumn("doc", F.from_json(column, SUBMISSIONS))
+    # as rows of an array of one: Spark puts a filter on what a plain column has below the parser, which then runs again for each use
+    doc = documents.select(*[c for c in documents.columns if c != "doc"], F.explode_outer(F.array(F.from_json(column, SUBMISSIONS))).alias("doc"))
     recent = "doc.filings.recent."
     size = lambda name: F.coalesce(F.size(F.col(recent + name)), F.lit(0))
     short = [F.when(F.greatest(size(name), F.lit(0)) < F.greatest(size("accessionNumber"), F.lit(0)), name) for name in ("form", "filingDate", "primaryDocument")]
@@ -59,16 +60,19 @@ def recent_filings(parsed: DataFrame, allowed: Callable[[Column], Column] | None
     # the shorter arrays are padded with nulls; what is beyond the accessions has none
     whole = F.arrays_zip(*[F.col(r + f).alias(f) for f in ("accessionNumber", "form", "filingDate", "primaryDocument")], F.coalesce(F.col(r + "acceptanceDateTime"), F.array().cast("array<string>")).alias("acceptanceDateTime"))
     wanted = lambda f: (text(f["accessionNumber"]) != "") & (F.lit(True) if allowed is None else allowed(f["form"]))
-    rows = parsed.where(F.col("error").isNull()).select("ticker", "doc.cik", F.explode(F.filter(whole, wanted)).alias("f"))
+    # what a document has once is made before there are rows of it
+    once = parsed.withColumns({"ticker": normalize_code(F.col("ticker")), "cik": normalize_cik(F.col("doc.cik")), "submissions_url": submissions_url(F.col("doc.cik"))})
+    # outer, since Spark adds a filter to an inner one, for which the list is made twice
+    rows = once.select("ticker", "cik", "submissions_url", F.explode_outer(F.when(F.col("error").isNull(), F.filter(whole, wanted))).alias("f")).where(F.col("f").isNotNull())
     return rows.select(
-        normalize_code(F.col("ticker")).alias("ticker"),
-        normalize_cik(F.col("cik")).alias("cik"),
+        "ticker",
+        "cik",
         text(F.col("f.accessionNumber")).alias("accession"),
         normalize_code(F.coalesce("f.form", F.lit(""))).alias("form"),
         text(F.col("f.filingDate")).alias("filing_date"),
         text(F.col("f.primaryDocument")).alias("primary_document"),
         text(F.col("f.acceptanceDateTime")).alias("acceptance_datetime"),
-        submissions_url(F.col("cik")).alias("submissions_url"),
+        "submissions_url",
     )
 
 
